@@ -1,0 +1,70 @@
+"""Helpers that several operators use: shared scratch tables and components."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A word is a run of characters other than these six (space, tab to carriage return).
+SPACE = r"\x20\x09-\x0D"
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a local one only where it is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="helixframe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared scratch folder and read it back.
+
+    Cuts the lineage: a lost executor never loses these rows, and later readers
+    see one fixed version of them, with column pruning and size statistics.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """``edges`` (u, v) of comparable ids, any direction -> (node, root), root = smallest id reachable.
+
+    Alternating large-star and small-star rounds: each round is grouped minima
+    (combined before the shuffle) joined back to the edges, so a hub is never
+    collected and its rows can be split.  Rounds are written to shared storage
+    and repeated until the edge set no longer changes; the driver sees only its
+    count and checksum.  Nodes without an edge do not appear.
+    """
+
+    def largest_star(e: DataFrame) -> DataFrame:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+
+    def smallest_star(e: DataFrame) -> DataFrame:
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+    def checksum(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = materialize(edges, label)
+    seen = checksum(edges)
+    while seen[0]:
+        edges = materialize(smallest_star(largest_star(edges).distinct()), label)
+        now = checksum(edges)
+        if now == seen:
+            break
+        seen = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )
