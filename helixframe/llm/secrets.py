@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _JOIN = r"""["']?\x20*[:=]\x20*["']?"""
 
-#: Fixed values.  Kinds in order: name, pattern, pattern that a finding must match as a whole, role.
-#: Findings of the first three count by themselves; of the others only where linked.
+_ASSIGN = r"(?i:password|passwd|secret|token|api_?key)" + _JOIN
+
+#: Fixed values.  Kinds in order: name, pattern, pattern that a finding must match as a whole, role, and strings of which a
+#: text must have one for any finding.  Findings of the first three count by themselves; of the others only where linked.
 KINDS = (
-    ("assign", r"(?i:password|passwd|secret|token|api_?key)" + _JOIN + r"[A-Za-z0-9+/_.=-]+", r"^(?i:password|passwd|secret|token|api_?key)" + _JOIN + r"[A-Za-z0-9+/_.=-]{6,}$", "secret"),
-    ("access", r"AKIA[A-Z0-9]+", r"^.{20,}$", "identifier"),
-    ("hex", r"[0-9a-f]{24,}", r"^.", "secret"),
-    ("login", r"(?i:user(?:name)?|login|account|client_?id|access_?key_?id)" + _JOIN + r"[A-Za-z0-9+/_.=@-]+", r"^.", "identifier"),
-    ("endpoint", r"(?i:https?|ftp|jdbc:[a-z]+|mongodb|redis|amqp)://[A-Za-z0-9._:@-]+", r"^.", "endpoint"),
-    ("blob", r"[A-Za-z0-9+/_-]{20,}", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", "secret"),
-)
+    ("assign", _ASSIGN + r"[A-Za-z0-9+/_.=-]+", "^" + _ASSIGN + r"[A-Za-z0-9+/_.=-]{6,}$", "secret", (":", "=")),
+    ("access", r"AKIA[A-Z0-9]+", r"^.{20,}$", "identifier", ("AKIA",)),
+    ("hex", r"[0-9a-f]{24,}", r"^.", "secret", ()),
+    ("login", r"(?i:user(?:name)?|login|account|client_?id|access_?key_?id)" + _JOIN + r"[A-Za-z0-9+/_.=@-]+", r"^.", "identifier", (":", "=")),
+    ("endpoint", r"(?i:https?|ftp|jdbc:[a-z]+|mongodb|redis|amqp)://[A-Za-z0-9._:@-]+", r"^.", "endpoint", ("://",)),
+    ("blob", r"[A-Za-z0-9+/_-]{20,}", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", "secret", ()),
+)
 BASE = 3
 #: Two parts are in one scope if they start at most so many code points apart.
 SCOPE = 200
@@ -24,13 +29,15 @@ _MARK, _OTHER = "\u0001", "\u0002"
 
 
 def _pieces(text: Column, number: int) -> Column:
-    """The text cut at the findings of one kind: array<struct<kind, at, length, found>>; none without a finding."""
-    _, pattern, whole, _ = KINDS[number]
-    # The mark is no part of any pattern, and the one that stands in for it is as long.
-    cut = F.split(F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    """The text cut at the findings of one kind: array<struct<kind, at, length, found>>, one piece without a finding."""
+    _, pattern, whole, _, needs = KINDS[number]
+    marked = F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}")
+    if needs:
+        marked = F.when(reduce(or_, (text.contains(n) for n in needs)), marked).otherwise(text)
     kind = F.lit(number)
-    pieces = F.transform(cut, lambda p, i: F.struct(kind.alias("kind"), i.alias("at"), F.char_length(p).alias("length"), ((i % 2 == 1) & p.rlike(whole)).alias("found")))
-    return F.filter(pieces, lambda p: F.size(cut) > 1)
+    return F.transform(
+        F.split(marked, _MARK, -1), lambda p, i: F.struct(kind.alias("kind"), i.alias("at"), F.char_length(p).alias("length"), ((i % 2 == 1) & p.rlike(whole)).alias("found"))
+    )
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -53,8 +60,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     row = F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("at"), F.lit(0).alias("length"), F.lit(False).alias("found"))
-    keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    pieces = keyed.select("doc_id", "version", F.inline(F.concat(F.array(row), *(_pieces(F.col("text"), n) for n in range(len(KINDS))))))
+    # The mark is no part of any pattern, and the one that stands in for it is as long.
+    keyed = docs.select(
+        docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.char_length(text).alias("chars"), F.when(text.contains(_MARK), F.translate(text, _MARK, _OTHER)).otherwise(text).alias("text"),
+    )
+    pieces = keyed.select("doc_id", "version", "chars", F.inline(F.concat(F.array(row), *(_pieces(F.col("text"), n) for n in range(len(KINDS))))))
+    pieces = pieces.where("kind < 0 or at > 0 or length < chars")  # a kind without a finding leaves the whole text as one piece
     once = pieces.groupBy("doc_id", "version", "kind", "at", "length", "found").agg(F.count("*").alias("copies")).repartition("doc_id", "version")
 
     placed = once.withColumn("end", F.sum("length").over(Window.partitionBy("doc_id", "version", "kind").orderBy("at")))
