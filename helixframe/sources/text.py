@@ -76,7 +76,7 @@ def agp_violations(agp: DataFrame) -> DataFrame:
             F.when((kind == "W") & (F.col("comp_type") == "W"), "missing gap"),
         )
     )
-    return agp.select("*", F.explode(rules).alias("rule"))
+    return agp.withColumn("rules", rules).select(*agp.columns, F.explode("rules").alias("rule"))
 
 
 def agp_lines(agp: DataFrame) -> DataFrame:
