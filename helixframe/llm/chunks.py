@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from ..tables import materialize
 
 #: Rows without an id count as one document that comes after all others.
 NO_ID = (1 << 63) - 1
@@ -95,15 +95,16 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, bits: int, least: int, mo
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, least: int = 16, most: int = 128, min_span: int = 96
 ) -> DataFrame:
-    """Passages that an earlier document has as well: doc_id, start, end, n_chunks, n_docs, kept_doc_id.
+    """Passages that earlier documents have as well: doc_id, start, end, n_chunks, n_docs, kept_doc_ids.
 
     Texts are cut where a gear hash of the last 32 bytes says so, so an
     insertion moves the cuts near it only.  Chunks with one 128-bit digest are
     equal; the document with the smallest id keeps them.  Neighbouring chunks of
     a document that others keep are one passage; those of at least ``min_span``
-    code points are returned, with the smallest id that keeps one of its chunks
-    (``kept_doc_id``) and the most documents that hold one (``n_docs``).
-    ``start`` and ``end`` are code points, so a writer can cut the passage out.
+    code points are returned, with the ids that keep at least as much of it
+    (``kept_doc_ids``; if none does, the one that keeps most) and the most rows
+    that hold one of its chunks (``n_docs``).  ``start`` and ``end`` are code
+    points, so a writer can cut the passage out.
 
     Digests are counted before the shuffle, so a passage that is everywhere is a
     few rows there.  A null text has no chunks; repetition within a document is
@@ -117,10 +118,17 @@ def repeated_passages(
     # From here on everything is bounded by one document.
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     fresh = F.coalesce(F.lag("end").over(order) < F.col("start"), F.lit(True)).cast("int")
-    numbered = later.withColumn("passage", F.sum(fresh).over(order))
-    spans = numbered.groupBy("doc_id", "passage").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("start").alias("n_chunks"),
-        F.max("n_docs").alias("n_docs"), F.min("kept_doc_id").alias("kept_doc_id"),
-    )
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return spans.where(F.col("end") - F.col("start") >= min_span).select(known("doc_id"), "start", "end", "n_chunks", "n_docs", known("kept_doc_id"))
+    again = F.coalesce((F.lag("start").over(order) == F.col("start")) & (F.lag("end").over(order) == F.col("end")), F.lit(False))
+    numbered = later.withColumns({"fresh": fresh, "again": again}).withColumn("passage", F.sum("fresh").over(order)).where("not again")
+    each = numbered.groupBy("doc_id", "passage", "kept_doc_id").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.max("n_docs").alias("n_docs"), F.sum(F.col("end") - F.col("start")).alias("held")
+    )
+    keepers = F.collect_list(F.struct("held", (-F.col("kept_doc_id")).alias("last")))
+    spans = each.groupBy("doc_id", "passage").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_chunks"), F.max("n_docs").alias("n_docs"), keepers.alias("keepers")
+    )
+    long = F.filter("keepers", lambda k: k.held >= min_span)
+    named = F.transform(F.when(F.size(long) > 0, long).otherwise(F.array(F.array_max("keepers"))), lambda k: F.nullif(-k.last, F.lit(NO_ID)))
+    return spans.where(F.col("end") - F.col("start") >= min_span).select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "start", "end", "n_chunks", "n_docs", F.array_sort(named).alias("kept_doc_ids")
+    )
