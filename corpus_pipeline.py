@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import linededup, mixing, packing, quality, simhash
-from helixframe.llm.shared import materialize
 from helixframe.llm.tokens import vocabulary
+from helixframe.tables import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from ..operators.graph import connected_components
+from ..tables import materialize
 
 #: The binary Golay code: length 23, 12 information bits, every word within 3 bits of exactly one code word.
 _LENGTH, _CHECKS, _GENERATOR = 23, 11, 0b110001110101
