@@ -8,7 +8,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from ..tables import materialize
 
 BITS = 64
 
@@ -21,8 +21,8 @@ def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _widths(classes: int) -> list[int]:
-    """About log2(classes) bits a segment, so that a segment value has about one code."""
-    m = max(1, min(BITS // 4, round(BITS / max(4.0, log2(max(2, classes))))))
+    """At least log2(classes) bits a segment, so that a segment value has about one code or less."""
+    m = max(1, int(BITS / max(4.0, log2(max(2, classes)))))
     return [BITS // m + (i < BITS % m) for i in range(m)]
 
 
@@ -43,8 +43,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     finds itself.  Rows with one code form a class with its k smallest ids, and
     queries with one code are searched once, so copies cost nothing.  Codes are
     cut into m segments, each an equi-join key.  Round s looks up every segment
-    with exactly s bits flipped; after it, every code within m (s + 1) - 1 bits
-    has been met, so a query ends once its kth distance is no more than that.
+    with exactly s bits flipped, as far as the kth distance known so far needs
+    it; after it, every code within that distance or m (s + 1) - 1 bits has been
+    met, so a query ends once its kth distance is no more than that.
     Candidates beyond the kth distance known so far do not leave the join.
 
     Fewer than k rows are returned only if there are fewer.  Repeated rows are
@@ -69,6 +70,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             break
         masks = spark.createDataFrame([(w, sum(1 << b for b in c)) for w in sorted(set(widths)) if s <= w for c in combinations(range(w), s)], "width int, mask long")
         probes = active.withColumn("code", F.col("q")).select("q", "bound", F.explode(_segments(widths)).alias("s"))
+        # With j segments at this radius, all within m s + j - 1 bits is met; a known kth distance needs no more segments.
+        probes = probes.where(F.col("s.segment") <= F.col("bound") - m * s)
         # Bounded: the masks are C(width, s), whatever the data.
         probes = probes.select("q", "bound", "s.*").join(F.broadcast(masks), "width").select("q", "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
@@ -81,8 +84,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         best = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "id", "copy", "distance")
         best = materialize(best, "search-best")
         found = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
-        state = active.select("q").join(found, "q", "left").select("q", F.when(F.col("n") == k, F.col("kth")).otherwise(BITS).alias("bound"))
-        covered = m * (s + 1) - 1 if s < max(widths) else BITS
+        state = active.select("q", F.col("bound").alias("old")).join(found, "q", "left").select("q", "old", F.when(F.col("n") == k, F.col("kth")).otherwise(BITS).alias("bound"))
+        covered = F.least("old", F.lit(m * (s + 1) - 1)) if s < max(widths) else F.lit(BITS)
         state = materialize(state.withColumn("over", F.col("bound") <= covered), "search-state")
         ended.append(best.join(state.where("over" if s < max(widths) else "true"), "q", "left_semi"))
         active = state.where("not over").select("q", "bound")
