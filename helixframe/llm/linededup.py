@@ -161,7 +161,7 @@ def drop_lines(docs: DataFrame, surplus: DataFrame, id_col: str, text_col: str,
 
 
 def deduplicate_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 2, shards: int = 64
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 2, shard_keys: int = 500_000
 ) -> DataFrame:
     """Every document with its repeated lines cut out, ``n_lines`` before that and ``n_dropped``; all other columns kept.
 
@@ -169,8 +169,9 @@ def deduplicate_lines(
     at its ends and with ASCII letters in lower case.  Keys of at least
     ``min_chars`` code points that two or more documents hold stay only in the
     one with the smallest id; all else stays in place.  The documents go into a
-    :class:`LineIndex` in ``batches`` batches by a hash of the id; the result
-    does not depend on it.
+    :class:`LineIndex` in ``batches`` batches by a hash of the id, with a shard
+    for every ``shard_keys`` references at most, so that a shard stays small at
+    any size; the result does not depend on either.
 
     A null or empty text is one empty line and stays as it is.  Rows with one id
     are one document; rows with a null id are one that comes last.  Columns
@@ -178,7 +179,7 @@ def deduplicate_lines(
     no rows.
     """
     references = materialize(line_references(docs, id_col, text_col, min_chars), "line-references")
-    index = LineIndex.empty(docs.sparkSession, shards)
+    index = LineIndex.empty(docs.sparkSession, max(64, references.count() // shard_keys + 1))
     for b in range(batches):
         index = index.insert(references.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
     return drop_lines(docs, index.surplus(), id_col, text_col, min_chars)
