@@ -1,4 +1,4 @@
-"""A training corpus from ``documents``: quality rules, line dedup, near-dedup, mixing, packing.
+"""A training corpus from ``documents``: quality rules, line dedup, near-dedup (SimHash, then shingle sets), mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read back as the next one's docs.  All but the last return the
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import linededup, mixing, packing, quality, simhash
+from helixframe.llm import linededup, mixing, nearcopies, packing, quality, simhash
 from helixframe.llm.tokens import vocabulary
 from helixframe.tables import materialize
 
@@ -40,6 +40,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(leaders, "row", "left_semi").dropDuplicates(["row"]).select(COLUMNS)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group whose 5-word shingles are alike to 0.8 or more."""
+    # Texts with one id are rows of their own; those without an id come last.
+    keyed = docs.withColumn("row", F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("digest")))
+    leaders = nearcopies.near_copies(keyed, "row").select(F.col("leader").alias("row")).distinct()
+    return keyed.join(leaders, "row", "left_semi").dropDuplicates(["row"]).select(COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     taken = mixing.mix(docs, keep=("text", "lang", "n_chars"))
@@ -55,6 +63,7 @@ STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
     ("SimHash near-dedup", near_dedup),
+    ("near copies", near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

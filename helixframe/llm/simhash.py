@@ -18,24 +18,35 @@ from ..tables import materialize
 _LENGTH, _CHECKS, _GENERATOR = 23, 11, 0b110001110101
 
 
-def fingerprint(text: str, words_in_shingle: int) -> int:
-    """64-bit SimHash of the word shingles of a text, ASCII letters in lower case.
+def shingle_hashes(text: str, words_in_shingle: int) -> np.ndarray:
+    """A 64-bit hash of each word shingle of a text, ASCII letters in lower case.
 
     A shingle is so many words joined by single spaces, counted as often as it
-    occurs; a shorter text is one shingle; a text without words has
-    fingerprint 0.  A bit is set if it is set in over half of the hashes.
+    occurs; a shorter text is one shingle; a text without words has none.
     """
     import xxhash
 
     words = text.encode().lower().split()  # of bytes: ASCII letters and the six white-space characters only
     n = max(1, len(words) - words_in_shingle + 1) if words else 0
     if not n:
-        return 0
+        return np.zeros(0, "<u8")
     line = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[len(words) - n :].tolist()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops)), "<u8", n)
+    return np.fromiter((xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops)), "<u8", n)
+
+
+def fingerprint(text: str, words_in_shingle: int) -> int:
+    """64-bit SimHash of the word shingles of a text (:func:`shingle_hashes`).
+
+    A text without words has fingerprint 0.  A bit is set if it is set in over
+    half of the hashes.
+    """
+    hashes = shingle_hashes(text, words_in_shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for lo in range(0, n, 65536):
         part = hashes[lo : lo + 65536]
