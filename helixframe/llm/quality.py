@@ -34,6 +34,7 @@ SCRIPTS = {
     "cjk": "぀-ヿ㐀-鿿가-힯",
 }
 _SCRIPTS = {name: re.compile(f"[{span}]+") for name, span in SCRIPTS.items()}
+_KNOWN = re.compile(f"[{''.join(SCRIPTS.values())}]+")
 _SYMBOLS = "#*$%&|<>"
 
 RULES = (
@@ -78,8 +79,11 @@ def duplicate_lines(text: str) -> int:
 
 
 def script_of(text: str) -> str:
-    """The script of most letters; ``other`` where none of the known ones has any."""
-    counts = {name: sum(map(len, p.findall(text))) for name, p in _SCRIPTS.items()} if not text.isascii() else {"latin": 1}
+    """The script of most letters; letters of none of the known ones count as ``other``, and ASCII is ``latin``."""
+    if text.isascii():
+        return "latin"
+    counts = {name: sum(map(len, p.findall(text))) for name, p in _SCRIPTS.items()}
+    counts["other"] = sum(map(str.isalpha, _KNOWN.sub("", text)))
     best = max(counts, key=counts.get)
     return best if counts[best] else "other"
 
