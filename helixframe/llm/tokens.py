@@ -6,12 +6,15 @@ import base64
 
 import numpy as np
 
+END_OF_TEXT = "<|endoftext|>"
+
 
 class RankTokenizer:
     """Ids by a rank file (lines of ``token-in-base64 rank``) and its split pattern.
 
-    Special-token strings in a text are ordinary text.  Any text is encoded
-    whole; the empty text has no ids.
+    The string ``END_OF_TEXT`` in a text is one id, the one after the last rank,
+    and parts the text around it.  Any text is encoded whole; the empty text has
+    no ids.
     """
 
     def __init__(self, rank_path: str, pattern: str):
@@ -19,13 +22,13 @@ class RankTokenizer:
 
         with open(rank_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.byte_lengths = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
+        self._bpe = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: max(ranks.values()) + 1})
+        self.byte_lengths = np.zeros(max(ranks.values()) + 2, np.int64)
+        for token, rank in [*ranks.items(), (END_OF_TEXT.encode(), max(ranks.values()) + 1)]:
             self.byte_lengths[rank] = len(token)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self._bpe.encode_ordinary(text), "<u4")
+        return np.array(self._bpe.encode(text, allowed_special="all"), "<u4")
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
