@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import log2
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +13,15 @@ BITS = 64
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, code): bit i of the code is set where component i of the first 64 is positive.  Rows with a null id or vector have no code."""
-    code = F.expr(f"aggregate(transform(slice(vector, 1, {BITS}), (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
+    """(id, code): bit i of the code is set where component i is positive.
+
+    A vector of more than 64 components is folded first: component i of the
+    fold is the sum of components i, i + 64, and so on.  Components that are
+    missing or null count as 0.  Rows with a null id or vector have no code.
+    """
+    part = f"slice(vector, i * {BITS} + 1, {BITS})"
+    folded = f"if(size(vector) <= {BITS}, vector, aggregate(transform(sequence(0, (size(vector) - 1) div {BITS}), i -> {part}), array_repeat(0D, {BITS}), (a, b) -> zip_with(a, b, (x, y) -> x + coalesce(y, 0))))"
+    code = F.expr(f"aggregate(transform({folded}, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
     named = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("vector"))
     return named.select("id", code.alias("code")).where("id is not null and code is not null")
 
@@ -68,12 +74,13 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for s in range(max(widths) + 1):
         if active.isEmpty():
             break
-        masks = spark.createDataFrame([(w, sum(1 << b for b in c)) for w in sorted(set(widths)) if s <= w for c in combinations(range(w), s)], "width int, mask long")
         probes = active.withColumn("code", F.col("q")).select("q", "bound", F.explode(_segments(widths)).alias("s"))
         # With j segments at this radius, all within m s + j - 1 bits is met; a known kth distance needs no more segments.
         probes = probes.where(F.col("s.segment") <= F.col("bound") - m * s)
-        # Bounded: the masks are C(width, s), whatever the data.
-        probes = probes.select("q", "bound", "s.*").join(F.broadcast(masks), "width").select("q", "bound", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = probes.select("q", "bound", "s.*", F.lit(0).alias("from")).where(F.col("width") >= s)
+        for flip in range(s):  # one bit at a time, from low to high, inside the tasks
+            probes = probes.withColumn("bit", F.explode(F.expr(f"sequence(from, width - {s - flip})")))
+            probes = probes.withColumns({"value": F.expr("value ^ shiftleft(1L, bit)"), "from": F.col("bit") + 1})
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         near = (probes.segment == index.segment) & (probes.value == index.value) & (distance <= F.col("bound"))
         met = probes.join(index, near).select("q", "code", distance.alias("distance")).distinct()
