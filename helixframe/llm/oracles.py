@@ -41,7 +41,7 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes, CAST('0x' || substr({_MD5}, 1, 10) AS BIGINT) AS key FROM documents),
 p AS (SELECT d.*, depth, key >> (40 - depth) AS prefix FROM d, (SELECT unnest(range(0, 41)) AS depth)),
 s AS (SELECT *, sum(bytes) OVER g AS shard_bytes, count(*) OVER g AS shard_rows FROM p WINDOW g AS (PARTITION BY depth, prefix)),
-f AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY depth) AS first FROM s WHERE shard_bytes <= 67108864 OR shard_rows = 1 OR depth = 40)
+f AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY depth) AS first FROM s WHERE shard_bytes <= 262144 OR shard_rows = 1 OR depth = 40)
 SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE to_base(prefix, 2, CAST(depth AS INTEGER)) END AS shard, CAST(depth AS INTEGER) AS depth,
        CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_rows FROM f WHERE first = 1
 """,

@@ -62,8 +62,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` in shards of at most 64 MiB of text."""
-    return sharding.shard(_table(spark, sf_dir, "documents"), max_bytes=64 << 20)
+    """``documents`` in shards of at most 256 KiB of text."""
+    return sharding.shard(_table(spark, sf_dir, "documents"), max_bytes=256 << 10)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
