@@ -18,7 +18,7 @@ from ..tables import materialize
 
 #: Rows without an id count as one document that comes after all others.
 NO_ID = (1 << 63) - 1
-_REFERENCES = "doc_id bigint, high bigint, low bigint"
+_REFERENCES = "doc_id bigint, version bigint, high bigint, low bigint"
 _COUNTS = ["shard", "high", "low", "n", "first_id", "last_id"]
 _PROBED = "shard int, high bigint, low bigint, n bigint, first_id bigint, last_id bigint, seen boolean, filter binary"
 
@@ -30,28 +30,29 @@ def line_key(line: str, min_chars: int) -> bytes | None:
 
 
 def line_references(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(doc_id, high, low): each row's different line keys."""
-    out = pa.schema([("doc_id", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
+    """(doc_id, version, high, low): each row's different line keys; ``version`` tells texts with one id apart."""
+    out = pa.schema([(c, pa.int64()) for c in ("doc_id", "version", "high", "low")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts, keys = [], []
+            for text in batch.column(2):
                 own = {k for line in (text.as_py() or "").split("\n") if (k := line_key(line, min_chars))}
-                ids += [doc_id] * len(own)
+                counts.append(len(own))
                 keys += own
             both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=out)
+            owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=out)
 
     doc_id = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id")
-    return docs.select(doc_id, docs[text_col].alias("text")).mapInArrow(run, _REFERENCES)
+    return docs.select(doc_id, F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text")).mapInArrow(run, _REFERENCES)
 
 
 @dataclass(frozen=True)
 class LineIndex:
     """Which documents hold which lines, as three tables in shared storage.
 
-    ``references``: (doc_id, high, low), one row per document and line key.
+    ``references``: (doc_id, version, high, low), one row per text and line key.
     ``counts``: the exact reference counts per key, with the smallest and the
     largest id.  ``filters``: one cuckoo filter per shard of the keys, of all
     keys with a reference.  A new batch asks the filters first: a key that they
@@ -125,16 +126,32 @@ class LineIndex:
         return LineIndex(kept, counts, materialize(filters, "line-filters"), self.shards)
 
     def surplus(self) -> DataFrame:
-        """(doc_id, high, low): references of keys that a smaller id holds as well."""
+        """(doc_id, version, high, low): references of keys that a smaller id holds as well."""
         repeated = self.counts.where("first_id <> last_id").select("high", "low", "first_id")
-        return self.references.join(repeated, ["high", "low"]).where("doc_id <> first_id").select("doc_id", "high", "low")
+        return self.references.join(repeated, ["high", "low"]).where("doc_id <> first_id").select("doc_id", "version", "high", "low")
+
+    def reshard(self, shards: int) -> LineIndex:
+        """The same index with another number of shards, for when it has outgrown them; filters are built from the counts."""
+        counts = self.counts.withColumn("shard", F.pmod(F.xxhash64("high", "low"), F.lit(shards)).cast("int"))
+
+        def build(keys: pd.DataFrame) -> pd.DataFrame:
+            known = CuckooFilter()
+            known.insert(keys["high"].to_numpy(np.int64), keys["low"].to_numpy(np.int64))
+            return pd.DataFrame({"shard": keys["shard"].iloc[:1], "filter": [known.dump()]})
+
+        counts = materialize(counts, "line-counts")
+        filters = counts.select("shard", "high", "low").groupBy("shard").applyInPandas(build, "shard int, filter binary")
+        return LineIndex(self.references, counts, materialize(filters, "line-filters"), shards)
 
 
 def drop_lines(docs: DataFrame, surplus: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """All columns of ``docs`` with the surplus lines cut out of the text, and ``n_lines`` and ``n_dropped``."""
-    docs = docs.drop("n_lines", "n_dropped", "__of", "__keys")
-    per_doc = surplus.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_list(F.struct("high", "low")).alias("__keys"))
-    rows = docs.withColumn("__of", F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))).join(per_doc, "__of", "left").drop("__of")
+    docs = docs.drop("n_lines", "n_dropped", "__of", "__version", "__keys")
+    # Bounded by one text, whatever number of rows has its id.
+    own = ["__of", "__version"]
+    per_text = surplus.groupBy(F.col("doc_id").alias("__of"), F.col("version").alias("__version")).agg(F.collect_set(F.struct("high", "low")).alias("__keys"))
+    keyed = docs.withColumns({"__of": F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), "__version": F.xxhash64(docs[text_col])})
+    rows = keyed.join(per_text, own, "left").drop(*own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +192,7 @@ def deduplicate_lines(
 
     A null or empty text is one empty line and stays as it is.  Rows with one id
     are one document; rows with a null id are one that comes last.  Columns
-    named n_lines, n_dropped, __of or __keys are replaced.  An empty table gives
+    named n_lines, n_dropped, __of, __version or __keys are replaced.  An empty table gives
     no rows.
     """
     references = materialize(line_references(docs, id_col, text_col, min_chars), "line-references")
