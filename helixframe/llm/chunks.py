@@ -14,7 +14,7 @@ from ..tables import materialize
 
 #: Rows without an id count as one document that comes after all others.
 NO_ID = (1 << 63) - 1
-_CHUNKS = "doc_id bigint, start bigint, end bigint, high bigint, low bigint"
+_CHUNKS = "doc_id bigint, version bigint, start bigint, end bigint, high bigint, low bigint"
 _WINDOW = 32
 
 
@@ -59,7 +59,10 @@ def boundaries(data: np.ndarray, table: np.ndarray, bits: int, least: int, most:
 
 
 def chunk(docs: DataFrame, id_col: str, text_col: str, bits: int, least: int, most: int) -> DataFrame:
-    """(doc_id, start, end, high, low): the chunks of at least ``least`` bytes of every text; start and end are code points."""
+    """(doc_id, version, start, end, high, low): the chunks of at least ``least`` bytes of every text.
+
+    ``start`` and ``end`` are code points; ``version`` tells texts with one id apart.
+    """
     out = pa.schema([(c.split()[0], pa.int64()) for c in _CHUNKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,11 +70,12 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, bits: int, least: int, mo
 
         table = gear_table()
         for batch in batches:
-            found: list[list] = [[], [], []]
+            counts, starts_in, ends_in = [], [], []
             digests = []
-            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for value in batch.column(2):
                 text = (value.as_py() or "").encode()
                 if len(text) < least:
+                    counts.append(0)
                     continue
                 data = np.frombuffer(text, np.uint8)
                 ends = boundaries(data, table, bits, least, most)
@@ -79,17 +83,19 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, bits: int, least: int, mo
                 if ends[-1] - starts[-1] < least:
                     ends.pop(), starts.pop()
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                found[0] += [doc_id] * len(ends)
-                found[1] += points[starts].tolist()
-                found[2] += points[ends].tolist()
+                counts.append(len(ends))
+                starts_in.append(points[starts])
+                ends_in.append(points[ends])
                 digests += [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(starts, ends)]
             both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+            spans = [np.concatenate([np.zeros(0, np.int64), *s]) for s in (starts_in, ends_in)]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in found), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=out
+                [batch.column(0).take(owner), batch.column(1).take(owner), *map(pa.array, spans), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=out
             )
 
     doc_id = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id")
-    return docs.select(doc_id, docs[text_col].alias("text")).mapInArrow(run, _CHUNKS)
+    return docs.select(doc_id, F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text")).mapInArrow(run, _CHUNKS)
 
 
 def repeated_passages(
@@ -108,23 +114,25 @@ def repeated_passages(
 
     Digests are counted before the shuffle, so a passage that is everywhere is a
     few rows there.  A null text has no chunks; repetition within a document is
-    left alone; rows with one id are one document; rows with a null id are one
-    that comes last; other columns are ignored; an empty table gives no rows.
+    left alone; rows with one id are one document, which keeps what any of them
+    has, but passages never reach from one of its texts into another; rows with
+    a null id are one document that comes last; other columns are ignored; an
+    empty table gives no rows.
     """
     chunks = materialize(chunk(docs, id_col, text_col, bits, least, most), "chunks")
     grouped = chunks.groupBy("high", "low").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n_docs"))
     repeated = grouped.where("kept_doc_id <> last_id").drop("last_id")
     later = chunks.join(repeated, ["high", "low"]).where("doc_id <> kept_doc_id")
-    # From here on everything is bounded by one document.
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    # From here on everything is bounded by one text.
+    order = Window.partitionBy("doc_id", "version").orderBy("start", "end")
     fresh = F.coalesce(F.lag("end").over(order) < F.col("start"), F.lit(True)).cast("int")
     again = F.coalesce((F.lag("start").over(order) == F.col("start")) & (F.lag("end").over(order) == F.col("end")), F.lit(False))
     numbered = later.withColumns({"fresh": fresh, "again": again}).withColumn("passage", F.sum("fresh").over(order)).where("not again")
-    each = numbered.groupBy("doc_id", "passage", "kept_doc_id").agg(
+    each = numbered.groupBy("doc_id", "version", "passage", "kept_doc_id").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.max("n_docs").alias("n_docs"), F.sum(F.col("end") - F.col("start")).alias("held")
     )
     keepers = F.collect_list(F.struct("held", (-F.col("kept_doc_id")).alias("last")))
-    spans = each.groupBy("doc_id", "passage").agg(
+    spans = each.groupBy("doc_id", "version", "passage").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_chunks"), F.max("n_docs").alias("n_docs"), keepers.alias("keepers")
     )
     long = F.filter("keepers", lambda k: k.held >= min_span)
