@@ -1,4 +1,9 @@
-"""Near copies by Jaccard similarity of word shingles: candidates by bands of minima, each verified on its sets."""
+"""SimHash near-dedup down to a similarity: candidates by anchors and by bands of minima, each verified on its shingle sets.
+
+Fingerprints of texts that share 0.8 of their shingles differ in some 10 of 64
+bits, where no covering code of useful size reaches.  So anchors find what is
+nearly equal, and bands of minima the rest.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..tables import materialize
-from .simhash import shingle_hashes
+from .simhash import fold, near_links, shingle_hashes
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 1 - 5e-6 at 0.8, and more above.
 BANDS, ROWS = 40, 6
@@ -25,11 +30,6 @@ def _factors() -> np.ndarray:
     return (np.random.default_rng(20).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def shingle_set(text: str, words_in_shingle: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    return np.unique(shingle_hashes(text, words_in_shingle))
-
-
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """A key for each band; none for an empty set."""
     if not len(shingles):
@@ -42,21 +42,23 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def _measured(docs: DataFrame, words_in_shingle: int, whole: bool) -> DataFrame:
-    """Of (row, text): node (digest of the shingle set), and the set itself if ``whole``, else row, n and the band keys."""
-    schema = "node binary, shingles array<bigint>" if whole else f"row {docs.schema['row'].dataType.simpleString()}, node binary, n bigint, keys array<bigint>"
+    """Of (row, text): node (digest of the shingle set), and the set itself if ``whole``, else row, n, fingerprint and the band keys."""
+    schema = "node binary, shingles array<bigint>" if whole else f"row {docs.schema['row'].dataType.simpleString()}, node binary, n bigint, print bigint, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.list_(pa.int64())
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [shingle_set(t.as_py() or "", words_in_shingle) for t in part.column(1)]
+                hashes = [shingle_hashes(t.as_py() or "", words_in_shingle) for t in part.column(1)]
+                sets = [np.unique(h) for h in hashes]
                 nodes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
                 if whole:
                     yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s in sets], lists)], ["node", "shingles"])
                 else:
+                    prints = np.array([fold(h) for h in hashes], np.uint64).view(np.int64)
                     keys = pa.array([band_keys(s) for s in sets], lists)
-                    yield pa.RecordBatch.from_arrays([part.column(0), nodes, pa.array([len(s) for s in sets], pa.int64()), keys], ["row", "node", "n", "keys"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), nodes, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), keys], ["row", "node", "n", "print", "keys"])
 
     return docs.select("row", "text").mapInArrow(run, schema)
 
@@ -68,27 +70,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").where(100 * both >= percent * (F.size("of_u") + F.size("of_v") - both)).select("u", "v")
 
 
-def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", words_in_shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", words_in_shingle: int = 5, percent: int = 80, threshold: int = 2) -> DataFrame:
     """(row, leader) for every row: the smallest row key of its group.
 
     Two texts link if the Jaccard similarity of their sets of word shingles (as
     in :func:`.simhash.fingerprint`) is at least ``percent`` percent; a group is
-    what links reach.  Equal sets are one node from the start.  Nodes with a
-    band key in common are candidates.  In every bucket the node with the most
-    company is compared first; after that only nodes that are still in different
-    groups are, so a large group of near copies is not compared pair by pair.
-    Every link is verified on the sets.
+    what links reach.  Equal sets are one node from the start.  Nodes whose
+    fingerprints meet at an anchor and differ in at most ``threshold`` bits are
+    candidates (:func:`.simhash.near_links`), and so are nodes with a band key
+    in common.  In every bucket the node with the most company is compared
+    first; after that only nodes that are still in different groups are, so a
+    large group of near copies is not compared pair by pair.  Every link is
+    verified on the sets, so candidates decide nothing by themselves.
 
     A null text is empty; texts without words are one group.  ``row_col`` is any
     orderable key without nulls; an empty table gives no rows.
     """
     texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     each = materialize(_measured(texts, words_in_shingle, False), "near-each")
-    nodes = materialize(each.groupBy("node").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-nodes")
-    banded = nodes.select("node", "n", F.explode("keys").alias("key"))
+    nodes = materialize(each.groupBy("node").agg(F.min("row").alias("least"), F.first("n").alias("n"), F.min("print").alias("print"), F.first("keys").alias("keys")), "near-nodes")
+    # A fingerprint with copies is one more bucket; of nodes with neighbouring ones, the smallest of each are compared.
+    by_print = nodes.where("n > 0").groupBy("print").agg(F.min("node").alias("node"))
+    met = materialize(near_links(by_print, threshold), "near-prints")
+    u, v = (by_print.select(F.col("print").alias(x), F.col("node").alias(f"node_{x}")) for x in "uv")
+    anchored = materialize(met.join(u, "u").join(v, "v").select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")), "near-anchored")
+    banded = nodes.where("n > 0").select("node", "n", F.explode(F.concat("keys", F.array("print"))).alias("key"))
     company = banded.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
     members = materialize(banded.join(company, "key"), "near-members")
-    central = materialize(members.groupBy("node").agg(F.sum("company").alias("company")), "near-central")
+    alone = anchored.select(F.explode(F.array("u", "v")).alias("node"), F.lit(0).cast("long").alias("company"))
+    central = materialize(members.select("node", "company").union(alone).groupBy("node").agg(F.sum("company").alias("company")), "near-central")
     wanted = nodes.join(central, "node", "left_semi").select(F.col("least").alias("row")).distinct()
     sets = _measured(texts.join(wanted, "row", "left_semi"), words_in_shingle, True)
     sets = materialize(sets.join(central, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
@@ -98,7 +108,7 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", words_in_
     ranked = members.drop("company").join(central, "node")
     first = ranked.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("company", "node")).alias("f"))
     star = members.join(first, "key").where((F.col("node") != F.col("f.node")) & near(F.col("n"), F.col("f.n"))).select(*ends(F.col("node"), F.col("f.node"))).distinct()
-    links = materialize(_verified(star, sets, percent), "near-links")
+    links = materialize(_verified(star.union(anchored).distinct(), sets, percent), "near-links")
     grouped = members.join(connected_components(links, "near-star").withColumnRenamed("root", "r"), "node", "left")
     grouped = materialize(grouped.select("key", "node", "n", F.coalesce("r", "node").alias("root")), "near-grouped")
     split = grouped.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")

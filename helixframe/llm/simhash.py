@@ -16,6 +16,8 @@ from ..tables import materialize
 
 #: The binary Golay code: length 23, 12 information bits, every word within 3 bits of exactly one code word.
 _LENGTH, _CHECKS, _GENERATOR = 23, 11, 0b110001110101
+#: Different fingerprints that one task takes to their anchors.
+PRINTS_PER_TASK = 20_000
 
 
 def shingle_hashes(text: str, words_in_shingle: int) -> np.ndarray:
@@ -37,13 +39,8 @@ def shingle_hashes(text: str, words_in_shingle: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops)), "<u8", n)
 
 
-def fingerprint(text: str, words_in_shingle: int) -> int:
-    """64-bit SimHash of the word shingles of a text (:func:`shingle_hashes`).
-
-    A text without words has fingerprint 0.  A bit is set if it is set in over
-    half of the hashes.
-    """
-    hashes = shingle_hashes(text, words_in_shingle)
+def fold(hashes: np.ndarray) -> int:
+    """64-bit SimHash of hashes: a bit is set if it is set in over half of them; 0 without any."""
     n = len(hashes)
     if not n:
         return 0
@@ -54,6 +51,11 @@ def fingerprint(text: str, words_in_shingle: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words_in_shingle: int) -> int:
+    """64-bit SimHash of the word shingles of a text (:func:`shingle_hashes`); a text without words has 0."""
+    return fold(shingle_hashes(text, words_in_shingle))
+
+
 class CoveringCode:
     """Anchors: pairs of Golay code words over the lowest 46 bits of a fingerprint."""
 
@@ -128,10 +130,14 @@ def near_links(prints: DataFrame, threshold: int) -> DataFrame:
     Two such prints meet at the nearest anchor of the smaller one: it lies
     within the covering radius of that one and so within radius plus threshold
     of the other.  The comparison is part of the join, so only links leave it.
-    ``threshold`` is at most 2.
+    ``threshold`` is at most 2.  Prints grow about 61-fold on their way to the
+    anchors, so they are dealt to tasks by their number before that, not by
+    their bytes.
     """
     if not 0 <= threshold <= 2:
         raise ValueError("threshold must be 0, 1 or 2")
+    tasks = max(prints.sparkSession.sparkContext.defaultParallelism, prints.count() // PRINTS_PER_TASK + 1)
+    prints = prints.select("print").repartition(tasks, "print")
     home = _anchored(prints, None).withColumnRenamed("print", "u")
     reach = _anchored(prints, threshold).withColumnRenamed("print", "v")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold
@@ -168,8 +174,7 @@ def near_duplicates(
     """
     each = materialize(fingerprints(docs, id_col, text_col, words_in_shingle), "simhash")
     nodes = materialize(each.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    # The pairwise work follows the nodes, not the partitions of the documents.
-    roots = connected_components(near_links(nodes.select("print").repartition("print"), threshold), "simhash-links")
+    roots = connected_components(near_links(nodes, threshold), "simhash-links")
     grouped = nodes.join(roots, nodes.print == roots.node, "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     best = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(best, "root").select("print", "component_id")
