@@ -24,6 +24,7 @@ def odd_rows() -> list[tuple]:
         (13, prose(4, 150) + " " + passage + " " + prose(5, 99)), (14, "same line of text here\n" * 30), (15, "Same line of TEXT here  \nother line of text\n\nshort\nshort"), (16, "a b c a b c a b c " * 20),
         (17, "x" * 5000), (18, prose(6, 6000)), (None, "no id, but a text with same line\nother line of text"), (None, "no id, but a text with same line\nother line of text"), (9, prose(1, 400)),
         (19, "user=alice at https://db.example.org:5432 pw Zx9Qw8Er7Ty6Ui5Op4As"), (20, "\n\n\n"), (21, "  double  spaces \n\n and\ttabs "),
+        (22, "one text<|endoftext|> and another <|endoftext|>"), (23, "first text of an id\nwith one line more"), (23, "second text of an id\nsame line of text here"),
     ]
     sources = ["a", "b", None, "a", "a"]
     return [(i, t, ["en", "de", None][n % 3], sources[n % 5], 7, 7, "x", 7, "x", 7, 7) for n, (i, t) in enumerate(texts)]

@@ -28,17 +28,19 @@ def reading(monkeypatch, df):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_packing(spark, docs, monkeypatch):
     reading(monkeypatch, docs)
-    rows = queries.op2_packing(spark, "").collect()
+    check_pieces(queries.op2_packing(spark, "").collect(), docs.collect())
+
+
+def check_pieces(rows, documents):
+    """Every id of every document lies in one piece, and sequences are gapless and unpadded."""
     t = tokenizer()
     wanted = defaultdict(list)
-    for r in docs.collect():
+    for r in documents:
         wanted[r.doc_id].append([*t.encode(r.text or "", add_special_tokens=False).ids, 1])
     got = defaultdict(list)
     for r in rows:
@@ -257,6 +259,8 @@ def test_line_index_is_reversible(spark, odd):
     back = both.delete(second.select("doc_id").distinct())
     assert table(back) == table(one) and table(both) != table(one)
     assert table(linededup.LineIndex.empty(spark, 4).insert(references)) == table(both)
+    more = linededup.LineIndex.empty(spark, 4).insert(first).reshard(9).insert(second)
+    assert table(more) == table(both) and table(more.delete(second.select("doc_id").distinct())) == table(one)
     known = {r.shard: linededup.CuckooFilter.load(r["filter"]) for r in back.filters.collect()}
     for r in one.counts.collect():
         assert known[r.shard].contains(np.array([r.high]), np.array([r.low])).all()
@@ -312,9 +316,9 @@ def test_repeated_passages(spark, docs):
         for a, b in zip([0, *ends[:-1]], ends):
             if b - a >= 16:
                 held[text[a:b]].add(rank(r.doc_id))
-                where[rank(r.doc_id)].append((len(text[:a].decode()), len(text[:b].decode()), text[a:b]))
+                where[rank(r.doc_id), text].append((len(text[:a].decode()), len(text[:b].decode()), text[a:b]))
     wanted = set()
-    for d, own in where.items():
+    for (d, _), own in where.items():
         spans = []
         for a, b, c in sorted(set(own)):
             if min(held[c]) < d:
@@ -354,9 +358,21 @@ def test_topk(spark, monkeypatch):
             best = sorted(((code ^ c).bit_count(), i) for i, c in all_codes)[:10]
             assert sorted(got[q]) == [(n, d, i) for n, (d, i) in enumerate(best, 1)]
     assert hamming.top_k(codes.limit(0), codes.limit(0)).count() == 0
+    # Columns of the input named like those of the search change nothing.
+    clash = [(1, [1.0] * 64, 5, "x", 3, 2), (2, [-1.0] * 64, 5, "x", 3, 2), (3, [1.0] * 63 + [-1.0], None, "y", 1, 0)]
+    named = hamming.sign_codes(spark.createDataFrame(clash, "vec_id long, embedding array<double>, id long, code string, q long, distance long"), "vec_id", "embedding")
+    assert [(r.id, r.distance) for r in hamming.top_k(named, named.where("id = 1"), 3).orderBy("rank").collect()] == [(1, 0), (3, 1), (2, 64)]
     assert hamming.top_k(codes.where("id < 3"), codes.where("id = 0")).count() == 3
 
 
+def test_wide_and_short_vectors(spark):
+    from helixframe.llm import hamming
+
+    rows = [(1, [1.0] * 64 + [-2.0] * 64), (2, [1.0] * 64 + [2.0] + [-2.0] * 5), (3, [1.0, -1.0, None]), (4, [])]
+    got = {r.id: r.code & (1 << 64) - 1 for r in hamming.sign_codes(spark.createDataFrame(rows, "v long, e array<float>"), "v", "e").collect()}
+    assert got == {1: 0, 2: ((1 << 64) - 1) & ~0b111110, 3: 1, 4: 0}
+
+
 def test_token_counts(spark, docs):
     from helixframe.llm import attribution
 
@@ -430,11 +446,23 @@ def test_sharding(spark, documents, odd):
     assert sharding.shard(odd, 1000).count() == odd.count()
 
 
+def test_equal_rows_part_to_the_last(spark):
+    from helixframe.llm import sharding
+
+    rows = sharding.shard(spark.range(300).selectExpr("7L AS doc_id", "'abc' AS text", "'x' AS bytes", "1 AS key"), 3).collect()
+    assert len({r.shard for r in rows}) == 300 and all(r.shard_rows == 1 and r.depth > 40 for r in rows)
+
+
 def test_empty_tables(spark, nothing, monkeypatch):
-    reading(monkeypatch, nothing)
+    import corpus_pipeline as p
+
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(queries, "_table", lambda _s, _d, name: vectors if name == "embeddings" else nothing)
     for name, query in queries.queries().items():
-        if name not in ("op1_topk_search", "pipeline"):
+        if name != "pipeline":
             assert query(spark, "").count() == 0, name
+    for name, stage in p.STAGES:
+        assert stage(spark, nothing, "").count() == 0, name
 
 
 def test_pipeline_stages(spark, docs):
@@ -442,25 +470,34 @@ def test_pipeline_stages(spark, docs):
 
     docs = docs.select(p.COLUMNS)
     stages = dict(p.STAGES)
+    assert list(stages) == ["quality rules", "line dedup", "SimHash near-dedup", "mixing", "packing"]
     kept = stages["quality rules"](spark, docs, "")
     verdicts = quality.apply_rules(docs, public_tokenizers.path("piece_bpe_32k.model")).where("kept")
     assert kept.columns == p.COLUMNS and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in verdicts.collect())
 
     lines = stages["line dedup"](spark, docs, "")
-    wanted = Counter((d, t or "") for d, _, k, t in brute_lines(docs.collect()) if not k or t.strip(" "))
+    wanted = Counter((d, t or "") for d, _, k, t in brute_lines(docs.collect()) if not k or t.strip(SPACES))
     assert lines.columns == p.COLUMNS and Counter((r.doc_id, r.text or "") for r in lines.collect()) == wanted
-
-    rows = docs.collect()
-    leaders = stages["SimHash near-dedup"](spark, docs, "").collect()
-    named = brute_components([(r.doc_id, brute_fingerprint(r.text or "")) for r in rows if r.doc_id is not None])
-    ids = Counter(r.doc_id for r in leaders)
-    assert {d for d in ids if d is not None and d >= 0} >= {c for d, _, c in named if d == c} - {c for _, _, c in named if ids[c] == 0 and any(r.doc_id is None for r in rows)}
-    assert max(n for d, n in ids.items() if d is not None) == 1
+    assert all(r.n_chars == len(r.text) for r in lines.collect() if r.text is not None)
 
     mixed = stages["mixing"](spark, docs, "")
-    taken = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).where("size > 0 and copies > 0").collect()}
-    assert mixed.columns == p.COLUMNS and set(taken) == {(r.doc_id, r.source) for r in mixed.collect()}
-    assert stages["packing"](spark, mixed, "").count() > 0
+    wanted = Counter()
+    texts = {(r.doc_id, r.source, len(WORD.findall(r.text or "")), r.text) for r in docs.collect()}
+    taken = Counter()
+    for r in mixing.mix(docs, keep=("text",)).where("size > 0").collect():
+        assert (r.doc_id, r.source, r.size, r.text) in texts
+        taken[r.doc_id, r.source, r.text] += r.copies
+    got = Counter((r.doc_id, r.source, r.text) for r in mixed.collect())
+    assert mixed.columns == p.COLUMNS and got == +taken
+    check_pieces(stages["packing"](spark, mixed, "").withColumn("ids_crc32", F.crc32("ids")).collect(), mixed.collect())
+
+
+def test_blank_rests_go(spark):
+    import corpus_pipeline as p
+
+    rows = [(1, "a line that repeats", "en", "s", 0), (2, "a line that repeats\n\t\n", "en", "s", 0), (3, "\n\t", "en", "s", 0), (4, None, "en", "s", 0)]
+    got = dict(p.STAGES)["line dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert sorted((r.doc_id, r.n_chars) for r in got) == [(1, 19), (3, 2), (4, None)]
 
 
 def test_pipeline_runs(spark):

@@ -1,4 +1,4 @@
-"""The near-copies stage against brute-force Jaccard similarity of 5-word shingles."""
+"""The near-dedup stage against brute-force Jaccard similarity of 5-word shingles."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ def shingles(text: str, k: int = 5) -> frozenset:
 
 
 def brute_leaders(rows: list[tuple]) -> set:
-    """Of (doc_id, text), the smallest id of each group."""
+    """Of (key, text), the smallest key of each group."""
     sets = [(d, shingles(t or "")) for d, t in rows]
     root = {d: d for d, _ in rows}
 
@@ -29,7 +29,7 @@ def brute_leaders(rows: list[tuple]) -> set:
 
     for i, (d, a) in enumerate(sets):
         for e, b in sets[:i]:
-            if a == b or 5 * len(a & b) >= 4 * len(a | b) > 0:
+            if a == b or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b) > 0):
                 x, y = sorted((find(d), find(e)))
                 root[y] = x
     return {d for d in root if find(d) == d}
@@ -52,7 +52,7 @@ def stage(spark, rows):
     import corpus_pipeline as p
 
     docs = spark.createDataFrame([(d, t, "en", "a", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    return dict(p.STAGES)["near copies"](spark, docs, "").collect()
+    return dict(p.STAGES)["SimHash near-dedup"](spark, docs, "").collect()
 
 
 def test_near_copies_go(spark):
@@ -66,3 +66,21 @@ def test_texts_with_one_id_stay(spark):
     first, second = prose(501, 200), prose(502, 200)
     got = [(r.doc_id, r.text) for r in stage(spark, [(1, first), (1, second), (1, first), (2, second)])]
     assert sorted(got) == sorted([(1, first), (1, second)])
+
+
+def test_whole_tables(spark, docs):
+    """Exactly the brute-force leaders, with null and repeated ids."""
+    import corpus_pipeline as p
+
+    rows = {(r.doc_id is None, r.doc_id or 0, r.h): r.text for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.h) for r in dict(p.STAGES)["SimHash near-dedup"](spark, docs, "").selectExpr("doc_id", "xxhash64(text) AS h").collect())
+    assert got == sorted(brute_leaders(list(rows.items())))
+
+
+def test_fingerprints_alone_link_too(spark):
+    """Candidates that only anchors give are compared as well."""
+    from helixframe.llm import nearcopies
+
+    texts = spark.createDataFrame([(i, t) for i, t in near_rows()], "row long, text string")
+    with_anchors = set(map(tuple, nearcopies.near_copies(texts, "row").collect()))
+    assert with_anchors == set(map(tuple, nearcopies.near_copies(texts, "row", threshold=0).collect()))
