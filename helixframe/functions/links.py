@@ -29,6 +29,11 @@ def orientation_class(a="ctg_a_idx", b="ctg_b_idx", ao="read_a_orien", bo="read_
     return F.when(a < b, 2 * ao + bo).otherwise(2 * (1 - bo) + 1 - ao)
 
 
+def insert_gap(insert_size, a="ctg_a_idx", b="ctg_b_idx", width_a="width_a", width_b="width_b") -> Column:
+    """Gap estimate of one link as a double under an insert size that is given, not the link's own."""
+    return link_gap(a, b, width_a, width_b) - _col("insert_size") + F.lit(float(insert_size))
+
+
 def read_end_distances(state="implied_state", a="ctg_a_idx", b="ctg_b_idx", width_a="width_a", width_b="width_b") -> Column:
     """struct<d1, d2>: how far each read is from the contig end that faces the other contig.
 
@@ -87,8 +92,3 @@ def flipped() -> dict[str, Column]:
         "orien_a": 1 - F.col("orien_a"), "orien_b": 1 - F.col("orien_b"),
         "X": F.when(turned, 1 - F.col("X")).otherwise(F.col("X")), "Y": F.when(turned, 1 - F.col("Y")).otherwise(F.col("Y")),
     }
-
-
-def chosen_weight() -> Column:
-    """The weight of a solved bundle's state; of several set states, the last."""
-    return F.coalesce(*(F.when(F.col(s) == 1, F.col(f"WT_{s}")) for s in "DCBA"))

@@ -167,98 +167,149 @@ def shortest_paths(edges: DataFrame, source, max_rounds: int | None = None) -> D
     raise ValueError("negative cycle")
 
 
-def spanning_forest(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, parent, level, root): breadth-first trees of edges (u, v) from ``roots`` (node, root); parent of a root is null.
+def euler_tour(tree: DataFrame, roots: DataFrame, rooted: bool = False) -> DataFrame:
+    """(node, parent, root, first, last): nodes of trees with edges (u, v), rooted at ``roots`` (node, root), as intervals of a walk around them.
+
+    A node's subtree are the nodes of its root whose ``first`` lies in its
+    interval; by ``first`` nodes are in preorder, by ``last`` and descending
+    ``first`` in postorder.  With ``rooted``, u is the parent of v, and children
+    are visited in ascending order.  The walk is a list of arcs that pointer
+    doubling ranks (:func:`order_paths`), so rounds follow the logarithm of the
+    number of nodes, not the depth.
+    """
+    kind = roots.schema["node"].dataType
+    both = tree.select("u", "v", F.lit(rooted).alias("down")).union(tree.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(False)))
+    arcs = materialize(both.withColumn("arc", F.monotonically_increasing_id()), "tour-arcs")
+    # An arc into b goes on to the neighbour of b after the one that it comes from, in a circle.
+    order = Window.partitionBy("v").orderBy("down", "u")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    circle = arcs.withColumns({"next": F.lead("u").over(order), "least": F.first("u").over(whole)})
+    circle = circle.join(roots.select(F.col("node").alias("v"), F.lit(True).alias("is_root")), "v", "left")
+    steps = circle.where("next is not null or is_root is null").select("arc", F.col("v").alias("from"), F.coalesce("next", "least").alias("to"))
+    linked = steps.join(arcs.select(F.col("u").alias("from"), F.col("v").alias("to"), F.col("arc").alias("then")), ["from", "to"])
+    placed = order_paths(linked.select(F.col("arc").alias("src"), F.col("then").alias("dst")))
+    at = materialize(arcs.join(placed.select(F.col("node").alias("arc"), "path", "pos"), "arc").select("u", "v", "path", "pos"), "tour-places")
+    back = at.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("pos").alias("back"))
+    down = at.join(back, ["u", "v"]).where("pos < back").select(F.col("v").alias("node"), F.col("u").alias("parent"), "path", (F.col("pos") + 1).alias("first"), F.col("back").alias("last"))
+    starts = at.where("pos = 0").select("path", F.col("u").alias("root"))
+    below = down.join(starts, "path").select("node", "parent", "root", "first", "last")
+    sizes = below.groupBy("root").agg((F.max("last") + 1).alias("last"))
+    tops = roots.select("node", F.col("node").alias("root")).distinct().join(sizes, "root", "left")
+    tops = tops.select("node", F.lit(None).cast(kind).alias("parent"), "root", F.lit(0).cast("long").alias("first"), F.coalesce("last", F.lit(0)).alias("last"))
+    return materialize(below.union(tops), "tour")
+
+
+def spanning_tree_edges(edges: DataFrame) -> DataFrame:
+    """(u, v): a spanning tree of each component of edges u < v.
+
+    In every round each part picks its first edge out, by a hash of the edge,
+    and parts that picked edges join are one part from then on: at least half of
+    them go each time.
+    """
+    left = materialize(edges.select("u", "v", F.struct(F.xxhash64("u", "v").alias("h"), "u", "v").alias("rank"), F.col("u").alias("pu"), F.col("v").alias("pv")), "span-edges")
+    picked = edges.select("u", "v").limit(0)
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array("pu", "pv")).alias("part"), "rank", F.struct("pu", "pv").alias("parts"))
+        best = ends.groupBy("part").agg(F.min_by(F.struct("rank.u", "rank.v", "parts.pu", "parts.pv"), "rank").alias("e"))
+        chosen = materialize(best.select("e.*").distinct(), "span-chosen")
+        picked = picked.union(chosen.select("u", "v"))
+        parts = connected_components(chosen.select(F.col("pu").alias("u"), F.col("pv").alias("v")), "span-parts")
+        pu, pv = (parts.select(F.col("node").alias(x), F.col("root").alias(f"new_{x}")) for x in ("pu", "pv"))
+        left = left.join(pu, "pu").join(pv, "pv").where("new_pu <> new_pv").select("u", "v", "rank", F.col("new_pu").alias("pu"), F.col("new_pv").alias("pv"))
+        left = materialize(left, "span-edges")
+    return picked
+
+
+def rooted_forest(edges: DataFrame) -> DataFrame:
+    """A spanning tree of each component of edges (u, v), rooted at its smallest node, as :func:`euler_tour` gives it."""
+    edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "forest-edges")
+    found = connected_components(edges, "forest-components")
+    return euler_tour(materialize(spanning_tree_edges(edges), "forest-tree"), found.where("node = root"))
+
 
-    One round per level; of several possible parents the smallest.
+def subtree_extremes(forest: DataFrame, values: DataFrame) -> DataFrame:
+    """(node, lo, hi): the least ``lo`` and greatest ``hi`` of ``values`` (node, lo, hi) over each node's subtree, itself included.
+
+    Positions are summed up in blocks of 1, 2, 4 and so on; an interval is at
+    most two blocks of each size, so this is one join, whatever the depth.
     """
-    both = materialize(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "tree-edges")
-    seen = materialize(roots.select("node", F.lit(None).cast(roots.schema["node"].dataType).alias("parent"), F.lit(0).alias("level"), "root"), "tree")
-    front, level = seen, 0
-    while True:
-        level += 1
-        met = both.join(front.select(F.col("node").alias("u"), "root"), "u").groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"), F.min("root").alias("root"))
-        new = met.join(seen.select("node"), "node", "left_anti").select("node", "parent", F.lit(level).alias("level"), "root")
-        front = materialize(new, "tree-front")
-        if front.isEmpty():
-            return seen
-        seen = materialize(seen.union(front), "tree")
+    bits = int(forest.agg(F.max("last")).first()[0] or 0).bit_length()
+    levels = F.sequence(F.lit(0), F.lit(bits))
+    at = forest.select("node", "root", "first").join(values, "node").select("root", "first", "lo", "hi", F.explode(levels).alias("k"))
+    table = at.groupBy("root", "k", F.expr("shiftright(first, k)").alias("block")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    left, right = F.expr("shiftright(first + shiftleft(1L, k) - 1, k)"), F.expr("shiftright(last + 1, k)")
+    asked = forest.select("node", "root", "first", "last", F.explode(levels).alias("k")).select("node", "root", "k", left.alias("l"), right.alias("r")).where("l < r")
+    wanted = F.array_compact(F.array(F.when(F.col("l") % 2 == 1, F.col("l")), F.when(F.col("r") % 2 == 1, F.col("r") - 1)))
+    asked = asked.select("node", "root", "k", F.explode(wanted).alias("block"))
+    return asked.join(table, ["root", "k", "block"]).groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def tree_orders(tree: DataFrame) -> DataFrame:
+    """(node, parent, root, pre, post): ranks from 0 in preorder and postorder of rooted trees of edges (src, dst), parent to child; children in ascending order."""
+    roots = tree.select(F.col("src").alias("node")).join(tree.select(F.col("dst").alias("node")), "node", "left_anti").distinct().withColumn("root", F.col("node"))
+    tour = euler_tour(tree.select(F.col("src").alias("u"), F.col("dst").alias("v")), roots, rooted=True)
+    joined = tour.join(tree_depth(tour), "node")
+    # Before a place in the walk lie arcs down and arcs up, and the depth there is their difference; each arc down is a node
+    # that begins, each arc up one that ends.
+    pre = ((F.col("first") + F.col("depth")) / 2).cast("long")
+    post = ((F.col("last") - F.col("depth")) / 2).cast("long")
+    return joined.select("node", "parent", "root", pre.alias("pre"), post.alias("post"))
+
+
+def tree_depth(forest: DataFrame) -> DataFrame:
+    """(node, depth) of rooted trees (node, parent), by pointer doubling."""
+    at = materialize(forest.select("node", F.col("parent").alias("jump"), F.col("parent").isNotNull().cast("long").alias("depth")), "depth")
+    while not at.where("jump is not null").isEmpty():
+        far = at.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"))
+        at = materialize(at.join(far, "jump", "left").select("node", F.col("next").alias("jump"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depth")
+    return at.select("node", "depth")
+
+
+def long_paths(tree: DataFrame) -> DataFrame:
+    """Edges (src, dst) of disjoint paths in rooted trees (src, dst): each node goes on to the child below which the tree is deepest.
+
+    The longest path from the root, then the longest in what is left, and so on;
+    of equal depths the smaller child.
+    """
+    roots = tree.select(F.col("src").alias("node")).join(tree.select(F.col("dst").alias("node")), "node", "left_anti").distinct().withColumn("root", F.col("node"))
+    tour = euler_tour(tree.select(F.col("src").alias("u"), F.col("dst").alias("v")), roots, rooted=True)
+    depth = materialize(tree_depth(tour), "path-depth")
+    deepest = subtree_extremes(tour, depth.select("node", F.col("depth").alias("lo"), F.col("depth").alias("hi")))
+    best = tree.join(deepest.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.max_by("dst", F.struct("hi", -F.col("dst"))).alias("dst"))
+    return best.select("src", "dst")
 
 
-def blocks(edges: DataFrame) -> DataFrame:
+def blocks(edges: DataFrame, forest: DataFrame | None = None) -> DataFrame:
     """(u, v, block): the biconnected component of each edge u < v; block is the smallest tree node in it besides its top.
 
-    Works on all components at once: breadth-first spanning trees, preorder
-    numbers and subtree sizes by level, the lowest and highest preorder that a
-    subtree reaches over other edges, then connected components of tree edges
-    that must lie on one cycle.  Rounds follow the depth of the trees, not the
-    number of nodes, and no component is gathered anywhere.
+    Works on all components at once: a spanning tree of each with its Euler
+    tour, the first and last places that a subtree reaches over other edges,
+    then connected components of tree edges that must lie on one cycle.  Rounds
+    follow the logarithm of the number of nodes, and no component is gathered
+    anywhere.  ``forest`` is the :func:`rooted_forest` of the edges, if known.
     """
     edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "block-edges")
-    found = connected_components(edges, "block-components")
-    tree = materialize(spanning_forest(edges, found.where("node = root")), "block-tree")
-    depth = tree.agg(F.max("level")).first()[0]
-    if depth is None:
-        return edges.select("u", "v", F.col("u").alias("block"))
-
-    # Subtree sizes from the deepest level up.
-    size = tree.where(F.col("level") == depth).select("node", "parent", F.lit(1).cast("long").alias("nd"))
-    sizes = [size]
-    for level in range(depth - 1, -1, -1):
-        below = size.groupBy(F.col("parent").alias("node")).agg(F.sum("nd").alias("sub"))
-        size = tree.where(F.col("level") == level).join(below, "node", "left").select("node", "parent", (1 + F.coalesce("sub", F.lit(0))).alias("nd"))
-        size = materialize(size, "block-sizes")
-        sizes.append(size)
-    every = sizes[0]
-    for s in sizes[1:]:
-        every = every.union(s)
-    sized = materialize(every, "block-sizes")
-
-    # Preorder numbers within each component from the root down.
-    order = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tree.select("node", "parent", "level", "root").join(sized.select("node", "nd"), "node")
-    placed = materialize(placed.withColumn("before", F.when(F.col("level") == 0, 0).otherwise(F.coalesce(F.sum("nd").over(order), F.lit(0)))), "block-placed")
-    above = placed.where("level = 0").select("node", F.lit(0).cast("long").alias("pre"))
-    numbers = [above]
-    for level in range(1, depth + 1):
-        up = above.select(F.col("node").alias("parent"), F.col("pre").alias("top"))
-        above = placed.where(F.col("level") == level).join(up, "parent").select("node", (F.col("top") + 1 + F.col("before")).alias("pre"))
-        above = materialize(above, "block-preorder")
-        numbers.append(above)
-    pre = numbers[0]
-    for n in numbers[1:]:
-        pre = pre.union(n)
-    info = materialize(placed.join(pre, "node").select("node", "parent", "level", "root", "nd", "pre"), "block-info")
-
-    # What each node sees over edges that are not in the tree, then the extremes over its subtree.
-    short = info.select("node", "parent", "pre", "nd")
+    info = rooted_forest(edges) if forest is None else forest
+    short = info.select("node", "parent", "first", "last")
     a, b = (short.select(*(F.col(c).alias(f"{c}_{x}") for c in short.columns)) for x in "uv")
     ends = edges.join(a, edges.u == a.node_u).join(b, edges.v == b.node_v)
-    is_tree = (F.coalesce(F.col("parent_u") == F.col("v"), F.lit(False))) | (F.coalesce(F.col("parent_v") == F.col("u"), F.lit(False)))
-    ends = materialize(ends.withColumn("is_tree", is_tree), "block-ends")
+    under_v, under_u = F.coalesce(F.col("parent_u") == F.col("v"), F.lit(False)), F.coalesce(F.col("parent_v") == F.col("u"), F.lit(False))
+    ends = materialize(ends.withColumn("is_tree", under_v | under_u), "block-ends")
+
+    # What each node sees over edges that are not in the tree, then the extremes over its subtree.
     other = ends.where("not is_tree")
-    sees = other.select(F.col("u").alias("node"), F.col("pre_v").alias("to")).union(other.select(F.col("v").alias("node"), F.col("pre_u").alias("to")))
-    own = info.join(sees.groupBy("node").agg(F.min("to").alias("lo"), F.max("to").alias("hi")), "node", "left")
-    own = materialize(own.select("node", "parent", "level", F.least("pre", "lo").alias("lo"), F.greatest("pre", "hi").alias("hi")), "block-own")
-    reach = own.where(F.col("level") == depth).select("node", "parent", "lo", "hi")
-    reaches = [reach]
-    for level in range(depth - 1, -1, -1):
-        below = reach.groupBy(F.col("parent").alias("node")).agg(F.min("lo").alias("l"), F.max("hi").alias("h"))
-        reach = own.where(F.col("level") == level).join(below, "node", "left").select("node", "parent", F.least("lo", "l").alias("lo"), F.greatest("hi", "h").alias("hi"))
-        reach = materialize(reach, "block-reach")
-        reaches.append(reach)
-    span = reaches[0]
-    for r in reaches[1:]:
-        span = span.union(r)
+    sees = other.select(F.col("u").alias("node"), F.col("first_v").alias("to")).union(other.select(F.col("v").alias("node"), F.col("first_u").alias("to")))
+    own = info.join(sees.groupBy("node").agg(F.min("to").alias("l"), F.max("to").alias("h")), "node", "left").select("node", F.least("first", "l").alias("lo"), F.greatest("first", "h").alias("hi"))
+    span = subtree_extremes(info, own).join(info.select("node", "parent"), "node")
 
     # A tree edge is known by its lower node.
-    cross = other.where("pre_u + nd_u <= pre_v or pre_v + nd_v <= pre_u").select(F.col("u"), F.col("v"))
-    up = info.select(F.col("node").alias("parent"), F.col("pre").alias("p_pre"), F.col("nd").alias("p_nd"), F.col("parent").alias("grand"))
-    chained = span.join(up, "parent").where("grand is not null and (lo < p_pre or hi >= p_pre + p_nd)").select(F.col("node").alias("u"), F.col("parent").alias("v"))
+    cross = other.where("last_u < first_v or last_v < first_u").select("u", "v")
+    up = info.select(F.col("node").alias("parent"), F.col("first").alias("p_first"), F.col("last").alias("p_last"), F.col("parent").alias("grand"))
+    chained = span.join(up, "parent").where("grand is not null and (lo < p_first or hi > p_last)").select(F.col("node").alias("u"), F.col("parent").alias("v"))
     joined = connected_components(cross.union(chained), "block-joins")
-    lower = F.when(F.col("is_tree"), F.when(F.coalesce(F.col("parent_u") == F.col("v"), F.lit(False)), F.col("u")).otherwise(F.col("v"))).otherwise(F.when(F.col("pre_u") > F.col("pre_v"), F.col("u")).otherwise(F.col("v")))
-    named = ends.withColumn("node", lower).join(joined, "node", "left")
-    return named.select("u", "v", F.coalesce("root", "node").alias("block"))
+    lower = F.when(F.col("is_tree"), F.when(under_v, F.col("u")).otherwise(F.col("v"))).otherwise(F.when(F.col("first_u") > F.col("first_v"), F.col("u")).otherwise(F.col("v")))
+    named = ends.withColumn("node", lower).join(joined, "node", "left").select("u", "v", F.coalesce("root", "node").alias("block"))
+    return materialize(named, "blocks")
 
 
 def block_members(edge_blocks: DataFrame) -> DataFrame:
@@ -280,3 +331,109 @@ def shared_members(members: DataFrame) -> DataFrame:
     """(i, j, shared): pairs of sets of ``members`` (set, node) that share nodes, i < j, with what they share."""
     a, b = members.select(F.col("set").alias("i"), "node"), members.select(F.col("set").alias("j"), "node")
     return a.join(b, "node").where("i < j").groupBy("i", "j").agg(F.sort_array(F.collect_list("node")).alias("shared"))
+
+
+def block_cut_forest(edge_blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(block, cut): as :func:`block_cut_tree`, with a row for each block without a cut, and for each of ``nodes`` (node) without an edge as a block of its own (cut null)."""
+    blocks_ = edge_blocks.select("block").distinct()
+    lone = nodes.select(F.col("node").alias("block")).distinct().join(block_members(edge_blocks).select(F.col("node").alias("block")).distinct(), "block", "left_anti")
+    # A lone node's number is no other block's: block numbers are nodes with an edge.
+    return blocks_.union(lone).join(block_cut_tree(edge_blocks), "block", "left")
+
+
+def block_cut_nodes(edge_blocks: DataFrame) -> DataFrame:
+    """(kind, id, degree): the nodes of the block-cut tree, blocks (B) and cuts (C), with the number of their neighbours there."""
+    tree = block_cut_tree(edge_blocks)
+    cuts = tree.groupBy(F.col("cut").alias("id")).agg(F.count("*").alias("degree")).select(F.lit("C").alias("kind"), "id", "degree")
+    joined = edge_blocks.select("block").distinct().join(tree, "block", "left").groupBy(F.col("block").alias("id")).agg(F.count("cut").alias("degree"))
+    return cuts.union(joined.select(F.lit("B"), "id", "degree"))
+
+
+def block_tree_node(edge_blocks: DataFrame) -> DataFrame:
+    """(node, kind, id): where each node is in the block-cut tree: its only block (B), or itself if it is a cut (C)."""
+    members = block_members(edge_blocks).groupBy("node").agg(F.count("*").alias("n"), F.min("block").alias("block"))
+    cut = F.col("n") > 1
+    return members.select("node", F.when(cut, "C").otherwise("B").alias("kind"), F.when(cut, F.col("node")).otherwise(F.col("block")).alias("id"))
+
+
+def common_block(edge_blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(s, t, block): of ``pairs`` (s, t), those that lie in one block, with that block; two nodes share at most one."""
+    m = block_members(edge_blocks)
+    a, b = m.select(F.col("node").alias("s"), "block"), m.select(F.col("node").alias("t"), "block")
+    return pairs.join(a, "s").join(b, ["t", "block"]).select("s", "t", "block")
+
+
+def biconnected_components(edge_blocks: DataFrame, members: DataFrame) -> DataFrame:
+    """(root, biconnected): whether each component of ``members`` (node, root) stays connected without any one of its nodes; one node alone does not count."""
+    cuts = articulation_points(edge_blocks).withColumn("cut", F.lit(1))
+    per = members.join(cuts, "node", "left").groupBy("root").agg(F.count("*").alias("n"), F.count("cut").alias("cuts"))
+    return per.select("root", ((F.col("n") > 1) & (F.col("cuts") == 0)).alias("biconnected"))
+
+
+def set_connectivity(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """(set, n, parts): the nodes of each of ``sets`` (set, node) and the number of parts into which edges (u, v) inside the set join them; 1 is connected.
+
+    All sets at once: nodes are told apart by their set.
+    """
+    key = lambda n: F.concat_ws("/", F.col("set"), n)
+    a, b = sets.select("set", F.col("node").alias("u")), sets.select("set", F.col("node").alias("v"))
+    inside = edges.select("u", "v").join(a, "u").join(b, ["set", "v"])
+    roots = connected_components(inside.select(key(F.col("u")).alias("u"), key(F.col("v")).alias("v")), "set-parts")
+    named = sets.withColumn("key", key(F.col("node"))).join(roots.withColumnRenamed("node", "key"), "key", "left")
+    # Distinct in two steps: a set may be as large as the graph.
+    parts = named.select("set", F.coalesce("root", "key").alias("part")).distinct().groupBy("set").agg(F.count("*").alias("parts"))
+    return sets.groupBy("set").agg(F.count("*").alias("n")).join(parts, "set").select("set", "n", "parts")
+
+
+def overlap_with_earlier(members: DataFrame) -> DataFrame:
+    """(set, shared): how many nodes of each of ``members`` (set, node) a smaller set has too; in a tree of blocks at most one."""
+    first = members.groupBy("node").agg(F.min("set").alias("first"))
+    return members.join(first, "node").groupBy("set").agg(F.count_if(F.col("first") < F.col("set")).alias("shared"))
+
+
+def first_component_of_size(members: DataFrame, above: int = 25, below: int = 100) -> DataFrame:
+    """(root, size): the first component of ``members`` (node, root) with more than ``above`` and fewer than ``below`` nodes; none if there is none."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("size")).where((F.col("size") > above) & (F.col("size") < below))
+    return sizes.agg(F.min(F.struct("root", "size")).alias("f")).where("f is not null").select("f.root", "f.size")
+
+
+def _cyclic(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, ...) of components that are cycles, with the component's root; every node has one in and one out at most."""
+    found = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    starts = edges.select(F.col("src").alias("node")).join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+    open_roots = starts.join(found, "node").select("root").distinct()
+    return materialize(edges.join(found.withColumnRenamed("node", "src"), "src").join(open_roots, "root", "left_anti"), "cycles")
+
+
+def break_cycles_lightest(edges: DataFrame) -> DataFrame:
+    """Matched edges (src, dst, weight), at most one in and out per node, without the lightest of each cycle; of equals the smallest source."""
+    least = _cyclic(edges).groupBy("root").agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("e.src", "e.dst")
+    return edges.join(least, ["src", "dst"], "left_anti").select(edges.columns)
+
+
+def break_cycles_last(edges: DataFrame) -> DataFrame:
+    """Matched edges, at most one in and out per node, without the one that leads back to the smallest node of each cycle."""
+    last = _cyclic(edges).where("dst = root").select("src", "dst")
+    return edges.join(last, ["src", "dst"], "left_anti").select(edges.columns)
+
+
+def contract_tree(tree: DataFrame, sizes: DataFrame, cutoff: int) -> DataFrame:
+    """(node, merged, size): nodes of a forest of edges (a, b), put together with their neighbours while the ``sizes`` (node, size) of both sum to at most ``cutoff``.
+
+    In every round the edges with the smallest sum (then the smallest ends) at
+    both their ends are contracted at once.  ``merged`` is the smallest node,
+    ``size`` counts shared members as often as they come.
+    """
+    state = materialize(sizes.select("node", F.col("node").alias("merged"), F.col("size").cast("long").alias("size")), "contract")
+    while True:
+        name = lambda x: state.select(F.col("node").alias(x), F.col("merged").alias(f"m{x}"), F.col("size").alias(f"s{x}"))
+        open_ = tree.select("a", "b").join(name("a"), "a").join(name("b"), "b").where((F.col("ma") != F.col("mb")) & (F.col("sa") + F.col("sb") <= cutoff))
+        open_ = open_.select(F.struct((F.col("sa") + F.col("sb")).alias("sum"), F.least("ma", "mb").alias("x"), F.greatest("ma", "mb").alias("y")).alias("e")).distinct()
+        best = open_.select("e", F.explode(F.array("e.x", "e.y")).alias("m")).groupBy("m").agg(F.min("e").alias("e"))
+        chosen = best.groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.x", "e.y", "e.sum")
+        chosen = materialize(chosen, "contract-chosen")
+        if chosen.isEmpty():
+            return state
+        moved = chosen.select(F.inline(F.array(*(F.struct(F.col(c).alias("merged"), F.col("x").alias("into"), F.col("sum").alias("total")) for c in "xy"))))
+        state = state.join(moved, "merged", "left").select("node", F.coalesce("into", "merged").alias("merged"), F.coalesce("total", "size").alias("size"))
+        state = materialize(state, "contract")

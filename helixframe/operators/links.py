@@ -34,6 +34,39 @@ def with_implied_distance(links: DataFrame, contigs: DataFrame) -> DataFrame:
     return d.withColumn("implied_dist", X.implied_distance("d")).select("*", "d.d1", "d.d2").drop("d")
 
 
+def overhanging(links: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Links with d1 and d2 of which one is negative: a read that hangs over its contig, so that no distance is implied."""
+    return with_implied_distance(links, contigs).where("d1 < 0 or d2 < 0").drop("implied_dist")
+
+
+def mark_used(links: DataFrame, round_: int) -> DataFrame:
+    """Links with ``used`` set to the number of a round where they are valid."""
+    return links.withColumn("used", F.when(F.col("invalid") == 0, F.lit(round_).cast("long")).otherwise(F.col("used")))
+
+
+def name_lookup(contigs: DataFrame, order: str = "node_idx") -> DataFrame:
+    """(ctg_name, node_idx): the number of each name; of several the last in ``order``."""
+    return contigs.groupBy("ctg_name").agg(F.max_by("node_idx", order).alias("node_idx"))
+
+
+def last_links(links: DataFrame, order: list[str]) -> DataFrame:
+    """(lo, hi, ...): of the links of each pair the last in ``order``, with all its columns, as an edge of a simple graph."""
+    rest = F.struct(*links.columns)
+    return with_pair(links).groupBy(PAIR).agg(F.max_by(rest, F.struct(*order)).alias("l")).select(*PAIR, "l.*")
+
+
+def constant_insert_gaps(links: DataFrame, contigs: DataFrame, bundles: DataFrame, insert_size: int = 2000, without: float = 500.0) -> DataFrame:
+    """(lo, hi, gap): mean gap estimate of the valid links of each bundle under one insert size; ``without`` for a bundle that has none."""
+    each = with_pair(with_widths(valid(links), contigs)).withColumn("gap", X.insert_gap(insert_size))
+    means = each.groupBy(PAIR).agg(F.avg("gap").alias("gap"))
+    return with_pair(bundles).select(PAIR).distinct().join(means, PAIR, "left").select(*PAIR, F.coalesce("gap", F.lit(without)).alias("gap"))
+
+
+def induced_digraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Directed edges (src, dst) out of ``nodes`` (node_idx), wherever they lead."""
+    return edges.join(nodes.select(F.col("node_idx").alias("src")).distinct(), "src", "left_semi").select(edges.columns)
+
+
 def links_per_pair(links: DataFrame) -> DataFrame:
     """(lo, hi, n_links)."""
     return with_pair(links).groupBy(PAIR).agg(F.count("*").alias("n_links"))
@@ -165,7 +198,7 @@ def merge_islands(masks: DataFrame, key: str = "node_idx") -> DataFrame:
 
 
 def read_weights(links: DataFrame, masks: DataFrame, bin_width: int = 1000) -> DataFrame:
-    """(link_id, a_coverage, a_overlap, b_coverage, b_overlap): the unmasked part of each link's reads.
+    """(link_id, a_coverage, b_coverage, a_overlap, b_overlap): the unmasked part of each link's reads.
 
     ``links`` has a link_id; ``masks``: (node_idx, start, end).  A range join:
     both sides are cut into bins of positions and meet on (contig, bin); each
@@ -185,4 +218,4 @@ def read_weights(links: DataFrame, masks: DataFrame, bin_width: int = 1000) -> D
         "link_id", "read", (1.0 - F.coalesce("masked", F.lit(0)) / (F.col("end") - F.col("start"))).alias("overlap")
     )
     one = lambda x: F.max(F.when(F.col("read") == x, F.col("overlap"))).alias(f"{x}_overlap")
-    return share.groupBy("link_id").agg(one("a"), one("b")).select("link_id", F.lit(1.0).alias("a_coverage"), "a_overlap", F.lit(1.0).alias("b_coverage"), "b_overlap")
+    return share.groupBy("link_id").agg(one("a"), one("b")).select("link_id", F.lit(1.0).alias("a_coverage"), F.lit(1.0).alias("b_coverage"), "a_overlap", "b_overlap")

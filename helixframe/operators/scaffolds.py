@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import links as X
+from ..tables import materialize
 
 #: Fixed value: what a negative gap becomes.
 LEAST_GAP = 7
@@ -92,10 +93,12 @@ def break_scaffolds(agp: DataFrame, good: DataFrame, compat: bool = False) -> Da
     the rows of the last piece of the last scaffold by name have no scaffold.
     """
     rows = _neighbours(agp, False).withColumns({"lo": F.least("prev", "next"), "hi": F.greatest("prev", "next")}).drop("prev", "next", "prev_type", "next_type")
-    marked = rows.join(good.select("lo", "hi", F.lit(True).alias("good")).distinct(), ["lo", "hi"], "left").drop("lo", "hi")
-    bad = F.when((F.col("comp_type") == "N") & F.col("good").isNull(), 1).otherwise(0)
+    # Only gap rows have a pair to look up; contig rows all stand between gaps of one name.
+    known = good.select("lo", "hi", F.lit(0).alias("fits")).distinct()
+    gaps = rows.where("comp_type = 'N'").join(known, ["lo", "hi"], "left").select(*agp.columns, F.coalesce("fits", F.lit(1)).alias("bad"))
+    marked = gaps.unionByName(rows.where("comp_type <> 'N'").select(*agp.columns, F.lit(0).alias("bad")))
     order = Window.partitionBy("scaf_name").orderBy("scaf_idx")
-    cut = marked.withColumn("bad", bad).withColumn("piece", F.sum("bad").over(order)).where("bad = 0").drop("bad", "good")
+    cut = marked.withColumn("piece", F.sum("bad").over(order)).where("bad = 0").drop("bad")
     if not compat:
         return cut
     last = cut.agg(F.max(F.struct("scaf_name", "piece")).alias("last"))
@@ -109,12 +112,8 @@ def scaffold_sizes(agp: DataFrame, by: tuple[str, ...] = ("scaf_name",)) -> Data
     return agp.groupBy(*by).agg((F.sum(length) - 1).alias("size"))
 
 
-def _running(sizes: DataFrame) -> DataFrame:
-    """Different sizes with the sum of all larger ones: a window over sizes, which repeat, not over scaffolds."""
-    counted = sizes.groupBy("size").agg(F.count("*").alias("n"), F.sum("size").alias("part"))
-    before = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counted.withColumns({"before": F.coalesce(F.sum("part").over(before), F.lit(0)), "total": F.sum("part").over(every)})
+#: Bits of a size that one histogram of :func:`n50` takes.
+_SIZE_BITS = 12
 
 
 def n50(sizes: DataFrame, compat: bool = False) -> DataFrame:
@@ -123,12 +122,34 @@ def n50(sizes: DataFrame, compat: bool = False) -> DataFrame:
     ``compat``: the first size, before which the total less what came before
     itself is at most the whole half; it comes one later, and null if there is
     no such size.
+
+    Sizes are summed by their highest 12 bits, the bucket where the sum is
+    reached by its next 12 bits, and so on: no sort, and no window over more
+    than 4096 rows.
     """
-    r = _running(sizes)
-    half = F.expr("total div 2")
-    if not compat:
-        return r.where(2 * (F.col("before") + F.col("part")) >= F.col("total")).agg(F.max("size").alias("n50"))
-    # Within equal sizes, the j-th has j sizes before it; some j below n must leave at most half.
-    left = F.col("total") - F.col("before")
-    reached = F.when(F.col("size") > 0, left - (F.col("n") - 1) * F.col("size") <= half).otherwise(left <= half)
-    return r.where(reached).agg(F.max("size").alias("n50"))
+    spark = sizes.sparkSession
+    sizes = materialize(sizes.select(F.col("size").cast("long").alias("size")).where("size is not null"), "n50-sizes")
+    total, most = sizes.agg(F.sum("size"), F.max("size")).first()
+    answer = lambda x: spark.createDataFrame([(x,)], "n50 long")
+    if total is None:
+        return answer(None)
+    need = total - int(total / 2) if compat else -(-total // 2)
+    # The sum from the largest size down to one, less one of it in the late form, only grows with every smaller size.
+    levels = max(1, -(-int(max(most, 0)).bit_length() // _SIZE_BITS))
+    path, before, inside = 0, 0, sizes.where("size > 0")
+    for low in reversed(range(0, levels * _SIZE_BITS, _SIZE_BITS)):
+        cells = inside.where(F.shiftright("size", low + _SIZE_BITS) == path).groupBy(F.shiftright("size", low).alias("bucket")).agg(F.sum("size").alias("part"), F.min("size").alias("least"))
+        down = Window.orderBy(F.desc("bucket"))  # at most 4096 rows
+        upto = before + F.sum("part").over(down)
+        edge = cells.withColumn("upto", upto).where(F.col("upto") - (F.col("least") if compat else 0) >= need).agg(F.max(F.struct("bucket", "part", "upto")).alias("e")).first().e
+        if edge is None:
+            break
+        path, before = edge.bucket, edge.upto - edge.part
+    else:
+        return answer(path)
+    upto = inside.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    for row in sizes.where("size <= 0").groupBy("size").agg(F.sum("size").alias("part")).orderBy(F.desc("size")).collect():  # 0 and -1
+        if upto + (0 if compat else row.part) >= need:
+            return answer(row.size)
+        upto += row.part
+    return answer(None)

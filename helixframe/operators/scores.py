@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialize
 from . import scaffolds as S
 
 PAIR = ["lo", "hi"]
@@ -43,8 +44,12 @@ def gap_deviation(ref: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def evaluate(ref: DataFrame, test: DataFrame, name: str, method: str, runtime: float = -1.0, compat: bool = True) -> DataFrame:
-    """The 13-field score row of ``test`` against ``ref``; N50 and TP50 in the one-later form unless not ``compat``."""
-    truth, found = S.adjacencies(ref), S.adjacencies(test)
+    """The 13-field score row of ``test`` against ``ref``; N50 and TP50 in the one-later form unless not ``compat``.
+
+    Scaffold rows and neighbours are written once and read by every part.
+    """
+    ref, test = materialize(ref, "score-ref"), materialize(test, "score-test")
+    truth, found = materialize(S.adjacencies(ref), "score-truth"), materialize(S.adjacencies(test), "score-found")
     shared = truth.join(found, PAIR, "left_semi")
     contigs = ref.where("comp_type = 'W'")
     pieces = S.scaffold_sizes(S.break_scaffolds(test, shared), ("scaf_name", "piece"))
@@ -58,3 +63,21 @@ def evaluate(ref: DataFrame, test: DataFrame, name: str, method: str, runtime: f
     return row.select(
         F.lit(name).alias("name"), F.lit(method).alias("method"), "A", "B", "C", "D", "gap_dev", F.lit(runtime).alias("runtime"), "sensitivity", "ppv", "mcc", "n50", "tp50"
     )
+
+
+def identities(counts: DataFrame, true_pairs: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(rule, n): which identities A, B, C, D of ``counts`` break: A + C are the true pairs, B + D the ordered pairs of contigs that are not."""
+    m = true_pairs.agg(F.count("*").alias("m"))
+    n = contigs.agg((F.count("*") * (F.count("*") - 1)).alias("pairs"))
+    row = counts.join(F.broadcast(m)).join(F.broadcast(n))  # one row each
+    broken = {"true pairs": F.col("A") + F.col("C") != F.col("m"), "other pairs": F.col("B") + F.col("D") != F.col("pairs") - F.col("m")}
+    return row.select(F.inline(F.array(*(F.struct(F.lit(name).alias("rule"), c.cast("long").alias("n")) for name, c in broken.items()))))
+
+
+#: Fields of a score row in the order of its line.
+FIELDS = ("name", "method", "A", "B", "C", "D", "gap_dev", "runtime", "sensitivity", "ppv", "mcc", "n50", "tp50")
+
+
+def score_line(row: DataFrame) -> DataFrame:
+    """(value): score rows as tab-separated lines; a missing field is None, as in older lines."""
+    return row.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in FIELDS)).alias("value"))

@@ -35,36 +35,38 @@ def _weight(state: F.Column) -> F.Column:
     return F.element_at(F.array("w0", "w1", "w2", "w3"), state.cast("int") + 1)
 
 
+def _triangle_edges(tris: DataFrame) -> DataFrame:
+    """(u, v): bundles that are sides of triangles."""
+    return tris.select(F.inline(F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("ab", "bc", "ac"))))).distinct()
+
+
 def enumerate_blocks(edges: DataFrame, tris: DataFrame, max_bits: int = 12) -> DataFrame:
     """(u, v, state) of the bundles of every block that needs at most ``max_bits`` bits, exactly.
 
     ``edges``: (u, v, w0..w3, block).  A bit for each contig but the first says
-    its orientation; in a block with triangles, another one for each bundle says
-    its direction.  Every assignment of a block is a row group of at most
-    2**max_bits; all blocks are tried in one job.
+    its orientation; another one for each bundle in a triangle says its
+    direction, which nothing else restricts.  Every assignment of a block is a
+    row group of at most 2**max_bits; all blocks are tried in one job.
     """
     members = G.block_members(edges)
     in_tri = tris.join(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "block"), ["a", "b"])
-    has_tri = in_tri.select("block").distinct().withColumn("tri", F.lit(True))
+    edges = edges.join(_triangle_edges(tris).withColumn("tri", F.lit(True)), ["u", "v"], "left").withColumn("tri", F.coalesce("tri", F.lit(False)))
     nodes = members.groupBy("block").agg(F.count("*").alias("n"))
-    bits = edges.groupBy("block").agg(F.count("*").alias("m")).join(nodes, "block").join(has_tri, "block", "left")
-    bits = bits.select("block", "n", F.coalesce("tri", F.lit(False)).alias("tri"), (F.col("n") - 1 + F.when(F.col("tri"), F.col("m")).otherwise(0)).alias("bits"))
+    bits = edges.groupBy("block").agg(F.count_if("tri").alias("m")).join(nodes, "block").select("block", "n", (F.col("n") - 1 + F.col("m")).alias("bits"))
     small = materialize(bits.where(F.col("bits") <= max_bits), "solve-small")
 
     # Blocks are small from here on, so windows inside them are.
     place = Window.partitionBy("block").orderBy("node")
     at = members.join(small.select("block"), "block", "left_semi").withColumn("at", F.row_number().over(place) - 2)  # the first one is pinned
-    nth = Window.partitionBy("block").orderBy("u", "v")
+    nth = Window.partitionBy("block", "tri").orderBy("u", "v")
     own = edges.join(small, "block").withColumn("edge_at", F.col("n") - 2 + F.row_number().over(nth))
     own = own.join(at.select("block", F.col("node").alias("u"), F.col("at").alias("at_u")), ["block", "u"]).join(at.select("block", F.col("node").alias("v"), F.col("at").alias("at_v")), ["block", "v"])
     tried = own.withColumn("try", F.explode(F.expr("sequence(0L, shiftleft(1L, cast(bits as int)) - 1)")))
     bit = lambda c: F.expr(f"if({c} < 0, 0, cast(shiftright(try, cast({c} as int)) & 1 as int))")
     tried = tried.withColumns({"su": bit("at_u"), "sv": bit("at_v")})
-    equal = F.col("su") == F.col("sv")
     forward_state = 2 * F.col("su") + F.col("sv")
-    free = _best_state(equal)
     forced = F.when(bit("edge_at") == 0, forward_state).otherwise(3 - forward_state)
-    tried = tried.withColumn("state", F.when(F.col("tri"), forced).otherwise(free))
+    tried = tried.withColumn("state", F.when(F.col("tri"), forced).otherwise(_best_state(F.col("su") == F.col("sv"))))
     tried = materialize(tried.select("block", "try", "u", "v", "state", _weight(F.col("state")).alias("w"), X.direction("state", "su", "sv").alias("way")), "solve-tried")
 
     # Assignments in which a triangle runs in a circle: a to b, b to c and not a to c, or all reversed.
@@ -76,60 +78,172 @@ def enumerate_blocks(edges: DataFrame, tris: DataFrame, max_bits: int = 12) -> D
     return tried.join(best, ["block", "try"]).select("u", "v", F.col("state").cast("int").alias("state"))
 
 
-def orient(edges: DataFrame, states: DataFrame) -> DataFrame:
-    """(node, orien): orientations under which the tree edges of each component have the parity of their state; the smallest node has 0."""
+def orient(edges: DataFrame, states: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node, root, orien): orientations under which the edges of ``tree`` (see :func:`.graph.rooted_forest`) have the parity of their state; the smallest node has 0."""
     parity = edges.join(states, ["u", "v"], "left").select("u", "v", F.coalesce(F.col("state").isin(1, 2), F.greatest("w1", "w2") > F.greatest("w0", "w3")).cast("int").alias("odd"))
-    found = G.connected_components(edges.select("u", "v"), "solve-components")
-    tree = G.spanning_forest(edges.select("u", "v"), found.where("node = root"))
-    up = tree.where("parent is not null").select("node", "parent", F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
-    steps = up.join(parity, ["u", "v"]).select("node", "parent", "odd")
-    roots = tree.where("parent is null").select("node", F.lit(None).cast(tree.schema["node"].dataType).alias("parent"), F.lit(0).alias("odd"))
+    up = tree.where("parent is not null").select("node", "parent", "root", F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
+    steps = up.join(parity, ["u", "v"]).select("node", "parent", "root", "odd")
+    roots = tree.where("parent is null").select("node", "parent", "root", F.lit(0).alias("odd"))
     at = materialize(steps.union(roots), "solve-parity")
     # Pointer doubling to the root: each round adds the parity of the node that the pointer reaches.
     while not at.where("parent is not null").isEmpty():
         far = at.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("odd").alias("more"))
-        at = at.join(far, "parent", "left").select("node", F.col("next").alias("parent"), (F.coalesce("more", F.lit(0)).bitwiseXOR(F.col("odd"))).alias("odd"))
+        at = at.join(far, "parent", "left").select("node", F.col("next").alias("parent"), "root", (F.coalesce("more", F.lit(0)).bitwiseXOR(F.col("odd"))).alias("odd"))
         at = materialize(at, "solve-parity")
-    return at.select("node", F.col("odd").alias("orien"))
+    return at.select("node", "root", F.col("odd").alias("orien"))
 
 
-def solve(bundles: DataFrame, max_bits: int = 12) -> DataFrame:
-    """One row per bundle: u, v, w0..w3, block, orien_a, orien_b, state, X, Y, weight, status.
+def improve(edges: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(u, v, state) of the bundles (u, v, w0..w3, block) of blocks, from orientations ``start`` (node, orien) by turning contigs.
 
-    X is 1 for u to v, Y for v to u.  Blocks that need at most ``max_bits`` bits
-    are exact.  In larger ones (status heuristic), orientations follow the
-    heavier parity along a spanning tree, every bundle takes its heavier state,
-    and circles of three lose their cheapest turn.
+    A contig turns if that adds weight to its block and no neighbour there gains
+    more by its own turn, so every round adds weight; it ends when nothing
+    gains.  Contigs in several blocks have an orientation in each.
     """
-    edges = materialize(canonical_bundles(bundles), "solve-edges")
-    named = materialize(edges.join(G.blocks(edges.select("u", "v")), ["u", "v"]), "solve-blocks")
-    tris = materialize(triangles(edges.select(F.col("u").alias("ctg_a_idx"), F.col("v").alias("ctg_b_idx"))), "solve-triangles")
-    states = materialize(enumerate_blocks(named, tris, max_bits), "solve-states")
-    orien = materialize(orient(edges, states), "solve-orient")
-    u, v = (orien.select(F.col("node").alias(x), F.col("orien").alias(f"orien_{y}")) for x, y in (("u", "a"), ("v", "b")))
-    full = named.join(states, ["u", "v"], "left").join(u, "u").join(v, "v")
-    status = F.when(F.col("state").isNull(), "heuristic").otherwise("exact")
-    state = F.coalesce("state", _best_state(F.col("orien_a") == F.col("orien_b")))
-    full = full.withColumns({"status": status, "state": state, "turned": F.lit(False)})
-    full = materialize(full, "solve-full")
+    at = materialize(G.block_members(edges).join(start.select("node", "orien"), "node"), "solve-turned")
+    gain = F.greatest("w1", "w2") - F.greatest("w0", "w3")
+    u, v = "u", "v"
+    name = lambda x: at.select("block", F.col("node").alias(x), F.col("orien").alias(f"s{x}"))
+    for _ in range(max_rounds):
+        met = edges.join(name(u), ["block", "u"]).join(name(v), ["block", "v"])
+        step = met.select("block", "u", "v", F.when(F.col("su") == F.col("sv"), gain).otherwise(-gain).alias("gain"))
+        per = step.select("block", F.explode(F.array("u", "v")).alias("node"), "gain").groupBy("block", "node").agg(F.sum("gain").alias("gain")).where("gain > 0")
+        per = materialize(per, "solve-gains")
+        if per.isEmpty():
+            break
+        rank = lambda x: per.select("block", F.col("node").alias(x), F.struct("gain", "node").alias(f"g{x}"))
+        beaten = step.select("block", "u", "v").join(rank(u), ["block", "u"]).join(rank(v), ["block", "v"]).select("block", F.when(F.col("gu") < F.col("gv"), F.col("u")).otherwise(F.col("v")).alias("node"))
+        turn = per.join(beaten, ["block", "node"], "left_anti").select("block", "node", F.lit(1).alias("turn"))
+        at = materialize(at.join(turn, ["block", "node"], "left").select("block", "node", F.col("orien").bitwiseXOR(F.coalesce("turn", F.lit(0))).alias("orien")), "solve-turned")
+    met = edges.join(name(u), ["block", "u"]).join(name(v), ["block", "v"])
+    return met.select("u", "v", _best_state(F.col("su") == F.col("sv")).cast("int").alias("state"))
+
+
+def break_circles(full: DataFrame, tris: DataFrame) -> DataFrame:
+    """Solved bundles (u, v, w0..w3, state, orien_a, orien_b, status) without circles of three among the heuristic ones.
+
+    First, of each circle, the bundle that loses least by it turns, once each.
+    What circles are left lie in clusters of triangles that share bundles; each
+    such cluster takes its directions from one order of its contigs, the best of
+    three, and an order has no circles.
+    """
+    full = materialize(full.withColumn("turned", F.lit(False)), "solve-full")
+    tris = materialize(tris.join(full.where("status = 'heuristic'").select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_semi").select("a", "b", "c"), "solve-open-triangles")
+    way = lambda: full.select("u", "v", "turned", X.direction("state", "orien_a", "orien_b").alias("way"), (_weight(F.col("state")) - _weight(3 - F.col("state"))).alias("loss"))
     while True:
-        way = full.select("u", "v", "status", "turned", X.direction("state", "orien_a", "orien_b").alias("way"), (_weight(F.col("state")) - _weight(3 - F.col("state"))).alias("loss"))
-        circles = _circles(way, tris)
-        # Of the heuristic sides of each circle, the one whose turn costs least.
-        sides = circles.select("a", "b", "c", F.inline(F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("ab", "bc", "ac")))))
-        turns = sides.join(way.where("status = 'heuristic' and not turned"), ["u", "v"])
+        now = way()
+        sides = _circles(now, tris).select("a", "b", "c", F.inline(F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("ab", "bc", "ac")))))
+        turns = sides.join(now.where("not turned"), ["u", "v"])
         worst = turns.groupBy("a", "b", "c").agg(F.min_by(F.struct("u", "v"), F.struct("loss", "u", "v")).alias("t")).select("t.*").distinct()
         # One turn per contig and round and one per bundle at all, so that turns don't undo one another.
-        first = worst.groupBy("u").agg(F.min("v").alias("v")).withColumn("turn", F.lit(True))
-        first = materialize(first, "solve-turns")
+        first = materialize(worst.groupBy("u").agg(F.min("v").alias("v")).withColumn("turn", F.lit(True)), "solve-turns")
         if first.isEmpty():
             break
-        now = full.join(first, ["u", "v"], "left").withColumn("turn", F.coalesce("turn", F.lit(False)))
-        now = now.withColumns({"state": F.when(F.col("turn"), 3 - F.col("state")).otherwise(F.col("state")), "turned": F.col("turned") | F.col("turn")})
-        full = now.select(full.columns)
-        full = materialize(full, "solve-full")
+        marked = full.join(first, ["u", "v"], "left").withColumn("turn", F.coalesce("turn", F.lit(False)))
+        marked = marked.withColumns({"state": F.when(F.col("turn"), 3 - F.col("state")).otherwise(F.col("state")), "turned": F.col("turned") | F.col("turn")})
+        full = materialize(marked.select(full.columns), "solve-full")
+    left = materialize(_circles(way(), tris), "solve-circles")
+    if left.isEmpty():
+        return full.drop("turned")
+
+    number = materialize(_triangle_edges(tris).withColumn("e", F.monotonically_increasing_id()), "solve-sides")
+    side = lambda x, y: number.select(F.col("u").alias(x), F.col("v").alias(y), F.col("e").alias(x + y))
+    of = materialize(tris.join(side("a", "b"), ["a", "b"]).join(side("b", "c"), ["b", "c"]).join(side("a", "c"), ["a", "c"]), "solve-cluster-triangles")
+    parts = G.connected_components(of.select(F.col("ab").alias("u"), F.col("bc").alias("v")).union(of.select("ab", "ac")), "solve-clusters")
+    clusters = number.join(parts, number.e == parts.node).select("u", "v", F.col("root").alias("cluster"))
+    open_ = left.join(clusters, (left.a == clusters.u) & (left.b == clusters.v)).select("cluster").distinct()
+    inside = full.join(clusters.join(open_, "cluster", "left_semi"), ["u", "v"])
+    forward = 2 * F.col("orien_a") + F.col("orien_b")
+    inside = materialize(inside.select("cluster", "u", "v", forward.alias("forward"), _weight(forward).alias("ahead"), _weight(3 - forward).alias("back")), "solve-inside")
+    net = inside.select("cluster", F.inline(F.array(F.struct(F.col("u").alias("n"), (F.col("ahead") - F.col("back")).alias("x")), F.struct(F.col("v").alias("n"), (F.col("back") - F.col("ahead")).alias("x")))))
+    net = net.groupBy("cluster", "n").agg(F.sum("x").alias("x"))
+    u, v = (net.select("cluster", F.col("n").alias(n), F.struct(-F.col("x"), F.col("n")).alias(f"r{n}")) for n in "uv")
+    choice = F.array(F.lit(True), F.lit(False), F.col("ru") < F.col("rv"))  # by number up, by number down, by what leaves less what enters
+    ordered = inside.join(u, ["cluster", "u"]).join(v, ["cluster", "v"]).select("cluster", "u", "v", "forward", F.posexplode(choice).alias("way", "ahead_first"), "ahead", "back")
+    value = ordered.groupBy("cluster", "way").agg(F.sum(F.when(F.col("ahead_first"), F.col("ahead")).otherwise(F.col("back"))).alias("value"))
+    best = value.groupBy("cluster").agg(F.max_by("way", F.struct("value", -F.col("way"))).alias("way"))
+    fixed = ordered.join(best, ["cluster", "way"]).select("u", "v", F.when(F.col("ahead_first"), F.col("forward")).otherwise(3 - F.col("forward")).alias("set"))
+    return materialize(full.join(fixed, ["u", "v"], "left").withColumn("state", F.coalesce("set", "state").cast("int")).select(full.columns), "solve-full").drop("turned")
+
+
+#: Weight that no sum of bundle weights makes up for.
+_NEVER = -1e15
+
+
+def force(edges: DataFrame, orientations: DataFrame | None, directions: DataFrame | None) -> DataFrame:
+    """Bundles (u, v, w0..w3) under which only forced states have a weight.
+
+    ``orientations`` (node, orien): contigs of one component that have one are
+    tied in a chain by bundles without weight that allow their parity only, so
+    that they fall into one block.  ``directions`` (idxa, idxb, patha, pathb): a
+    pair whose ends are both oriented takes the one state that runs that way;
+    the pair may stand in either order.
+    """
+    if orientations is None:
+        return edges
+    known = orientations.select("node", F.col("orien").cast("int").alias("orien")).where("orien is not null")
+    found = G.connected_components(edges.select("u", "v"), "force-components")
+    before = Window.partitionBy("root").orderBy("node")
+    chain = known.join(found, "node").withColumns({"u": F.lag("node").over(before), "s": F.lag("orien").over(before)}).where("u is not null")
+    odd = F.col("s") != F.col("orien")
+    allowed = lambda parity: F.when(odd == parity, 0.0).otherwise(_NEVER)
+    ties = chain.select("u", F.col("node").alias("v"), *(allowed(i in (1, 2)).alias(f"t{i}") for i in range(4)))
+    if directions is None:
+        fixed = edges.select("u", "v").limit(0).withColumn("only", F.lit(None).cast("int"))
+    else:
+        turned = F.col("idxa") > F.col("idxb")
+        ahead = F.when(turned, F.col("pathb")).otherwise(F.col("patha"))
+        pairs = directions.where("patha + pathb = 1").select(F.least("idxa", "idxb").alias("u"), F.greatest("idxa", "idxb").alias("v"), ahead.alias("ahead"))
+        a, b = (known.select(F.col("node").alias(x), F.col("orien").alias(f"o{x}")) for x in "uv")
+        state = 2 * F.col("ou") + F.col("ov")
+        fixed = pairs.join(a, "u").join(b, "v").groupBy("u", "v").agg(F.max(F.when(F.col("ahead") == 1, state).otherwise(3 - state)).alias("only"))
+    met = edges.join(ties, ["u", "v"], "full_outer").join(fixed, ["u", "v"], "left")
+    weights = [(F.coalesce(f"w{i}", F.lit(0.0)) + F.coalesce(f"t{i}", F.lit(0.0)) + F.when(F.col("only") != i, _NEVER).otherwise(0.0)).alias(f"w{i}") for i in range(4)]
+    return met.select("u", "v", *weights)
+
+
+def solve(bundles: DataFrame, max_bits: int = 12, orientations: DataFrame | None = None, directions: DataFrame | None = None) -> DataFrame:
+    """One row per bundle: u, v, w0..w3, block, orien_a, orien_b, state, X, Y, weight, status, most, held.
+
+    X is 1 for u to v, Y for v to u.  Blocks that need at most ``max_bits`` bits
+    are exact.  In larger ones (status heuristic), orientations start from the
+    heavier parity along a spanning tree and contigs turn while that adds weight
+    (:func:`improve`); every bundle takes its heavier state, and circles of
+    three are broken (:func:`break_circles`), so that no solution breaks a
+    constraint.  ``most`` is the bundle's greatest weight under any state; the
+    sum of it bounds the optimum from above.
+
+    ``orientations`` (node, orien) and ``directions`` (idxa, idxb, patha, pathb)
+    of an earlier solution are kept (see :func:`force`); ``held`` is false where
+    a heuristic block could not.
+    """
+    edges = materialize(canonical_bundles(bundles), "solve-edges")
+    ruled = edges if orientations is None else materialize(force(edges, orientations, directions), "solve-forced")
+    tree = G.rooted_forest(ruled.select("u", "v"))
+    named = materialize(ruled.join(G.blocks(ruled.select("u", "v"), tree), ["u", "v"]), "solve-blocks")
+    tris = materialize(triangles(edges.select(F.col("u").alias("ctg_a_idx"), F.col("v").alias("ctg_b_idx"))), "solve-triangles")
+    states = materialize(enumerate_blocks(named, tris, max_bits), "solve-states")
+    large = materialize(named.join(states, ["u", "v"], "left_anti"), "solve-large")
+    better = improve(large, orient(ruled, states, tree)) if not large.isEmpty() else states.limit(0)
+    every = materialize(states.withColumn("status", F.lit("exact")).union(better.withColumn("status", F.lit("heuristic"))), "solve-every")
+    orien = orient(ruled, every.select("u", "v", "state"), tree)
+    if orientations is not None:
+        # All forced contigs of a component agree by now, or are turned together so that the first one does.
+        first = orien.join(orientations.select("node", F.col("orien").alias("want")), "node").groupBy("root").agg(F.min_by(F.col("orien").bitwiseXOR(F.col("want").cast("int")), "node").alias("turn"))
+        orien = orien.join(first, "root", "left").select("node", F.col("orien").bitwiseXOR(F.coalesce("turn", F.lit(0))).alias("orien"))
+    orien = materialize(orien.select("node", "orien"), "solve-orient")
+    u, v = (orien.select(F.col("node").alias(x), F.col("orien").alias(f"orien_{y}")) for x, y in (("u", "a"), ("v", "b")))
+    full = named.join(every, ["u", "v"]).join(u, "u").join(v, "v")
+    # Ties of forced contigs may be broken in heuristic blocks; a bundle's state always fits its ends.
+    fits = F.col("state").isin(1, 2) == (F.col("orien_a") != F.col("orien_b"))
+    full = full.withColumn("state", F.when(fits, F.col("state")).otherwise(_best_state(F.col("orien_a") == F.col("orien_b"))))
+    full = break_circles(full, tris)
     way = X.direction("state", "orien_a", "orien_b")
-    return full.drop("turned").select("*", F.when(way == 1, 1).otherwise(0).alias("X"), F.when(way == -1, 1).otherwise(0).alias("Y"), _weight(F.col("state")).alias("weight"))
+    out = full.withColumn("held", _weight(F.col("state")) > _NEVER / 2).drop("w0", "w1", "w2", "w3").join(edges, ["u", "v"])
+    return out.select(
+        "u", "v", "w0", "w1", "w2", "w3", "block", "orien_a", "orien_b", "state", F.when(way == 1, 1).otherwise(0).alias("X"), F.when(way == -1, 1).otherwise(0).alias("Y"),
+        _weight(F.col("state")).alias("weight"), "status", F.greatest("w0", "w1", "w2", "w3").alias("most"), "held",
+    )
 
 
 def _circles(way: DataFrame, tris: DataFrame) -> DataFrame:
@@ -161,6 +275,14 @@ def directed_edges(solution: DataFrame) -> DataFrame:
     return rows.select(F.when(forward, F.col("u")).otherwise(F.col("v")).alias("src"), F.when(forward, F.col("v")).otherwise(F.col("u")).alias("dst"), F.col("weight").cast("long").alias("weight"))
 
 
+def previous_solution(solution: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (idxa, idxb, oriena, orienb, patha, pathb) of a solution for the bundles whose pair is one of the final ``edges`` (src, dst), in either order."""
+    pairs = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    kept = solution.join(pairs, ["u", "v"], "left_semi")
+    long = lambda c, n: F.col(c).cast("long").alias(n)
+    return kept.select(long("u", "idxa"), long("v", "idxb"), long("orien_a", "oriena"), long("orien_b", "orienb"), long("X", "patha"), long("Y", "pathb"))
+
+
 def apply_partial(current: DataFrame, partial: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Orientations (node, orien) of ``current`` with those of ``partial`` over them, and the nodes on which they differ."""
     met = current.join(partial.withColumnRenamed("orien", "new"), "node", "full_outer")
@@ -168,6 +290,21 @@ def apply_partial(current: DataFrame, partial: DataFrame) -> tuple[DataFrame, Da
     return met.select("node", F.coalesce("new", "orien").alias("orien")), conflicts
 
 
+def apply_with_flip(current: DataFrame, partial: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As :func:`apply_partial` for several partial solutions (part, node, orien) at once; one that disagrees with ``current`` is turned around first.
+
+    Returns the orientations (node, orien) and (part, turned, conflicts): whether
+    the part was turned, and the nodes on which it differs even so; there the
+    part wins, the one with the largest number of several.
+    """
+    met = partial.join(current.withColumnRenamed("orien", "old"), "node", "left")
+    turn = met.groupBy("part").agg(F.count_if(F.col("old") != F.col("orien")).alias("differ"), F.count_if(F.col("old") == F.col("orien")).alias("agree"))
+    turn = turn.select("part", (F.col("differ") > 0).alias("turned"), F.when(F.col("differ") > 0, F.col("agree")).otherwise(0).alias("conflicts"))
+    placed = partial.join(turn, "part").select("node", "part", F.when(F.col("turned"), 1 - F.col("orien")).otherwise(F.col("orien")).alias("orien"))
+    new = placed.groupBy("node").agg(F.max_by("orien", "part").alias("new"))
+    return current.join(new, "node", "full_outer").select("node", F.coalesce("new", "orien").alias("orien")), turn
+
+
 def merge_partial(current: DataFrame, partial: DataFrame) -> DataFrame:
     """Solved bundles (u, v, state, X, Y) of both: the first state wins, a set direction stays set, and of both X is kept."""
     both = current.select("u", "v", "state", "X", "Y", F.lit(0).alias("from")).unionByName(partial.select("u", "v", "state", "X", "Y", F.lit(1).alias("from")))

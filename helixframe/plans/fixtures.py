@@ -38,6 +38,23 @@ SELECT least(ctg_a_idx, ctg_b_idx) AS ctg_a_idx, greatest(ctg_a_idx, ctg_b_idx)
 FROM ({links}) WHERE invalid <> 1 GROUP BY least(ctg_a_idx, ctg_b_idx), greatest(ctg_a_idx, ctg_b_idx) HAVING count(*) >= {least}
 """
 
+#: Links between contigs of one region: 64 orders in a row, {contigs} contigs.  However large the tables are, regions are as
+#: dense, so graphs over them keep their shape and only get more.
+REGION_LINKS = """
+SELECT a AS ctg_a_idx, b AS ctg_b_idx, read_a_left_pos, read_a_right_pos, read_b_left_pos, read_b_right_pos, read_a_orien, read_b_orien, insert_size,
+       CAST(CASE WHEN a < b THEN 2 * read_a_orien + read_b_orien WHEN read_a_orien = 1 AND read_b_orien = 1 THEN 0
+                 WHEN read_a_orien = 0 AND read_b_orien = 0 THEN 3 ELSE 2 * read_a_orien + read_b_orien END AS BIGINT) AS implied_state, std_dev, invalid, used, order_key
+FROM (SELECT *, order_key - order_key % 64 + ctg_a_idx % {contigs} AS a, order_key - order_key % 64 + ctg_b_idx % {contigs} AS b FROM ({links})) WHERE a <> b
+"""
+
+#: Orientations by the second bit of the contig, states the heavier of those that fit, directions as they follow.
+SOLVED = """
+SELECT u, v, orien_a, orien_b, state, CAST(CASE WHEN state = 2 * orien_a + orien_b THEN 1 ELSE 0 END AS BIGINT) AS X, CAST(CASE WHEN state = 3 - 2 * orien_a - orien_b THEN 1 ELSE 0 END AS BIGINT) AS Y
+FROM (SELECT u, v, orien_a, orien_b, CAST(CASE WHEN orien_a = orien_b THEN CASE WHEN WT_A >= WT_D THEN 0 ELSE 3 END ELSE CASE WHEN WT_B >= WT_C THEN 1 ELSE 2 END END AS BIGINT) AS state
+      FROM (SELECT ctg_a_idx AS u, ctg_b_idx AS v, CAST(CASE WHEN ctg_a_idx % 4 > 1 THEN 1 ELSE 0 END AS BIGINT) AS orien_a, CAST(CASE WHEN ctg_b_idx % 4 > 1 THEN 1 ELSE 0 END AS BIGINT) AS orien_b,
+                   WT_A, WT_B, WT_C, WT_D FROM ({bundles})))
+"""
+
 #: {order}: what a scaffold's contigs are ordered by; {gap}: the gap before one.
 PATHS = """
 SELECT concat('scaf_', CAST(l_orderkey AS STRING)) AS scaf_name, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS BIGINT) AS pos,
@@ -50,9 +67,17 @@ _TEST = {"order": "l_shipdate, l_partkey, l_suppkey, l_linenumber", "gap": "CAST
 
 
 def views(part: str, lineitem: str) -> dict[str, str]:
-    """SQL of each view over two named tables; bundles3 and bundles2 have at least 3 and 2 links."""
+    """SQL of each view over two named tables; bundles3 and bundles2 have at least 3 and 2 links.
+
+    ``regions`` and ``dense`` are bundles of 3 links between 64 and 40 contigs a region; ``solved`` and
+    ``region_solved`` are solutions by rule of bundles2 and regions.
+    """
     links = LINKS.format(lineitem=lineitem)
+    region_links, dense_links = (REGION_LINKS.format(links=links, contigs=n) for n in (64, 40))
+    regions, bundles2 = BUNDLES.format(links=region_links, least=3), BUNDLES.format(links=links, least=2)
     return {
+        "region_links": region_links, "regions": regions, "dense": BUNDLES.format(links=dense_links, least=3),
+        "solved": SOLVED.format(bundles=bundles2), "region_solved": SOLVED.format(bundles=regions),
         "contigs": CONTIGS.format(part=part), "links": links,
         "bundles3": BUNDLES.format(links=links, least=3), "bundles2": BUNDLES.format(links=links, least=2),
         "path_ref": PATHS.format(lineitem=lineitem, **_TRUE), "path_test": PATHS.format(lineitem=lineitem, **_TEST),

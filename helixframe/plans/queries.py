@@ -13,11 +13,12 @@ from ..operators import links as L
 from ..operators import scaffolds as S
 from ..operators import scores as C
 from ..operators import solve as P
+from . import format_queries, region_queries, solution_queries
 from .fixtures import view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: Every tenth contig, as the active set of the set queries.
+#: Every other contig, as the active set of the set queries.
 ACTIVE = "node_idx % 10 < 5"
 
 
@@ -349,3 +350,7 @@ def agp_out(spark, sf_dir):
     return S.scaffold_rows(
         rows.select(F.concat(F.lit("scaf_"), F.col("path")).alias("scaf_name"), (F.col("pos") + 1).alias("pos"), F.col("ctg_name").alias("comp_name"), F.col("ctg_width").alias("size"), "gap", "orien")
     )
+
+
+for _more in (format_queries, solution_queries, region_queries):
+    QUERIES |= _more.QUERIES

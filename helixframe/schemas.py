@@ -21,7 +21,7 @@ LINK = StructType(
 STATES = ("WT_A", "WT_B", "WT_C", "WT_D")
 BUNDLE = StructType([*_longs("ctg_a_idx", "ctg_b_idx"), *(StructField(n, DoubleType()) for n in STATES)])
 WEIGHT = StructType(
-    [*_longs("a_idx", "b_idx"), *(StructField(n, DoubleType()) for n in ("a_coverage", "a_overlap", "b_coverage", "b_overlap"))]
+    [*_longs("a_idx", "b_idx"), *(StructField(n, DoubleType()) for n in ("a_coverage", "b_coverage", "a_overlap", "b_overlap"))]
 )
 SOLUTION = StructType(_longs("idxa", "idxb", "oriena", "orienb", "patha", "pathb"))
 #: A scaffold row.  comp_linkage is set for gaps, comp_orien for contigs.

@@ -30,6 +30,15 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schemas.BUNDLE)
 
 
+def write_weights(weights: DataFrame, path: str) -> None:
+    """Rows of ``schemas.WEIGHT`` as a Parquet table."""
+    weights.select(schemas.WEIGHT.names).write.mode("overwrite").parquet(path)
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.WEIGHT).parquet(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): lines numbered from 0 per file.
 
@@ -143,15 +152,55 @@ def read_cluster_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_decomposition(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (stage, idx, members), edges (stage, a, b, cut) and roots (stage, idx) of decomposition files.
+    """Nodes (stage, path, members), edges (stage, a, b, cut) and roots (stage, path) of decomposition files.
 
-    Lines are tab-separated key=value fields; a cut or set may end in a comma.
+    A piece's number follows those of the pieces that it lies in: path is an
+    array of stage + 1 numbers, and so are a and b.  Lines are tab-separated
+    key=value fields; a list may end in commas.
     """
     text = spark.read.text(path).select(F.str_to_map("value", F.lit("\t"), F.lit("=")).alias("f"))
-    numbers = lambda c: F.transform(F.filter(F.split(F.col("f")[c], ","), lambda x: F.trim(x) != ""), lambda x: x.cast("long"))
+    numbers = lambda c: F.transform(F.filter(F.split(F.col("f")[c], ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("long"))
     stage = F.col("f")["stage"].cast("int").alias("stage")
-    value = lambda c: F.col("f")[c].cast("long")
-    nodes = text.where("f['type'] = 'N'").select(stage, value("idx").alias("idx"), numbers("set").alias("members"))
-    edges = text.where("f['type'] = 'E'").select(stage, value("idx1").alias("a"), value("idx2").alias("b"), numbers("cut").alias("cut"))
-    roots = text.where("f['type'] = 'R'").select(stage, value("idx").alias("idx"))
+    nodes = text.where("f['type'] = 'N'").select(stage, numbers("idx").alias("path"), numbers("set").alias("members"))
+    edges = text.where("f['type'] = 'E'").select(stage, numbers("idx1").alias("a"), numbers("idx2").alias("b"), numbers("cut").alias("cut"))
+    roots = text.where("f['type'] = 'R'").select(stage, numbers("idx").alias("path"))
     return nodes, edges, roots
+
+
+def write_decomposition(nodes: DataFrame, edges: DataFrame, roots: DataFrame, path: str) -> None:
+    """Decomposition tables as lines that :func:`read_decomposition` reads: nodes, edges and roots of all stages."""
+    listed = lambda c: F.array_join(c, ",")
+    stage = F.concat(F.lit("stage="), F.col("stage"))
+    # A piece of the first stage has two empty places after its number.
+    number = F.concat(F.lit("idx="), listed("path"), F.when(F.col("stage") == 0, ",,").otherwise(""))
+    n = nodes.select(F.concat_ws("\t", stage, F.lit("type=N"), number, F.concat(F.lit("set="), listed("members"), F.lit(","))).alias("value"))
+    cut = F.concat(F.lit("cut="), listed("cut"), F.when(F.col("stage") > 1, ",").otherwise(""))
+    e = edges.select(F.concat_ws("\t", stage, F.lit("type=E"), F.concat(F.lit("idx1="), listed("a")), F.concat(F.lit("idx2="), listed("b")), cut).alias("value"))
+    r = roots.select(F.concat_ws("\t", stage, F.lit("type=R"), F.concat(F.lit("idx="), listed("path"))).alias("value"))
+    n.union(e).union(r).write.mode("overwrite").text(path)
+
+
+def member_edges(nodes: DataFrame, stage: int = 1) -> DataFrame:
+    """(a, b, cut): pieces (paths) of one stage and one parent that share members, with those, found from the sets alone."""
+    sets = nodes.where(F.col("stage") == stage).select("path", F.slice("path", 1, stage).alias("parent"), F.explode("members").alias("node"))
+    a, b = sets.withColumnRenamed("path", "a"), sets.withColumnRenamed("path", "b")
+    return a.join(b, ["parent", "node"]).where("a < b").groupBy("a", "b").agg(F.sort_array(F.collect_list("node")).alias("cut"))
+
+
+def write_solution(rows: DataFrame, path: str) -> None:
+    """Rows of ``schemas.SOLUTION`` as lines that :func:`read_previous_solution` reads."""
+    write_table(rows.select(schemas.SOLUTION.names), path)
+
+
+def write_matching_lines(spark: SparkSession, source: str, pairs: DataFrame, path: str) -> None:
+    """Lines of a bundle file whose first two fields are one of ``pairs`` (lo, hi: strings) in either order, byte for byte."""
+    f = F.split("value", "\t")
+    keyed = spark.read.text(source).select("value", F.least(f[0], f[1]).alias("lo"), F.greatest(f[0], f[1]).alias("hi"))
+    keyed.join(pairs.select("lo", "hi").distinct(), ["lo", "hi"], "left_semi").select("value").write.mode("overwrite").text(path)
+
+
+def sort_agp(agp: DataFrame) -> DataFrame:
+    """Scaffold rows by name and place, numbered anew in this order by ``line_no`` from 0."""
+    from ..operators.paths import with_rank
+
+    return with_rank(agp.drop("line_no"), ["scaf_name", "scaf_idx"]).withColumnRenamed("rank", "line_no").select("line_no", *(c for c in agp.columns if c != "line_no"))

@@ -10,7 +10,11 @@ from helixframe.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Queries that take many rounds; tests of their operators are in test_library.
-SLOW = {"solve_objective", "constraint_checks", "articulation", "shortest_paths"}
+SLOW = {
+    "solve_objective", "constraint_checks", "articulation", "shortest_paths", "region_objective", "region_checks", "forced_solution", "forced_directions", "matching_objective", "matching_degrees",
+    "region_components", "region_articulation", "region_block_cuts", "block_cut_forest", "block_cut_nodes", "block_tree_node", "biconnected", "region_shared_members", "union_check", "decomposition_sets",
+    "decomposition_tree", "bucket_sizes", "contracted_tree", "long_paths",
+}
 
 
 def test_registry():

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from helixframe import schemas
 from helixframe.functions import links as X
+from helixframe.operators import decompose as D
 from helixframe.operators import graph as G
 from helixframe.operators import links as L
+from helixframe.operators import paths as H
 from helixframe.operators import scaffolds as S
 from helixframe.operators import scores as C
 from helixframe.operators import solve as P
@@ -98,9 +100,14 @@ def test_tables_and_small_files(spark, tmp_path):
     (tmp_path / "old").write_text("1 2 0 1 1 0\n2 3 0 0 0 1\n")
     oriented, forced = T.read_previous_solution(spark, str(tmp_path / "old"))
     assert {tuple(r) for r in oriented.collect()} == {(1, 0), (2, 0), (3, 0)} and forced.count() == 2
-    (tmp_path / "decomp").write_text("stage=0\ttype=N\tidx=0\tset=1,2,3,\nstage=0\ttype=E\tidx1=0\tidx2=1\tcut=5,\nstage=0\ttype=R\tidx=0\n")
-    nodes, edges, roots = T.read_decomposition(spark, str(tmp_path / "decomp"))
-    assert nodes.first().members == [1, 2, 3] and edges.first().cut == [5] and roots.first().idx == 0
+    lines = "stage=0\ttype=N\tidx=0,,\tset=1,2,3,\nstage=1\ttype=N\tidx=0,4\tset=1,2,\nstage=1\ttype=E\tidx1=0,4\tidx2=0,5\tcut=2\nstage=1\ttype=R\tidx=0,4\nstage=2\ttype=E\tidx1=0,4,1\tidx2=0,4,2\tcut=5,6,\n"
+    (tmp_path / "decomp").write_text(lines)
+    tables = T.read_decomposition(spark, str(tmp_path / "decomp"))
+    nodes, edges, roots = tables
+    assert {(r.stage, tuple(r.path), tuple(r.members)) for r in nodes.collect()} == {(0, (0,), (1, 2, 3)), (1, (0, 4), (1, 2))}
+    assert {(tuple(r.a), tuple(r.b), tuple(r.cut)) for r in edges.collect()} == {((0, 4), (0, 5), (2,)), ((0, 4, 1), (0, 4, 2), (5, 6))} and roots.first().path == [0, 4]
+    T.write_decomposition(*tables, str(tmp_path / "again"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "again")).collect()) == sorted(lines.splitlines())
 
 
 def test_pair_table(spark):
@@ -212,6 +219,38 @@ def test_solver(spark):
     assert {r.rule: r.n for r in P.violations(rough, L.triangles(bundles)).collect()} == {"xor": 0, "one direction": 0, "direction": 0, "no circle of three": 0}
 
 
+def test_dense_blocks_keep_the_constraints(spark):
+    """Complete graphs of 5 to 10 contigs, far beyond what is tried out."""
+    rng = random.Random(5)
+    bundles = spark.createDataFrame([(100 * n + a, 100 * n + b, *(float(rng.randint(0, 9)) for _ in range(4))) for n in range(5, 11) for a, b in combinations(range(n), 2)], schemas.BUNDLE)
+    solution = P.solve(bundles).cache()
+    assert {r.rule: r.n for r in P.violations(solution, L.triangles(bundles)).collect()} == {"xor": 0, "one direction": 0, "direction": 0, "no circle of three": 0}
+    assert {r.status for r in solution.collect()} == {"heuristic"} and solution.count() == bundles.count()
+    total, most = solution.agg(F.sum("weight"), F.sum("most")).first()
+    assert 0.6 * most < total <= most
+
+
+def test_forced_values_hold(spark):
+    """A cycle and a chain with contigs of two blocks forced against their weights, against trying all."""
+    rng = random.Random(2)
+    rows = [(a, b, *(float(rng.randint(0, 9)) for _ in range(4))) for a, b in ((1, 2), (2, 3), (3, 4), (1, 4), (4, 5), (5, 6), (20, 21))]
+    forced = {1: 0, 3: 1, 6: 1, 21: 1}
+    bundles = spark.createDataFrame(rows, schemas.BUNDLE)
+    solved = P.solve(bundles, orientations=spark.createDataFrame(list(forced.items()), "node long, orien int"), directions=spark.createDataFrame([(6, 5, 1, 0)], "idxa long, idxb long, patha int, pathb int")).collect()
+    orien = {n: o for r in solved for n, o in ((r.u, r.orien_a), (r.v, r.orien_b))}
+    assert {n: orien[n] for n in forced} == forced and all(r.held for r in solved) and all(r.weight == [r.w0, r.w1, r.w2, r.w3][r.state] for r in solved)
+    best = max(
+        sum(max(w[2 * s[a] + s[b]], w[3 - 2 * s[a] - s[b]]) for a, b, *w in rows)
+        for bits in product((0, 1), repeat=8)
+        for s in [dict(zip((1, 2, 3, 4, 5, 6, 20, 21), bits))]
+        if all(s[n] == o for n, o in forced.items())
+    )
+    assert sum(r.weight for r in solved) == best
+    # Only pairs whose ends are both forced have their direction forced: (5, 6) has not.
+    both = P.solve(bundles, orientations=spark.createDataFrame([(5, 0), (6, 0)], "node long, orien int"), directions=spark.createDataFrame([(6, 5, 1, 0)], "idxa long, idxb long, patha int, pathb int"))
+    assert both.where("u = 5").select("orien_a", "orien_b", "X", "Y").first() == (0, 0, 0, 1)
+
+
 def test_paths(spark):
     edges = [(1, 2, 5), (2, 3, 9), (3, 1, 4), (4, 5, 7), (5, 6, 7), (6, 4, 7), (7, 8, 1), (7, 9, 3), (10, 8, 2)]
     df = spark.createDataFrame(edges, "src long, dst long, weight long")
@@ -246,3 +285,96 @@ def test_buckets(spark):
     rows = G.bucket_small(members, 10).collect()
     assert len(rows) == 101 and [r.root for r in rows if r.bucket is None] == [999]
     assert max(sum(r.size for r in rows if r.bucket == b) for b in {r.bucket for r in rows if r.bucket is not None}) <= 12
+
+
+def test_greatest_matching(spark):
+    rng = random.Random(4)
+    for _ in range(60):
+        edges = sorted({(rng.randint(0, 4), rng.randint(5, 9)): rng.randint(1, 9) for _ in range(rng.randint(1, 9))}.items())
+        rows = [(a, b, w) for (a, b), w in edges]
+        got = [rows[i] for i in H.best_matching(rows)]
+        assert len({a for a, _, _ in got}) == len({b for _, b, _ in got}) == len(got)
+        valid = [c for k in range(len(rows) + 1) for c in combinations(rows, k) if len({a for a, _, _ in c}) == len({b for _, b, _ in c}) == len(c)]
+        assert (len(got), sum(w for *_, w in got)) == max((len(c), sum(w for *_, w in c)) for c in valid)
+    chain = spark.createDataFrame([(1, 2, 5), (3, 2, 6), (3, 4, 5)], "src long, dst long, weight long")
+    assert {(r.src, r.dst) for r in H.match_maximum(chain).collect()} == {(1, 2), (3, 4)}
+    assert {(r.src, r.dst) for r in H.match_maximum(chain, max_edges=1).collect()} == {(3, 2)}
+
+
+def brute_branching(rows):
+    best = 0
+    for k in range(len(rows) + 1):
+        for c in combinations(rows, k):
+            into = {b: a for a, b, _ in c}
+            if len(into) < len(c):
+                continue
+            closed = False
+            for n in into:
+                seen = set()
+                while n in into and n not in seen:
+                    seen.add(n)
+                    n = into[n]
+                closed |= n in seen
+            if not closed:
+                best = max(best, sum(w for *_, w in c))
+    return best
+
+
+def test_branching(spark):
+    rng = random.Random(9)
+    cases, rows = [], []
+    for case in range(12):
+        own = [(100 * case + a, 100 * case + b, w) for (a, b), w in {tuple(rng.sample(range(5), 2)): rng.randint(1, 9) for _ in range(9)}.items()]
+        cases.append(own)
+        rows += own
+    got = H.branching(spark.createDataFrame(rows, "src long, dst long, weight long")).collect()
+    assert len({r.dst for r in got}) == len(got)
+    for case, own in enumerate(cases):
+        assert sum(r.weight for r in got if r.src // 100 == case) == brute_branching(own)
+
+
+def test_trees(spark):
+    tree = spark.createDataFrame([(1, 2), (1, 5), (2, 3), (2, 4), (5, 6), (6, 7), (10, 9)], "src long, dst long")
+    got = {r.node: (r.parent, r.root, r.pre, r.post) for r in G.tree_orders(tree).collect()}
+    assert {n: p[2] for n, p in got.items()} == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5, 7: 6, 10: 0, 9: 1}
+    assert {n: p[3] for n, p in got.items()} == {3: 0, 4: 1, 2: 2, 7: 3, 6: 4, 5: 5, 1: 6, 9: 0, 10: 1} and got[7][:2] == (6, 1)
+    assert {(r.src, r.dst) for r in G.long_paths(tree).collect()} == {(1, 5), (5, 6), (6, 7), (2, 3), (10, 9)}
+    edges = tree.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    sizes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("size", F.lit(1))
+    merged = {r.node: (r.merged, r.size) for r in G.contract_tree(edges, sizes, 3).collect()}
+    assert all(n <= 3 for _, n in merged.values()) and len(merged) == 9 and len({m for m, _ in merged.values()}) < 9
+
+
+def test_cycles(spark):
+    edges = spark.createDataFrame([(1, 2, 5), (2, 3, 2), (3, 1, 4), (7, 8, 1), (9, 10, 3), (10, 9, 3)], "src long, dst long, weight long")
+    assert {(r.src, r.dst) for r in G.break_cycles_lightest(edges).collect()} == {(1, 2), (3, 1), (7, 8), (10, 9)}
+    assert {(r.src, r.dst) for r in G.break_cycles_last(edges).collect()} == {(1, 2), (2, 3), (7, 8), (9, 10)}
+
+
+def test_decomposition(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6), (20, 21)], "u long, v long")
+    nodes = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 5, 6, 20, 21, 30)], "node long")
+    pieces, links, roots = D.decompose(nodes, edges)
+    sets = {(r.stage, tuple(r.members)) for r in D.listed(pieces).collect()}
+    assert sets == {(0, (1, 2, 3, 4, 5, 6)), (0, (20, 21)), (0, (30,)), (1, (1, 2, 3)), (1, (3, 4)), (1, (4, 5, 6))}
+    assert sorted(r.cut[0] for r in links.collect()) == [3, 4] and roots.count() == 1
+    blocks = G.blocks(edges)
+    assert {(r.root, r.biconnected) for r in G.biconnected_components(blocks, G.components(nodes, edges)).collect()} == {(1, False), (20, True), (30, False)}
+    assert {r.s for r in G.common_block(blocks, spark.createDataFrame([(1, 3), (1, 4), (4, 6)], "s long, t long")).collect()} == {1, 4}
+    parts = G.set_connectivity(spark.createDataFrame([(0, 1), (0, 2), (0, 5), (1, 4)], "set long, node long"), edges)
+    assert {(r.set, r.n, r.parts) for r in parts.collect()} == {(0, 3, 2), (1, 1, 1)}
+
+
+def test_n50_of_many_sizes(spark):
+    rng = random.Random(6)
+    for sizes in ([rng.randint(-1, 10**6) for _ in range(500)], [5] * 7, [-1, -1, 0], [3, 2, 2, -1]):
+        total, ordered = sum(sizes), sorted(sizes, reverse=True)
+        before, late, plain_ = 0, None, None
+        for x in ordered:
+            if plain_ is None and 2 * (before + x) >= total:
+                plain_ = x
+            if late is None and total - before <= int(total / 2):
+                late = x
+            before += x
+        df = spark.createDataFrame([(x,) for x in sizes], "size long")
+        assert (S.n50(df).first().n50, S.n50(df, True).first().n50) == (plain_, late), sizes[:4]
