@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where it is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; a local one only where it is unset and all tasks run on one machine.
+
+    Elsewhere an unset folder is an error: executors would not see one another's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
