@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 SLOW = {
     "solve_objective", "constraint_checks", "articulation", "shortest_paths", "region_objective", "region_checks", "forced_solution", "forced_directions", "matching_objective", "matching_degrees",
     "region_components", "region_articulation", "region_block_cuts", "block_cut_forest", "block_cut_nodes", "block_tree_node", "biconnected", "region_shared_members", "union_check", "decomposition_sets",
-    "decomposition_tree", "bucket_sizes", "contracted_tree", "long_paths",
+    "decomposition_tree", "bucket_sizes", "bucket_limits", "contracted_tree", "long_paths", "common_block", "decomposition_file", "tree_orders", "path_checks", "component_sizes",
 }
 
 
