@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import links as X
 from ..operators import graph as G
 from ..operators import links as L
+from ..operators import paths as H
 from ..operators import scaffolds as S
 from ..operators import scores as C
 from ..operators import solve as P
@@ -321,7 +322,7 @@ def constraint_checks(spark, sf_dir):
 
 def _matched(spark, sf_dir):
     edges = P.directed_edges(P.solve(view(spark, sf_dir, "bundles3")))
-    return G.break_cycles(G.match_paths(edges))
+    return G.break_cycles(H.match_maximum(edges))
 
 
 @_query
@@ -341,7 +342,7 @@ def agp_out(spark, sf_dir):
     """Scaffold rows of the solved paths."""
     bundles, contigs = view(spark, sf_dir, "bundles3"), view(spark, sf_dir, "contigs")
     solved = P.materialize(P.solve(bundles), "solution")
-    matched = P.materialize(G.break_cycles(G.match_paths(P.directed_edges(solved))), "matched")
+    matched = P.materialize(G.break_cycles(H.match_maximum(P.directed_edges(solved))), "matched")
     gaps = L.mean_gaps(view(spark, sf_dir, "links"), contigs, bundles)
     placed = G.order_paths(matched)
     into = matched.select(F.col("dst").alias("node"), X.smaller("src", "dst").alias("lo"), X.larger("src", "dst").alias("hi")).join(gaps, ["lo", "hi"]).select("node", "gap")
