@@ -15,10 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _piece_model() -> str:
+def _fertility() -> tuple[str, tuple[str, str]]:
+    """The two vocabularies that measure fertility."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and tokeniser fertility of every row of ``documents``."""
-    return quality.apply_rules(_table(spark, sf_dir, "documents"), _piece_model())
+    return quality.apply_rules(_table(spark, sf_dir, "documents"), *_fertility())
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,11 @@ class RankTokenizer:
         for token, rank in [*ranks.items(), (END_OF_TEXT.encode(), max(ranks.values()) + 1)]:
             self.byte_lengths[rank] = len(token)
 
+    def broken(self) -> np.ndarray:
+        """For every id, whether its bytes are not whole characters."""
+        valid = (self._bpe.decode_single_token_bytes(i).decode(errors="ignore").encode() for i in range(len(self.byte_lengths)))
+        return np.fromiter(map(len, valid), np.int64, len(self.byte_lengths)) != self.byte_lengths
+
     def encode(self, text: str) -> np.ndarray:
         return np.array(self._bpe.encode(text, allowed_special="all"), "<u4")
 

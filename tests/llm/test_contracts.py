@@ -131,12 +131,13 @@ def test_quality(spark, docs, monkeypatch):
 
 def test_fertility_bands(spark):
     junk = "###$$$%%% " * 10 + " ".join(f"qzx{i:05d}kk%%%&&&" for i in range(80))
-    model = public_tokenizers.path("piece_bpe_32k.model")
+    model, ranks = queries._fertility()
     good = " ".join(f"reading{chr(97 + i % 26)} maps onward gently" for i in range(60))
     rows = spark.createDataFrame([(1, junk, "en"), (2, good, "xx")], "doc_id long, text string, lang string")
     kept = {r.doc_id: (r.base_failed, r.kept) for r in quality.apply_rules(rows, model, max_repeat_percent=100).collect()}
     assert kept == {1: (False, False), 2: (False, True)}
-    assert [r.doc_id for r in quality.filter_documents(rows, model, max_repeat_percent=100).collect()] == [2]
+    for second in (None, ranks):
+        assert [r.doc_id for r in quality.filter_documents(rows, model, second, max_repeat_percent=100).collect()] == [2]
 
 
 def brute_targets(sizes: dict) -> dict:
@@ -472,7 +473,7 @@ def test_pipeline_stages(spark, docs):
     stages = dict(p.STAGES)
     assert list(stages) == ["quality rules", "line dedup", "SimHash near-dedup", "mixing", "packing"]
     kept = stages["quality rules"](spark, docs, "")
-    verdicts = quality.apply_rules(docs, public_tokenizers.path("piece_bpe_32k.model")).where("kept")
+    verdicts = quality.apply_rules(docs, *queries._fertility()).where("kept")
     assert kept.columns == p.COLUMNS and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in verdicts.collect())
 
     lines = stages["line dedup"](spark, docs, "")

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import attribution, chunks, linededup, nearcopies, packing, quality, secrets, simhash
+from helixframe.llm import attribution, chunks, linededup, nearcopies, packing, quality, queries, secrets, simhash
 from helixframe.llm.tokens import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,30 +58,51 @@ def test_linked_spans(spark):
     assert got == wanted and sum("login" in s for s in wanted.values()) > 50 and sum("blob" in s for s in wanted.values()) > 50
 
 
-def test_fertility_columns(spark, docs):
+def plain_fertility(words: list[str], encode, falls_back) -> tuple[float, float, float]:
+    ids = [i for w in words for i in encode(w)]
+    share = [n / len(ids) for n in Counter(ids).values()]
+    chars, fallback = (sum(map(len, words)) / len(ids), sum(map(falls_back, ids)) / len(ids)) if ids else (0.0, 0.0)
+    return round(chars, 9), round(fallback, 9), round(-sum(p * math.log2(p) for p in share) + 0.0, 9)
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_fertility_columns(spark, docs, both):
     """Script, characters per token, fallback share, entropy and the verdict of every row, word by word and without a cache."""
+    import base64
+
     import sentencepiece
+    import tiktoken
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
+    path, ranks = queries._fertility()
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(ranks[0], "rb") as lines:
+        bpe = tiktoken.Encoding("plain", pat_str=ranks[1], mergeable_ranks={base64.b64decode(t): int(i) for t, i in map(bytes.split, lines)}, special_tokens={"<|endoftext|>": 50256})
+
+    def broken(token: int) -> bool:
+        try:
+            bpe.decode_single_token_bytes(token).decode()
+        except UnicodeDecodeError:
+            return True
+        return False
+
+    vocabularies = [(model.encode, model.is_byte), (lambda w: bpe.encode(" " + w, allowed_special="all"), broken)][: 1 + both]
     got = Counter()
-    for r in quality.apply_rules(docs, path).collect():
-        got[r.doc_id, r.script, round(r.chars_per_token, 9), round(r.fallback_share, 9), round(r.token_entropy, 9), r.kept] += 1
+    for r in quality.apply_rules(docs, path, ranks if both else None).collect():
+        measured = [(r.chars_per_token, r.fallback_share, r.token_entropy), (r.rank_chars_per_token, r.rank_fallback_share, r.rank_token_entropy)]
+        assert both or measured.pop() == (None, None, None)
+        got[r.doc_id, r.script, tuple(tuple(round(x, 9) for x in m) for m in measured), r.kept] += 1
     wanted = Counter()
     for r in docs.collect():
         text = r.text or ""
         words = WORD.findall(text)
-        ids = [i for w in words for i in model.encode(w)]
-        share = [n / len(ids) for n in Counter(ids).values()]
-        chars, fallback = (sum(map(len, words)) / len(ids), sum(map(model.is_byte, ids)) / len(ids)) if ids else (0.0, 0.0)
-        entropy = -sum(p * math.log2(p) for p in share) + 0.0
+        measured = tuple(plain_fertility(words, *v) for v in vocabularies)
         script = quality.script_of(text)
-        least, most, byte_most, bits = quality.BANDS.get(r.lang) or quality.BANDS[script]
         windows = Counter(zip(words, words[1:], words[2:]))
         repeat = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
         base_failed = len(words) < 50 or 100 * len(repeat) > 50 * len(words)
-        kept = not base_failed and least <= chars <= most and fallback <= byte_most and entropy >= bits
-        wanted[r.doc_id, script, round(chars, 9), round(fallback, 9), round(entropy, 9), kept] += 1
+        bands = quality.BANDS.get(r.lang) or quality.BANDS[script]
+        inside = all(least <= c <= most and f <= fallback and e >= bits for (least, most, fallback, bits), (c, f, e) in zip(bands, measured))
+        wanted[r.doc_id, script, measured, not base_failed and inside] += 1
     assert got == wanted
 
 
@@ -108,7 +129,7 @@ def test_long_texts(spark, long_text):
     counted = attribution.count_tokens(docs, *vocabulary(), fields=("text",), sectioned="text").groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("lines")).collect()
     assert {r.doc_id: (r.n, r.lines) for r in counted}[1] == (n - 1, 55_000)
     words = len(WORD.findall(long_text))
-    rules = {r.doc_id: r for r in quality.apply_rules(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    rules = {r.doc_id: r for r in quality.apply_rules(docs, *queries._fertility()).collect()}
     assert rules[1].n_words == words and rules[2].n_words == words + 4 and rules[3].base_failed
     assert secrets.find_secrets(docs).count() == 3
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
