@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     import public_tokenizers
 
-    return quality.filter_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).select(COLUMNS)
+    return quality.filter_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken")).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
