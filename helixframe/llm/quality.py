@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,30 +112,39 @@ class Fertility:
         self._fallback = [np.array([model.is_byte(i) for i in range(model.get_piece_size())])]
         if ranks:
             bpe = RankTokenizer(*ranks)
-            self._encoders.append(lambda words: [bpe.encode(" " + w) for w in words])
+            self._encoders.append(lambda words: [bpe.tokens(" " + w) for w in words])
             self._fallback.append(bpe.broken())
         self._ids: dict[bytes, tuple[bytes, ...]] = {}
         self._room = max_words
 
     def __call__(self, words: list[bytes], counts: np.ndarray, word_chars: int) -> list[tuple[float, float, float]]:
         """One triple for each vocabulary, of different words and how often each occurs."""
-        known = self._ids
-        parts = list(map(known.get, words))
+        parts = list(map(self._ids.get, words))
         missing = [i for i, p in enumerate(parts) if p is None]
         texts = [words[i].decode() for i in missing]
-        for i, ids in zip(missing, zip(*(encode(texts) for encode in self._encoders))):
-            parts[i] = tuple(np.asarray(x, "<u2").tobytes() for x in ids)
-            if len(known) < self._room and len(words[i]) < 64:
-                known[words[i]] = parts[i]
-        columns = zip(*parts) if parts else [()] * len(self._encoders)
-        return [self._measure(column, counts, fallback, word_chars) for column, fallback in zip(columns, self._fallback)]
+        encoded = [encode(texts) for encode in self._encoders]
+        hits = [p for p in parts if p is not None]
+        hit_counts, miss_counts = np.delete(counts, missing), counts[missing]
+        triples = []
+        for v, (fallback, lists) in enumerate(zip(self._fallback, encoded)):
+            column = [p[v] for p in hits]
+            lengths = np.fromiter(map(len, column), np.int64, len(column)) // 2
+            more = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.concatenate([np.frombuffer(b"".join(column), "<u2"), np.fromiter(chain.from_iterable(lists), "<u2", int(more.sum()))])
+            often = np.concatenate([np.repeat(hit_counts, lengths), np.repeat(miss_counts, more)])
+            triples.append(self._measure(ids, often, fallback, word_chars))
+        for i, *ids in zip(missing, *encoded):
+            if len(self._ids) >= self._room:
+                break
+            if len(words[i]) < 64:
+                self._ids[words[i]] = tuple(np.array(x, "<u2").tobytes() for x in ids)
+        return triples
 
     @staticmethod
-    def _measure(column: tuple[bytes, ...], counts: np.ndarray, fallback: np.ndarray, word_chars: int) -> tuple[float, float, float]:
-        ids = np.frombuffer(b"".join(column), "<u2")
+    def _measure(ids: np.ndarray, often: np.ndarray, fallback: np.ndarray, word_chars: int) -> tuple[float, float, float]:
+        """The triple of token ids that occur ``often`` as many times."""
         if not len(ids):
             return 0.0, 0.0, 0.0
-        often = np.repeat(counts, np.fromiter(map(len, column), np.int64, len(column)) // 2)
         order = np.argsort(ids, kind="stable")
         first = np.concatenate([[0], np.flatnonzero(np.diff(ids[order])) + 1])
         tokens = int(often.sum())

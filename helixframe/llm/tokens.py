@@ -32,8 +32,11 @@ class RankTokenizer:
         valid = (self._bpe.decode_single_token_bytes(i).decode(errors="ignore").encode() for i in range(len(self.byte_lengths)))
         return np.fromiter(map(len, valid), np.int64, len(self.byte_lengths)) != self.byte_lengths
 
+    def tokens(self, text: str) -> list[int]:
+        return self._bpe.encode(text, allowed_special={END_OF_TEXT})
+
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self._bpe.encode(text, allowed_special="all"), "<u4")
+        return np.array(self.tokens(text), "<u4")
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
