@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 
 END_OF_TEXT = "<|endoftext|>"
+#: White space as split patterns know it, in runs so long that the pattern's look ahead could not step back over them.
+_LONG = 100_000
+_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUN = re.compile(f"(?<!{_SPACE}){_SPACE}{{{_LONG},}}")  # tried where a run begins only, so one that is too short costs its length once
 
 
 class RankTokenizer:
@@ -14,7 +19,9 @@ class RankTokenizer:
 
     The string ``END_OF_TEXT`` in a text is one id, the one after the last rank,
     and parts the text around it.  Any text is encoded whole; the empty text has
-    no ids.
+    no ids.  A run of ``_LONG`` or more white-space characters never meets the
+    pattern, which would give it as one piece, but for its last character where
+    other text follows: that piece goes to the byte pairs at once.
     """
 
     def __init__(self, rank_path: str, pattern: str):
@@ -33,7 +40,20 @@ class RankTokenizer:
         return np.fromiter(map(len, valid), np.int64, len(self.byte_lengths)) != self.byte_lengths
 
     def tokens(self, text: str) -> list[int]:
-        return self._bpe.encode(text, allowed_special={END_OF_TEXT})
+        if len(text) < _LONG or not _RUN.search(text):
+            return self._bpe.encode(text, allowed_special={END_OF_TEXT})
+        ids: list[int] = []
+        for i, part in enumerate(text.split(END_OF_TEXT)):
+            if i:
+                ids.append(len(self.byte_lengths) - 1)
+            at = 0
+            for run in _RUN.finditer(part):
+                end = run.end() - (run.end() < len(part))
+                ids += self._bpe.encode_ordinary(part[at : run.start()])
+                ids += self._bpe._core_bpe.encode_single_piece(part[run.start() : end].encode())
+                at = end
+            ids += self._bpe.encode_ordinary(part[at:])
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokens(text), "<u4")
