@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from ..tables import materialize
 
-#: Rows without an id count as one document that comes after all others.
-NO_ID = (1 << 63) - 1
 _CHUNKS = "doc_id bigint, version bigint, start bigint, end bigint, high bigint, low bigint"
 _WINDOW = 32
 
@@ -94,8 +92,7 @@ def chunk(docs: DataFrame, id_col: str, text_col: str, bits: int, least: int, mo
                 [batch.column(0).take(owner), batch.column(1).take(owner), *map(pa.array, spans), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=out
             )
 
-    doc_id = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id")
-    return docs.select(doc_id, F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text")).mapInArrow(run, _CHUNKS)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text")).mapInArrow(run, _CHUNKS)
 
 
 def repeated_passages(
@@ -117,12 +114,16 @@ def repeated_passages(
     left alone; rows with one id are one document, which keeps what any of them
     has, but passages never reach from one of its texts into another; rows with
     a null id are one document that comes last; other columns are ignored; an
-    empty table gives no rows.
+    empty table gives no rows.  A text of any length is cut whole in one task,
+    which holds about 20 bytes for each of its bytes.
     """
     chunks = materialize(chunk(docs, id_col, text_col, bits, least, most), "chunks")
-    grouped = chunks.groupBy("high", "low").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last_id"), F.count("*").alias("n_docs"))
-    repeated = grouped.where("kept_doc_id <> last_id").drop("last_id")
-    later = chunks.join(repeated, ["high", "low"]).where("doc_id <> kept_doc_id")
+    # A null id is none of the ids: it keeps a chunk from nobody, and any id keeps one from it.
+    grouped = chunks.groupBy("high", "low").agg(
+        F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last_id"), F.count("doc_id").alias("named"), F.count("*").alias("n_docs")
+    )
+    repeated = grouped.where("kept_doc_id <> last_id or (named > 0 and named < n_docs)").drop("last_id", "named")
+    later = chunks.join(repeated, ["high", "low"]).where("doc_id is null or doc_id <> kept_doc_id")
     # From here on everything is bounded by one text.
     order = Window.partitionBy("doc_id", "version").orderBy("start", "end")
     fresh = F.coalesce(F.lag("end").over(order) < F.col("start"), F.lit(True)).cast("int")
@@ -131,12 +132,12 @@ def repeated_passages(
     each = numbered.groupBy("doc_id", "version", "passage", "kept_doc_id").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.max("n_docs").alias("n_docs"), F.sum(F.col("end") - F.col("start")).alias("held")
     )
-    keepers = F.collect_list(F.struct("held", (-F.col("kept_doc_id")).alias("last")))
+    keepers = F.collect_list(F.struct("held", F.bitwise_not("kept_doc_id").alias("last")))
     spans = each.groupBy("doc_id", "version", "passage").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_chunks"), F.max("n_docs").alias("n_docs"), keepers.alias("keepers")
     )
     long = F.filter("keepers", lambda k: k.held >= min_span)
-    named = F.transform(F.when(F.size(long) > 0, long).otherwise(F.array(F.array_max("keepers"))), lambda k: F.nullif(-k.last, F.lit(NO_ID)))
+    named = F.transform(F.when(F.size(long) > 0, long).otherwise(F.array(F.array_max("keepers"))), lambda k: F.bitwise_not(k.last))
     return spans.where(F.col("end") - F.col("start") >= min_span).select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "start", "end", "n_chunks", "n_docs", F.array_sort(named).alias("kept_doc_ids")
+        "doc_id", "start", "end", "n_chunks", "n_docs", F.array_sort(named).alias("kept_doc_ids")
     )

@@ -16,11 +16,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .cuckoo import CuckooFilter
 from ..tables import materialize
 
-#: Rows without an id count as one document that comes after all others.
-NO_ID = (1 << 63) - 1
 _REFERENCES = "doc_id bigint, version bigint, high bigint, low bigint"
-_COUNTS = ["shard", "high", "low", "n", "first_id", "last_id"]
-_PROBED = "shard int, high bigint, low bigint, n bigint, first_id bigint, last_id bigint, seen boolean, filter binary"
+#: Of the ``n`` references of a key, ``named`` are of documents with an id; without any, ``first_id`` and ``last_id`` are 0.
+_COUNTS = ["shard", "high", "low", "n", "named", "first_id", "last_id"]
+_PROBED = "shard int, high bigint, low bigint, n bigint, named bigint, first_id bigint, last_id bigint, seen boolean, filter binary"
 
 
 def line_key(line: str, min_chars: int) -> bytes | None:
@@ -44,8 +43,7 @@ def line_references(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
             owner = pa.array(np.repeat(np.arange(len(counts)), counts))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], schema=out)
 
-    doc_id = F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc_id")
-    return docs.select(doc_id, F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text")).mapInArrow(run, _REFERENCES)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text")).mapInArrow(run, _REFERENCES)
 
 
 @dataclass(frozen=True)
@@ -70,14 +68,15 @@ class LineIndex:
     def empty(spark, shards: int = 64) -> LineIndex:
         return LineIndex(
             spark.createDataFrame([], _REFERENCES),
-            spark.createDataFrame([], "shard int, high bigint, low bigint, n bigint, first_id bigint, last_id bigint"),
+            spark.createDataFrame([], "shard int, high bigint, low bigint, n bigint, named bigint, first_id bigint, last_id bigint"),
             spark.createDataFrame([], "shard int, filter binary"),
             shards,
         )
 
     def _grouped(self, references: DataFrame) -> DataFrame:
         """Counts of some references; combined before the shuffle, so a line that is everywhere is a few rows."""
-        grouped = references.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+        ends = [F.coalesce(f("doc_id"), F.lit(0)).alias(c) for f, c in ((F.min, "first_id"), (F.max, "last_id"))]
+        grouped = references.groupBy("high", "low").agg(F.count("*").alias("n"), F.count("doc_id").alias("named"), *ends)
         return grouped.select(F.pmod(F.xxhash64("high", "low"), F.lit(self.shards)).cast("int").alias("shard"), *_COUNTS[1:])
 
     def insert(self, references: DataFrame) -> LineIndex:
@@ -101,8 +100,8 @@ class LineIndex:
         merged = old.join(more, ["shard", "high", "low"], "full_outer").select(
             "shard", "high", "low",
             (F.coalesce("o.n", F.lit(0)) + F.coalesce("s.n", F.lit(0))).alias("n"),
-            F.least("o.first_id", "s.first_id").alias("first_id"),
-            F.greatest("o.last_id", "s.last_id").alias("last_id"),
+            (F.coalesce("o.named", F.lit(0)) + F.coalesce("s.named", F.lit(0))).alias("named"),
+            *(F.coalesce(f(*(F.when(F.col(f"{side}.named") > 0, F.col(f"{side}.{c}")) for side in "os")), F.lit(0)).alias(c) for f, c in ((F.least, "first_id"), (F.greatest, "last_id"))),
         )
         counts = merged.union(probed.where("filter is null and not seen").select(*_COUNTS))
         return LineIndex(
@@ -110,25 +109,27 @@ class LineIndex:
         )
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
-        """The index without the documents in ``doc_ids`` (doc_id), as if they had never come."""
-        kept = materialize(self.references.join(doc_ids, "doc_id", "left_anti"), "line-references")
-        touched = self.references.join(doc_ids, "doc_id", "left_semi").select("high", "low").distinct()
+        """The index without the documents in ``doc_ids`` (doc_id; null: that of the rows without an id), as if they had never come."""
+        gone = F.col("doc_id").eqNullSafe(F.col("gone_id"))
+        doc_ids = doc_ids.select(F.col("doc_id").cast("long").alias("gone_id"))
+        kept = materialize(self.references.join(doc_ids, gone, "left_anti"), "line-references")
+        touched = self.references.join(doc_ids, gone, "left_semi").select("high", "low").distinct()
         left = self._grouped(kept.join(touched, ["high", "low"], "left_semi"))
         counts = materialize(self.counts.join(touched, ["high", "low"], "left_anti").select(*_COUNTS).union(left), "line-counts")
-        gone = touched.join(left, ["high", "low"], "left_anti").select(F.pmod(F.xxhash64("high", "low"), F.lit(self.shards)).cast("int").alias("shard"), "high", "low")
+        unheld = touched.join(left, ["high", "low"], "left_anti").select(F.pmod(F.xxhash64("high", "low"), F.lit(self.shards)).cast("int").alias("shard"), "high", "low")
 
         def remove(old: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
             known = CuckooFilter.load(stored["filter"].iloc[0])
             known.delete(old["high"].to_numpy(np.int64), old["low"].to_numpy(np.int64))
             return pd.DataFrame({"shard": stored["shard"].iloc[:1], "filter": [known.dump()]})
 
-        filters = gone.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(remove, "shard int, filter binary")
+        filters = unheld.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(remove, "shard int, filter binary")
         return LineIndex(kept, counts, materialize(filters, "line-filters"), self.shards)
 
     def surplus(self) -> DataFrame:
-        """(doc_id, version, high, low): references of keys that a smaller id holds as well."""
-        repeated = self.counts.where("first_id <> last_id").select("high", "low", "first_id")
-        return self.references.join(repeated, ["high", "low"]).where("doc_id <> first_id").select("doc_id", "version", "high", "low")
+        """(doc_id, version, high, low): references of keys that a smaller id holds as well; to a null id all others are smaller."""
+        repeated = self.counts.where("first_id <> last_id or (named > 0 and named < n)").select("high", "low", "first_id")
+        return self.references.join(repeated, ["high", "low"]).where("doc_id is null or doc_id <> first_id").select("doc_id", "version", "high", "low")
 
     def reshard(self, shards: int) -> LineIndex:
         """The same index with another number of shards, for when it has outgrown them; filters are built from the counts."""
@@ -148,10 +149,9 @@ def drop_lines(docs: DataFrame, surplus: DataFrame, id_col: str, text_col: str,
     """All columns of ``docs`` with the surplus lines cut out of the text, and ``n_lines`` and ``n_dropped``."""
     docs = docs.drop("n_lines", "n_dropped", "__of", "__version", "__keys")
     # Bounded by one text, whatever number of rows has its id.
-    own = ["__of", "__version"]
     per_text = surplus.groupBy(F.col("doc_id").alias("__of"), F.col("version").alias("__version")).agg(F.collect_set(F.struct("high", "low")).alias("__keys"))
-    keyed = docs.withColumns({"__of": F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), "__version": F.xxhash64(docs[text_col])})
-    rows = keyed.join(per_text, own, "left").drop(*own)
+    own = docs[id_col].cast("long").eqNullSafe(per_text["__of"]) & (F.xxhash64(docs[text_col]) == per_text["__version"])
+    rows = docs.join(per_text, own, "left").drop("__of", "__version")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +193,7 @@ def deduplicate_lines(
     A null or empty text is one empty line and stays as it is.  Rows with one id
     are one document; rows with a null id are one that comes last.  Columns
     named n_lines, n_dropped, __of, __version or __keys are replaced.  An empty table gives
-    no rows.
+    no rows.  A text of any length is split whole in one task.
     """
     references = materialize(line_references(docs, id_col, text_col, min_chars), "line-references")
     index = LineIndex.empty(docs.sparkSession, max(64, references.count() // shard_keys + 1))

@@ -48,9 +48,9 @@ SELECT doc_id, bytes, CASE WHEN depth = 0 THEN '' ELSE to_base(prefix, 2, CAST(d
     "op9_line_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT n, doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d),
-k AS (SELECT *, translate(trim(line, {_SPACES}), '{_UPPER}', '{_LOWER}') AS key, coalesce(doc_id, 9223372036854775807) AS id FROM l),
-h AS (SELECT key, min(id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(id) <> max(id)),
-m AS (SELECT k.*, h.key IS NOT NULL AND k.id <> h.first_id AS cut FROM k LEFT JOIN h ON k.key = h.key)
+k AS (SELECT *, translate(trim(line, {_SPACES}), '{_UPPER}', '{_LOWER}') AS key FROM l),
+h AS (SELECT key, min(doc_id) AS first_id FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) <> max(doc_id) OR count(doc_id) BETWEEN 1 AND count(*) - 1),
+m AS (SELECT k.*, h.key IS NOT NULL AND k.doc_id IS DISTINCT FROM h.first_id AS cut FROM k LEFT JOIN h ON k.key = h.key)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(CASE WHEN cut THEN 1 END) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT cut), '')) AS kept_sha256 FROM m GROUP BY n
 """,
