@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chunks, hamming, linededup, mixing, packing, quality, secrets, sharding, simhash
+from . import attribution, chunks, hamming, linededup, mixing, packing, quality, repair, secrets, sharding, simhash
 from .tokens import vocabulary
+from ..tables import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +85,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``conversations`` with about a quarter of the rows damaged by a fixed rule; ``copies`` is 0 for a dropped row and 2 for a repeated one."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    return conversations.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(text("role")).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text("text"), ".!?", "")).otherwise(text("text")).alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged ``conversations``, what is wrong with each and its cheapest repair."""
+    pieces = materialize(repair.repair(damaged(_table(spark, sf_dir, "conversations")), copies_col="copies"), "repaired")
+    report = pieces.where("piece = 0").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    digests = repair.digests(pieces).withColumnRenamed("conv_id", "of")
+    return report.join(digests, report.conv_id.eqNullSafe(digests.of)).drop("of")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline``."""
     import corpus_pipeline
@@ -94,6 +114,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_topk_search, op2_packing, op3_secrets, op4_token_counts, op5_quality_rules, op6_mixing, op7_sharding, op8_simhash,
-        op9_line_dedup, op10_substring_dedup, pipeline,
+        op9_line_dedup, op10_substring_dedup, op11_structure_repair, pipeline,
     )
     return {f.__name__: f for f in named}
