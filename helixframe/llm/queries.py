@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chunks, hamming, linededup, mixing, packing, quality, repair, secrets, sharding, simhash
+from . import attribution, chunks, hamming, lexical, linededup, mixing, packing, quality, repair, secrets, sharding, simhash
 from .tokens import vocabulary
 from ..tables import materialize
 
@@ -104,6 +104,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.join(digests, report.conv_id.eqNullSafe(digests.of)).drop("of")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best rows of ``documents`` for every item of ``benchmark``."""
+    index = materialize(lexical.build_index(_table(spark, sf_dir, "documents")), "lexical-index")
+    return lexical.search(index, _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline``."""
     import corpus_pipeline
@@ -114,6 +120,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_topk_search, op2_packing, op3_secrets, op4_token_counts, op5_quality_rules, op6_mixing, op7_sharding, op8_simhash,
-        op9_line_dedup, op10_substring_dedup, op11_structure_repair, pipeline,
+        op9_line_dedup, op10_substring_dedup, op11_structure_repair, op12_lexical_search, pipeline,
     )
     return {f.__name__: f for f in named}
