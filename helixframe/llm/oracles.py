@@ -60,12 +60,12 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(CASE WHEN cut THE
 _TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 SQL["op12_lexical_search"] = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}') AS terms FROM documents WHERE text IS NOT NULL),
-s AS (SELECT count(*) AS N, sum(len(terms)) AS L FROM d WHERE len(terms) > 0),
+s AS (SELECT count(*) AS n_docs, sum(len(terms)) AS n_terms FROM d WHERE len(terms) > 0),
 q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark),
 t AS MATERIALIZED (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf, any_value(n) AS n
                    FROM (SELECT r, doc_id, unnest(terms) AS term, len(terms) AS n FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
-w AS (SELECT term, CAST(floor(1000 * ln((2.0 * any_value(N) + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM t, s GROUP BY term),
-f AS (SELECT t.r, t.doc_id, t.term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * N) // CAST(L AS BIGINT))))) AS part FROM t JOIN w ON t.term = w.term, s),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * any_value(n_docs) + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM t, s GROUP BY term),
+f AS (SELECT t.r, t.doc_id, t.term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * n_docs) // CAST(n_terms AS BIGINT))))) AS part FROM t JOIN w ON t.term = w.term, s),
 h AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(part) AS BIGINT) AS score FROM f JOIN q ON f.term = q.term GROUP BY item_id, r),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM h WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
