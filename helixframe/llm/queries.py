@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chunks, hamming, lexical, linededup, mixing, packing, quality, repair, secrets, sharding, simhash
+from . import attribution, chunks, hamming, katz, lexical, linededup, mixing, packing, quality, repair, secrets, sharding, simhash
 from .tokens import vocabulary
 from ..tables import materialize
 
@@ -110,6 +110,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(index, _table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` under a bigram model of nine tenths of them; a null id is the empty text here."""
+    documents = _table(spark, sf_dir, "documents")
+    return katz.score(documents, F.crc32(F.coalesce(documents.doc_id.cast("string"), F.lit(""))) % 10 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline``."""
     import corpus_pipeline
@@ -120,6 +126,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_topk_search, op2_packing, op3_secrets, op4_token_counts, op5_quality_rules, op6_mixing, op7_sharding, op8_simhash,
-        op9_line_dedup, op10_substring_dedup, op11_structure_repair, op12_lexical_search, pipeline,
+        op9_line_dedup, op10_substring_dedup, op11_structure_repair, op12_lexical_search, op13_katz_scores, pipeline,
     )
     return {f.__name__: f for f in named}
