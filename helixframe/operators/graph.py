@@ -6,10 +6,12 @@ or a count says so; only that reaches the driver.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from ..tables import materialize, materialize_count
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -94,15 +96,15 @@ def best_incoming(edges: DataFrame) -> DataFrame:
 def match_paths(edges: DataFrame) -> DataFrame:
     """Edges (src, dst, weight) of which every node keeps at most one in and one out, by locally heaviest choice.
 
-    In rounds, an edge that is the heaviest at both its ends (then by smaller
-    src, dst) is taken and the edges that share an end with it go.  The result
+    In rounds, an edge that is the heaviest at both its ends (of equals, by a
+    hash) is taken and the edges that share an end with it go.  The result
     is a maximal matching of sources to targets of at least half the greatest
     weight; it is exact where no chain of three edges outweighs its middle.
     """
     left = materialize(edges.select("src", "dst", "weight").where("src <> dst"), "match-edges")
     taken = []
     while not left.isEmpty():
-        rank = F.struct("weight", -F.col("src"), -F.col("dst"))
+        rank = F.struct("weight", F.xxhash64("src", "dst"), "src", "dst")
         out_best = left.groupBy("src").agg(F.max(rank).alias("best_out"))
         in_best = left.groupBy("dst").agg(F.max(rank).alias("best_in"))
         chosen = left.join(out_best, "src").join(in_best, "dst").where((rank == F.col("best_out")) & (rank == F.col("best_in"))).select("src", "dst", "weight")
@@ -146,25 +148,27 @@ def order_paths(edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, source, max_rounds: int | None = None) -> DataFrame:
     """(node, distance, previous) from ``source`` over edges (src, dst, weight); negative weights are allowed.
 
-    Relaxation rounds until nothing changes; a change after as many rounds as
-    there are nodes is a negative cycle and an error.
+    Each round looks at the edges out of nodes that came nearer in the one
+    before, until there are none; any after as many rounds as there are nodes
+    mean a negative cycle and are an error.  Rounds follow the number of edges
+    of the longest shortest path.
     """
     spark = edges.sparkSession
-    best = spark.createDataFrame([(source,)], edges.select(F.col("src").alias("node")).schema).select("node", F.lit(0.0).alias("distance"), F.col("node").alias("previous"))
-    best = materialize(best, "distances")
-    nodes = max_rounds or edges.select(F.col("src").alias("n")).union(edges.select("dst")).distinct().count()
-    total = None
-    for _ in range(nodes + 1):
-        step = edges.join(best.withColumnRenamed("node", "src"), "src").select(
-            F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).cast("double").alias("distance"), F.col("src").alias("previous")
-        )
-        both = best.union(step).groupBy("node").agg(F.min(F.struct("distance", "previous")).alias("b"))
-        best = materialize(both.select("node", "b.distance", "b.previous"), "distances")
-        now = tuple(best.agg(F.count("*"), F.sum("distance")).first())
-        if now == total:
-            return best
-        total = now
-    raise ValueError("negative cycle")
+    best = spark.createDataFrame([(source,)], edges.select(F.col("src").alias("node")).schema).select("node", F.lit(0.0).alias("distance"), F.col("node").alias("previous"), F.lit(True).alias("nearer"))
+    nodes = max_rounds
+    for done in itertools.count(1):
+        front = best.where("nearer").select(F.col("node").alias("src"), "distance")
+        step = edges.join(front, "src").select(F.col("dst").alias("node"), F.struct((F.col("distance") + F.col("weight")).cast("double").alias("distance"), F.col("src").alias("previous")).alias("b"))
+        step = step.groupBy("node").agg(F.min("b").alias("b"))
+        met = best.join(step, "node", "full_outer").withColumn("nearer", F.coalesce(F.col("b.distance") < F.col("distance"), F.col("b").isNotNull() & F.col("distance").isNull()))
+        pick = lambda c: F.when(F.col("nearer"), F.col(f"b.{c}")).otherwise(F.col(c)).alias(c)
+        best, changed = materialize_count(met.select("node", pick("distance"), pick("previous"), "nearer"), "distances", F.count_if("nearer"))
+        if not changed:
+            return best.select("node", "distance", "previous")
+        if done > 64 or max_rounds:
+            nodes = nodes or edges.select(F.col("src").alias("n")).union(edges.select("dst")).distinct().count()
+            if done > nodes:
+                raise ValueError("negative cycle")
 
 
 def euler_tour(tree: DataFrame, roots: DataFrame, rooted: bool = False) -> DataFrame:
@@ -420,7 +424,7 @@ def break_cycles_last(edges: DataFrame) -> DataFrame:
 def contract_tree(tree: DataFrame, sizes: DataFrame, cutoff: int) -> DataFrame:
     """(node, merged, size): nodes of a forest of edges (a, b), put together with their neighbours while the ``sizes`` (node, size) of both sum to at most ``cutoff``.
 
-    In every round the edges with the smallest sum (then the smallest ends) at
+    In every round the edges with the smallest sum (of equals, by a hash) at
     both their ends are contracted at once.  ``merged`` is the smallest node,
     ``size`` counts shared members as often as they come.
     """
@@ -428,7 +432,7 @@ def contract_tree(tree: DataFrame, sizes: DataFrame, cutoff: int) -> DataFrame:
     while True:
         name = lambda x: state.select(F.col("node").alias(x), F.col("merged").alias(f"m{x}"), F.col("size").alias(f"s{x}"))
         open_ = tree.select("a", "b").join(name("a"), "a").join(name("b"), "b").where((F.col("ma") != F.col("mb")) & (F.col("sa") + F.col("sb") <= cutoff))
-        open_ = open_.select(F.struct((F.col("sa") + F.col("sb")).alias("sum"), F.least("ma", "mb").alias("x"), F.greatest("ma", "mb").alias("y")).alias("e")).distinct()
+        open_ = open_.select(F.struct((F.col("sa") + F.col("sb")).alias("sum"), F.xxhash64(F.least("ma", "mb"), F.greatest("ma", "mb")).alias("h"), F.least("ma", "mb").alias("x"), F.greatest("ma", "mb").alias("y")).alias("e")).distinct()
         best = open_.select("e", F.explode(F.array("e.x", "e.y")).alias("m")).groupBy("m").agg(F.min("e").alias("e"))
         chosen = best.groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.x", "e.y", "e.sum")
         chosen = materialize(chosen, "contract-chosen")

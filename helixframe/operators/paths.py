@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import links as X
@@ -110,9 +110,10 @@ def with_rank(df: DataFrame, by: list[str]) -> DataFrame:
     """``df`` with ``rank``, the place of each row from 0 in the order of ``by``."""
     sorted_ = materialize(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()), "rank")
     part, at = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # one row per range
-    earlier = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
-    return sorted_.withColumn("part", part).join(F.broadcast(earlier), "part").withColumn("rank", at + F.col("before")).drop("part", "place", "before")
+    # One row per range, so a running sum over them is small work.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return sorted_.withColumn("part", part).join(earlier, "part").withColumn("rank", at + F.col("before")).drop("part", "place", "before")
 
 
 def best_matching(rows: list[tuple]) -> list[int]:

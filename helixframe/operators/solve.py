@@ -3,20 +3,21 @@
 A solution gives every contig an orientation and every bundle one of its four
 states, which with the orientations says the bundle's direction; no three
 bundles may run in a circle.  The weights of the chosen states are to be
-greatest.  Complementing all orientations of a block and reversing its
-directions keeps its states, so blocks can be solved one by one and put
-together at the contigs they share.
+greatest.  As a sum of small tables it is maximised by
+:mod:`.elimination`, in all components at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import links as X
 from ..tables import materialize
+from . import elimination as E
 from . import graph as G
 from .links import triangles, with_pair
+from .paths import with_rank
 
 
 def canonical_bundles(bundles: DataFrame) -> DataFrame:
@@ -35,52 +36,59 @@ def _weight(state: F.Column) -> F.Column:
     return F.element_at(F.array("w0", "w1", "w2", "w3"), state.cast("int") + 1)
 
 
-def _triangle_edges(tris: DataFrame) -> DataFrame:
+def triangle_edges(tris: DataFrame) -> DataFrame:
     """(u, v): bundles that are sides of triangles."""
     return tris.select(F.inline(F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ("ab", "bc", "ac"))))).distinct()
 
 
-def enumerate_blocks(edges: DataFrame, tris: DataFrame, max_bits: int = 12) -> DataFrame:
-    """(u, v, state) of the bundles of every block that needs at most ``max_bits`` bits, exactly.
+def _orientation(node: str) -> F.Column:
+    """The variable of a contig's orientation."""
+    return F.concat(F.lit("o:"), F.col(node).cast("string"))
 
-    ``edges``: (u, v, w0..w3, block).  A bit for each contig but the first says
-    its orientation; another one for each bundle in a triangle says its
-    direction, which nothing else restricts.  Every assignment of a block is a
-    row group of at most 2**max_bits; all blocks are tried in one job.
+
+def _direction(u: str, v: str) -> F.Column:
+    """The variable of a bundle's direction: 0 is u to v."""
+    return F.concat(F.lit("d:"), F.col(u).cast("string"), F.lit("-"), F.col(v).cast("string"))
+
+
+def _explode_bits(df: DataFrame, *names: str) -> DataFrame:
+    for n in names:
+        df = df.withColumn(n, F.explode(F.array(F.lit(0), F.lit(1))))
+    return df
+
+
+def _pair(var: F.Column, bit: F.Column | str) -> F.Column:
+    return F.struct(var.alias("var"), (F.col(bit) if isinstance(bit, str) else bit).cast("int").alias("bit"))
+
+
+def _free(edges: DataFrame, directed: DataFrame) -> DataFrame:
+    """Edges with ``free``: whether nothing but the orientations decides the direction; the others are in ``directed`` (u, v)."""
+    marked = directed.select("u", "v").distinct().withColumn("free", F.lit(False))
+    return edges.join(marked, ["u", "v"], "left").withColumn("free", F.coalesce("free", F.lit(True)))
+
+
+def tables(edges: DataFrame, tris: DataFrame) -> DataFrame:
+    """The program over ``edges`` (u, v, w0..w3, free) as factors, see :mod:`.elimination`.
+
+    A free bundle is worth the heavier state that fits the orientations of its
+    ends; another one has a variable for its direction, and of the three in a
+    triangle not all may run around.
     """
-    members = G.block_members(edges)
-    in_tri = tris.join(edges.select(F.col("u").alias("a"), F.col("v").alias("b"), "block"), ["a", "b"])
-    edges = edges.join(_triangle_edges(tris).withColumn("tri", F.lit(True)), ["u", "v"], "left").withColumn("tri", F.coalesce("tri", F.lit(False)))
-    nodes = members.groupBy("block").agg(F.count("*").alias("n"))
-    bits = edges.groupBy("block").agg(F.count_if("tri").alias("m")).join(nodes, "block").select("block", "n", (F.col("n") - 1 + F.col("m")).alias("bits"))
-    small = materialize(bits.where(F.col("bits") <= max_bits), "solve-small")
-
-    # Blocks are small from here on, so windows inside them are.
-    place = Window.partitionBy("block").orderBy("node")
-    at = members.join(small.select("block"), "block", "left_semi").withColumn("at", F.row_number().over(place) - 2)  # the first one is pinned
-    nth = Window.partitionBy("block", "tri").orderBy("u", "v")
-    own = edges.join(small, "block").withColumn("edge_at", F.col("n") - 2 + F.row_number().over(nth))
-    own = own.join(at.select("block", F.col("node").alias("u"), F.col("at").alias("at_u")), ["block", "u"]).join(at.select("block", F.col("node").alias("v"), F.col("at").alias("at_v")), ["block", "v"])
-    tried = own.withColumn("try", F.explode(F.expr("sequence(0L, shiftleft(1L, cast(bits as int)) - 1)")))
-    bit = lambda c: F.expr(f"if({c} < 0, 0, cast(shiftright(try, cast({c} as int)) & 1 as int))")
-    tried = tried.withColumns({"su": bit("at_u"), "sv": bit("at_v")})
-    forward_state = 2 * F.col("su") + F.col("sv")
-    forced = F.when(bit("edge_at") == 0, forward_state).otherwise(3 - forward_state)
-    tried = tried.withColumn("state", F.when(F.col("tri"), forced).otherwise(_best_state(F.col("su") == F.col("sv"))))
-    tried = materialize(tried.select("block", "try", "u", "v", "state", _weight(F.col("state")).alias("w"), X.direction("state", "su", "sv").alias("way")), "solve-tried")
-
-    # Assignments in which a triangle runs in a circle: a to b, b to c and not a to c, or all reversed.
-    side = lambda x, y, n: tried.select("block", "try", F.col("u").alias(x), F.col("v").alias(y), F.col("way").alias(n))
-    circles = in_tri.join(side("a", "b", "ab"), ["block", "a", "b"]).join(side("b", "c", "bc"), ["block", "try", "b", "c"]).join(side("a", "c", "ac"), ["block", "try", "a", "c"])
-    bad = circles.where("ab = bc and ac = -ab").select("block", "try").distinct()
-    value = tried.groupBy("block", "try").agg(F.sum("w").alias("value")).join(bad, ["block", "try"], "left_anti")
-    best = value.groupBy("block").agg(F.max_by("try", F.struct("value", -F.col("try"))).alias("try"))
-    return tried.join(best, ["block", "try"]).select("u", "v", F.col("state").cast("int").alias("state"))
-
-
-def orient(edges: DataFrame, states: DataFrame, tree: DataFrame) -> DataFrame:
-    """(node, root, orien): orientations under which the edges of ``tree`` (see :func:`.graph.rooted_forest`) have the parity of their state; the smallest node has 0."""
-    parity = edges.join(states, ["u", "v"], "left").select("u", "v", F.coalesce(F.col("state").isin(1, 2), F.greatest("w1", "w2") > F.greatest("w0", "w3")).cast("int").alias("odd"))
+    su, sv = _pair(_orientation("u"), "su"), _pair(_orientation("v"), "sv")
+    both = _explode_bits(edges, "su", "sv")
+    name = F.concat(F.lit("e:"), F.col("u").cast("string"), F.lit("-"), F.col("v").cast("string"))
+    free = both.where("free").select(*E.factor(name, F.array(su, sv), _weight(_best_state(F.col("su") == F.col("sv")))))
+    ahead = 2 * F.col("su") + F.col("sv")
+    told = _explode_bits(both.where("not free"), "d")
+    told = told.select(*E.factor(name, F.array(su, sv, _pair(_direction("u", "v"), "d")), _weight(F.when(F.col("d") == 0, ahead).otherwise(3 - ahead))))
+    circles = _explode_bits(tris.select("a", "b", "c"), "ab", "bc", "ac").where("ab <> bc or ab = ac")
+    sides = F.array(*(_pair(_direction(x, y), x + y) for x, y in ("ab", "bc", "ac")))
+    return free.unionByName(told).unionByName(circles.select(*E.factor(F.concat_ws("-", F.lit("t:"), "a", "b", "c"), sides, F.lit(0.0))))
+
+
+def orient(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node, root, orien): orientations under which the edges of ``tree`` (see :func:`.graph.rooted_forest`) have their heavier parity; the smallest node has 0."""
+    parity = edges.select("u", "v", (F.greatest("w1", "w2") > F.greatest("w0", "w3")).cast("int").alias("odd"))
     up = tree.where("parent is not null").select("node", "parent", "root", F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
     steps = up.join(parity, ["u", "v"]).select("node", "parent", "root", "odd")
     roots = tree.where("parent is null").select("node", "parent", "root", F.lit(0).alias("odd"))
@@ -88,46 +96,43 @@ def orient(edges: DataFrame, states: DataFrame, tree: DataFrame) -> DataFrame:
     # Pointer doubling to the root: each round adds the parity of the node that the pointer reaches.
     while not at.where("parent is not null").isEmpty():
         far = at.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("odd").alias("more"))
-        at = at.join(far, "parent", "left").select("node", F.col("next").alias("parent"), "root", (F.coalesce("more", F.lit(0)).bitwiseXOR(F.col("odd"))).alias("odd"))
+        at = at.join(far, "parent", "left").select("node", F.col("next").alias("parent"), "root", (F.coalesce("more", F.lit(0))).bitwiseXOR(F.col("odd")).alias("odd"))
         at = materialize(at, "solve-parity")
     return at.select("node", "root", F.col("odd").alias("orien"))
 
 
-def improve(edges: DataFrame, start: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(u, v, state) of the bundles (u, v, w0..w3, block) of blocks, from orientations ``start`` (node, orien) by turning contigs.
+def improve(edges: DataFrame, start: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """(node, orien): orientations ``start`` (node, orien) after turning contigs for the sake of bundles (u, v, w0..w3).
 
-    A contig turns if that adds weight to its block and no neighbour there gains
-    more by its own turn, so every round adds weight; it ends when nothing
-    gains.  Contigs in several blocks have an orientation in each.
+    A contig turns if that adds weight and no neighbour gains more by its own
+    turn (of equals, by a hash), so every round adds weight; it ends when nothing
+    gains.  Contigs in ``pinned`` (node) never turn.
     """
-    at = materialize(G.block_members(edges).join(start.select("node", "orien"), "node"), "solve-turned")
+    at = materialize(start.select("node", "orien"), "solve-turned")
     gain = F.greatest("w1", "w2") - F.greatest("w0", "w3")
-    u, v = "u", "v"
-    name = lambda x: at.select("block", F.col("node").alias(x), F.col("orien").alias(f"s{x}"))
-    for _ in range(max_rounds):
-        met = edges.join(name(u), ["block", "u"]).join(name(v), ["block", "v"])
-        step = met.select("block", "u", "v", F.when(F.col("su") == F.col("sv"), gain).otherwise(-gain).alias("gain"))
-        per = step.select("block", F.explode(F.array("u", "v")).alias("node"), "gain").groupBy("block", "node").agg(F.sum("gain").alias("gain")).where("gain > 0")
-        per = materialize(per, "solve-gains")
+    while True:
+        name = lambda x: at.select(F.col("node").alias(x), F.col("orien").alias(f"s{x}"))  # noqa: B023, E731
+        step = edges.join(name("u"), "u").join(name("v"), "v").select("u", "v", F.when(F.col("su") == F.col("sv"), gain).otherwise(-gain).alias("gain"))
+        per = step.select(F.explode(F.array("u", "v")).alias("node"), "gain").groupBy("node").agg(F.sum("gain").alias("gain")).where("gain > 0")
+        per = materialize(per if pinned is None else per.join(pinned.select("node"), "node", "left_anti"), "solve-gains")
         if per.isEmpty():
-            break
-        rank = lambda x: per.select("block", F.col("node").alias(x), F.struct("gain", "node").alias(f"g{x}"))
-        beaten = step.select("block", "u", "v").join(rank(u), ["block", "u"]).join(rank(v), ["block", "v"]).select("block", F.when(F.col("gu") < F.col("gv"), F.col("u")).otherwise(F.col("v")).alias("node"))
-        turn = per.join(beaten, ["block", "node"], "left_anti").select("block", "node", F.lit(1).alias("turn"))
-        at = materialize(at.join(turn, ["block", "node"], "left").select("block", "node", F.col("orien").bitwiseXOR(F.coalesce("turn", F.lit(0))).alias("orien")), "solve-turned")
-    met = edges.join(name(u), ["block", "u"]).join(name(v), ["block", "v"])
-    return met.select("u", "v", _best_state(F.col("su") == F.col("sv")).cast("int").alias("state"))
+            return at
+        rank = lambda x: per.select(F.col("node").alias(x), F.struct("gain", F.xxhash64("node"), "node").alias(f"g{x}"))  # noqa: B023, E731
+        beaten = step.select("u", "v").join(rank("u"), "u").join(rank("v"), "v").select(F.when(F.col("gu") < F.col("gv"), F.col("u")).otherwise(F.col("v")).alias("node"))
+        turn = per.join(beaten, "node", "left_anti").select("node", F.lit(1).alias("turn"))
+        at = materialize(at.join(turn, "node", "left").select("node", F.col("orien").bitwiseXOR(F.coalesce("turn", F.lit(0))).alias("orien")), "solve-turned")
 
 
 def break_circles(full: DataFrame, tris: DataFrame) -> DataFrame:
-    """Solved bundles (u, v, w0..w3, state, orien_a, orien_b, status) without circles of three among the heuristic ones.
+    """Solved bundles (u, v, w0..w3, state, orien_a, orien_b, status, kept) without circles of three among the heuristic ones.
 
-    First, of each circle, the bundle that loses least by it turns, once each.
+    First, of each circle, the bundle that loses least by it turns, once each,
+    but for those that are ``kept``.
     What circles are left lie in clusters of triangles that share bundles; each
     such cluster takes its directions from one order of its contigs, the best of
     three, and an order has no circles.
     """
-    full = materialize(full.withColumn("turned", F.lit(False)), "solve-full")
+    full = materialize(full.withColumn("turned", F.col("kept")), "solve-full")
     tris = materialize(tris.join(full.where("status = 'heuristic'").select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_semi").select("a", "b", "c"), "solve-open-triangles")
     way = lambda: full.select("u", "v", "turned", X.direction("state", "orien_a", "orien_b").alias("way"), (_weight(F.col("state")) - _weight(3 - F.col("state"))).alias("loss"))
     while True:
@@ -146,7 +151,7 @@ def break_circles(full: DataFrame, tris: DataFrame) -> DataFrame:
     if left.isEmpty():
         return full.drop("turned")
 
-    number = materialize(_triangle_edges(tris).withColumn("e", F.monotonically_increasing_id()), "solve-sides")
+    number = materialize(triangle_edges(tris).withColumn("e", F.monotonically_increasing_id()), "solve-sides")
     side = lambda x, y: number.select(F.col("u").alias(x), F.col("v").alias(y), F.col("e").alias(x + y))
     of = materialize(tris.join(side("a", "b"), ["a", "b"]).join(side("b", "c"), ["b", "c"]).join(side("a", "c"), ["a", "c"]), "solve-cluster-triangles")
     parts = G.connected_components(of.select(F.col("ab").alias("u"), F.col("bc").alias("v")).union(of.select("ab", "ac")), "solve-clusters")
@@ -166,83 +171,184 @@ def break_circles(full: DataFrame, tris: DataFrame) -> DataFrame:
     return materialize(full.join(fixed, ["u", "v"], "left").withColumn("state", F.coalesce("set", "state").cast("int")).select(full.columns), "solve-full").drop("turned")
 
 
-#: Weight that no sum of bundle weights makes up for.
-_NEVER = -1e15
-
-
-def force(edges: DataFrame, orientations: DataFrame | None, directions: DataFrame | None) -> DataFrame:
-    """Bundles (u, v, w0..w3) under which only forced states have a weight.
+def _fixed(edges: DataFrame, orientations: DataFrame | None, directions: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(var, bit) of the contigs and bundles whose value is given, and the bundles (u, v, bit) among them.
 
-    ``orientations`` (node, orien): contigs of one component that have one are
-    tied in a chain by bundles without weight that allow their parity only, so
-    that they fall into one block.  ``directions`` (idxa, idxb, patha, pathb): a
-    pair whose ends are both oriented takes the one state that runs that way;
-    the pair may stand in either order.
+    ``orientations`` (node, orien); ``directions`` (idxa, idxb, patha, pathb), in
+    which a pair may stand in either order and counts if it has one direction
+    and both its contigs have an orientation.
     """
+    pairs = edges.select("u", "v", F.lit(0).alias("bit")).limit(0)
     if orientations is None:
-        return edges
-    known = orientations.select("node", F.col("orien").cast("int").alias("orien")).where("orien is not null")
-    found = G.connected_components(edges.select("u", "v"), "force-components")
-    before = Window.partitionBy("root").orderBy("node")
-    chain = known.join(found, "node").withColumns({"u": F.lag("node").over(before), "s": F.lag("orien").over(before)}).where("u is not null")
-    odd = F.col("s") != F.col("orien")
-    allowed = lambda parity: F.when(odd == parity, 0.0).otherwise(_NEVER)
-    ties = chain.select("u", F.col("node").alias("v"), *(allowed(i in (1, 2)).alias(f"t{i}") for i in range(4)))
-    if directions is None:
-        fixed = edges.select("u", "v").limit(0).withColumn("only", F.lit(None).cast("int"))
-    else:
+        return pairs.select(_direction("u", "v").alias("var"), "bit"), pairs
+    known = orientations.where("orien is not null").groupBy("node").agg(F.max("orien").cast("int").alias("bit"))
+    if directions is not None:
         turned = F.col("idxa") > F.col("idxb")
-        ahead = F.when(turned, F.col("pathb")).otherwise(F.col("patha"))
-        pairs = directions.where("patha + pathb = 1").select(F.least("idxa", "idxb").alias("u"), F.greatest("idxa", "idxb").alias("v"), ahead.alias("ahead"))
-        a, b = (known.select(F.col("node").alias(x), F.col("orien").alias(f"o{x}")) for x in "uv")
-        state = 2 * F.col("ou") + F.col("ov")
-        fixed = pairs.join(a, "u").join(b, "v").groupBy("u", "v").agg(F.max(F.when(F.col("ahead") == 1, state).otherwise(3 - state)).alias("only"))
-    met = edges.join(ties, ["u", "v"], "full_outer").join(fixed, ["u", "v"], "left")
-    weights = [(F.coalesce(f"w{i}", F.lit(0.0)) + F.coalesce(f"t{i}", F.lit(0.0)) + F.when(F.col("only") != i, _NEVER).otherwise(0.0)).alias(f"w{i}") for i in range(4)]
-    return met.select("u", "v", *weights)
-
-
-def solve(bundles: DataFrame, max_bits: int = 12, orientations: DataFrame | None = None, directions: DataFrame | None = None) -> DataFrame:
-    """One row per bundle: u, v, w0..w3, block, orien_a, orien_b, state, X, Y, weight, status, most, held.
-
-    X is 1 for u to v, Y for v to u.  Blocks that need at most ``max_bits`` bits
-    are exact.  In larger ones (status heuristic), orientations start from the
-    heavier parity along a spanning tree and contigs turn while that adds weight
-    (:func:`improve`); every bundle takes its heavier state, and circles of
-    three are broken (:func:`break_circles`), so that no solution breaks a
+        behind = F.when(turned, F.col("patha")).otherwise(F.col("pathb")).cast("int")
+        pairs = directions.where("patha + pathb = 1").groupBy(F.least("idxa", "idxb").alias("u"), F.greatest("idxa", "idxb").alias("v")).agg(F.max(behind).alias("bit"))
+        for end in "uv":
+            pairs = pairs.join(known.select(F.col("node").alias(end)), end, "left_semi")
+        pairs = pairs.join(edges.select("u", "v"), ["u", "v"], "left_semi").select("u", "v", "bit")
+    of_pairs = pairs.select(_direction("u", "v").alias("var"), "bit")
+    return of_pairs.union(known.select(_orientation("node").alias("var"), "bit")), pairs
+
+
+def _start(edges: DataFrame, tris: DataFrame, fixed: DataFrame, core: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(var, bit) of the ``core``, from a good solution of the components that have some of it, and these bundles (u, v)."""
+    members = G.connected_components(edges.select("u", "v"), "solve-components")
+    touched = members.select("node", _orientation("node").alias("var")).union(edges.select("u", _direction("u", "v"))).join(core, "var", "left_semi")
+    roots = members.join(touched.select("node").distinct(), "node").select("root").distinct()
+    inside = members.join(roots, "root", "left_semi").select(F.col("node").alias("u"))
+    hard = materialize(edges.join(inside, "u", "left_semi"), "solve-hard")
+    given = fixed.where("var like 'o:%'")
+    turned = orient(hard, G.rooted_forest(hard.select("u", "v"))).withColumn("var", _orientation("node")).join(given, "var", "left")
+    pinned = turned.where("bit is not null").select("node")
+    orien = improve(hard, turned.select("node", F.coalesce("bit", "orien").alias("orien")), pinned)
+    u, v = (orien.select(F.col("node").alias(x), F.col("orien").alias(f"orien_{y}")) for x, y in (("u", "a"), ("v", "b")))
+    state = _best_state(F.col("orien_a") == F.col("orien_b"))
+    told = fixed.where("var like 'd:%'").select("var", F.col("bit").alias("told"))
+    ahead = 2 * F.col("orien_a") + F.col("orien_b")
+    full = hard.join(u, "u").join(v, "v").withColumn("var", _direction("u", "v")).join(told, "var", "left")
+    full = full.withColumns({"state": F.when(F.col("told") == 0, ahead).when(F.col("told") == 1, 3 - ahead).otherwise(state), "kept": F.col("told").isNotNull(), "status": F.lit("heuristic")})
+    full = break_circles(full.drop("told"), tris)
+    ways = full.select("var", F.when(X.direction("state", "orien_a", "orien_b") == 1, 0).otherwise(1).alias("bit"))
+    values = ways.union(orien.select(_orientation("node").alias("var"), F.col("orien").alias("bit")))
+    return core.join(values, "var").select("var", "bit"), hard.select("u", "v")
+
+
+def solve(bundles: DataFrame, max_width: int = 14, orientations: DataFrame | None = None, directions: DataFrame | None = None) -> DataFrame:
+    """One row per bundle: u, v, w0..w3, orien_a, orien_b, state, X, Y, weight, status, most, held.
+
+    X is 1 for u to v, Y for v to u.  Components are solved exactly, of whatever
+    size, as long as elimination never has to look at more than ``max_width``
+    variables besides the one that it takes (:func:`.elimination.eliminate`);
+    trees need 1, and cut contigs part what hangs on them.  What is left of wider
+    components, their core, takes its values from a search: orientations start
+    from the heavier parity along a spanning tree, contigs turn while that adds
+    weight (:func:`improve`), and circles of three are broken
+    (:func:`break_circles`); all the rest is then best for this core.  The
+    bundles of such a component have the status heuristic.  No solution breaks a
     constraint.  ``most`` is the bundle's greatest weight under any state; the
     sum of it bounds the optimum from above.
 
     ``orientations`` (node, orien) and ``directions`` (idxa, idxb, patha, pathb)
-    of an earlier solution are kept (see :func:`force`); ``held`` is false where
-    a heuristic block could not.
+    of an earlier solution are kept: their variables are set before anything is
+    eliminated.  ``held`` is false where directions that run in a circle, or
+    meet others in a core, could not be kept.
     """
     edges = materialize(canonical_bundles(bundles), "solve-edges")
-    ruled = edges if orientations is None else materialize(force(edges, orientations, directions), "solve-forced")
-    tree = G.rooted_forest(ruled.select("u", "v"))
-    named = materialize(ruled.join(G.blocks(ruled.select("u", "v"), tree), ["u", "v"]), "solve-blocks")
     tris = materialize(triangles(edges.select(F.col("u").alias("ctg_a_idx"), F.col("v").alias("ctg_b_idx"))), "solve-triangles")
-    states = materialize(enumerate_blocks(named, tris, max_bits), "solve-states")
-    large = materialize(named.join(states, ["u", "v"], "left_anti"), "solve-large")
-    better = improve(large, orient(ruled, states, tree)) if not large.isEmpty() else states.limit(0)
-    every = materialize(states.withColumn("status", F.lit("exact")).union(better.withColumn("status", F.lit("heuristic"))), "solve-every")
-    orien = orient(ruled, every.select("u", "v", "state"), tree)
-    if orientations is not None:
-        # All forced contigs of a component agree by now, or are turned together so that the first one does.
-        first = orien.join(orientations.select("node", F.col("orien").alias("want")), "node").groupBy("root").agg(F.min_by(F.col("orien").bitwiseXOR(F.col("want").cast("int")), "node").alias("turn"))
-        orien = orien.join(first, "root", "left").select("node", F.col("orien").bitwiseXOR(F.coalesce("turn", F.lit(0))).alias("orien"))
-    orien = materialize(orien.select("node", "orien"), "solve-orient")
-    u, v = (orien.select(F.col("node").alias(x), F.col("orien").alias(f"orien_{y}")) for x, y in (("u", "a"), ("v", "b")))
-    full = named.join(every, ["u", "v"]).join(u, "u").join(v, "v")
-    # Ties of forced contigs may be broken in heuristic blocks; a bundle's state always fits its ends.
-    fits = F.col("state").isin(1, 2) == (F.col("orien_a") != F.col("orien_b"))
-    full = full.withColumn("state", F.when(fits, F.col("state")).otherwise(_best_state(F.col("orien_a") == F.col("orien_b"))))
-    full = break_circles(full, tris)
+    fixed, pairs = _fixed(edges, orientations, directions)
+    forced = orientations is not None
+    if forced:
+        fixed = materialize(fixed, "solve-fixed")
+    named = materialize(_free(edges, triangle_edges(tris).union(pairs.select("u", "v"))), "solve-named")
+    problem = tables(named, tris)
+    found = E.eliminate(E.condition(problem, fixed) if forced else problem, max_width)
+    hard = named.select("u", "v").limit(0)
+    if found.core.isEmpty():
+        values = found.assign()
+    else:
+        start, hard = _start(named.drop("free"), tris, fixed, found.core)
+        values = found.assign(materialize(start, "solve-core"))
+    if forced:
+        values = values.join(fixed, "var", "left_anti").union(fixed.select("var", F.col("bit").cast("long")))
+    values = materialize(values.select("var", F.col("bit").cast("int").alias("bit")), "solve-values")
+    bit = lambda name: values.select(F.col("var").alias(name), F.col("bit").alias(f"is_{name}"))
+    full = named.withColumns({"ou": _orientation("u"), "ov": _orientation("v"), "duv": _direction("u", "v")})
+    full = full.join(bit("ou"), "ou").join(bit("ov"), "ov").join(bit("duv"), "duv", "left")
+    ahead = 2 * F.col("is_ou") + F.col("is_ov")
+    state = F.when(F.col("is_duv") == 0, ahead).when(F.col("is_duv") == 1, 3 - ahead).otherwise(_best_state(F.col("is_ou") == F.col("is_ov")))
+    full = full.join(hard.withColumn("status", F.lit("heuristic")), ["u", "v"], "left").join(pairs.withColumnRenamed("bit", "want"), ["u", "v"], "left")
+    full = full.select(
+        "u", "v", "w0", "w1", "w2", "w3", F.col("is_ou").alias("orien_a"), F.col("is_ov").alias("orien_b"), state.cast("int").alias("state"),
+        F.coalesce("status", F.lit("exact")).alias("status"), F.col("want").isNotNull().alias("kept"), "want",
+    )
+    if forced and directions is not None:
+        # Given directions may run in a circle by themselves, or with the core.
+        full = break_circles(full, tris)
     way = X.direction("state", "orien_a", "orien_b")
-    out = full.withColumn("held", _weight(F.col("state")) > _NEVER / 2).drop("w0", "w1", "w2", "w3").join(edges, ["u", "v"])
-    return out.select(
-        "u", "v", "w0", "w1", "w2", "w3", "block", "orien_a", "orien_b", "state", F.when(way == 1, 1).otherwise(0).alias("X"), F.when(way == -1, 1).otherwise(0).alias("Y"),
-        _weight(F.col("state")).alias("weight"), "status", F.greatest("w0", "w1", "w2", "w3").alias("most"), "held",
+    return full.select(
+        "u", "v", "w0", "w1", "w2", "w3", "orien_a", "orien_b", "state", F.when(way == 1, 1).otherwise(0).alias("X"), F.when(way == -1, 1).otherwise(0).alias("Y"),
+        _weight(F.col("state")).alias("weight"), "status", F.greatest("w0", "w1", "w2", "w3").alias("most"), F.coalesce((way == 1) == (F.col("want") == 0), F.lit(True)).alias("held"),
+    )
+
+
+def _used(u: str, v: str) -> F.Column:
+    """The variable of whether a bundle is used."""
+    return F.concat(F.lit("x:"), F.col(u).cast("string"), F.lit("-"), F.col(v).cast("string"))
+
+
+def _taken(way: str, rank: str) -> F.Column:
+    """The variable of whether a contig's end is taken by the bundles up to the one of this rank."""
+    return F.concat(F.lit(f"taken-{way}:"), F.col(rank).cast("string"))
+
+
+def path_tables(edges: DataFrame, tris: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The program whose solutions are paths, over ``edges`` (u, v, w0..w3), as factors; and (var, node) of its variables.
+
+    A bundle is unused or has a direction.  The bundles of a contig stand in a
+    row, each with a state of the contig after it: whether its way in and its way
+    out are taken; neither is taken twice.  So a contig with many bundles is a
+    chain of small tables.  No three used bundles run around.
+    """
+    name = F.concat(F.lit("e:"), F.col("u").cast("string"), F.lit("-"), F.col("v").cast("string"))
+    own = F.array(_pair(_orientation("u"), "su"), _pair(_orientation("v"), "sv"), _pair(_used("u", "v"), "x"), _pair(_direction("u", "v"), "d"))
+    ahead = 2 * F.col("su") + F.col("sv")
+    worth = F.when(F.col("x") == 1, _weight(F.when(F.col("d") == 0, ahead).otherwise(3 - ahead))).otherwise(0.0)
+    out = _explode_bits(edges, "su", "sv", "x", "d").where("x = 1 or d = 0").select(*E.factor(name, own, worth))
+    ends = edges.select("u", "v", F.inline(F.array(*(F.struct(F.col(n).alias("node"), F.lit(n == "v").alias("second")) for n in "uv"))))
+    ranked = materialize(with_rank(ends, ["node", "u", "v"]), "solve-ends")
+    before = ranked.select("node", (F.col("rank") + 1).alias("rank"), F.col("rank").alias("previous"))
+    chain = ranked.join(before, ["node", "rank"], "left")
+    tried = _explode_bits(chain, "x", "d", "i0", "o0").where("(x = 1 or d = 0) and (previous is not null or (i0 = 0 and o0 = 0))")
+    into = F.when(F.col("second"), F.col("x") * (1 - F.col("d"))).otherwise(F.col("x") * F.col("d"))
+    tried = tried.withColumn("enters", into).withColumn("leaves", F.col("x") - F.col("enters")).where("enters + i0 <= 1 and leaves + o0 <= 1")
+    tried = tried.withColumns({"i1": F.col("enters") + F.col("i0"), "o1": F.col("leaves") + F.col("o0")})
+    here = F.array(_pair(_used("u", "v"), "x"), _pair(_direction("u", "v"), "d"), _pair(_taken("i", "rank"), "i1"), _pair(_taken("o", "rank"), "o1"))
+    earlier = F.array(_pair(_taken("i", "previous"), "i0"), _pair(_taken("o", "previous"), "o0"))
+    scope = F.when(F.col("previous").isNull(), here).otherwise(F.concat(here, earlier))
+    out = out.unionByName(tried.select(*E.factor(F.concat(F.lit("c:"), F.col("rank").cast("string")), scope, F.lit(0.0))))
+    sides = ("ab", "bc", "ac")
+    around = _explode_bits(tris.select("a", "b", "c"), *sides, *(f"x{s}" for s in sides))
+    around = around.where(" and ".join(f"(x{s} = 1 or {s} = 0)" for s in sides)).where("xab + xbc + xac < 3 or ab <> bc or ab = ac")
+    three = F.array(*(p for s in sides for p in (_pair(_direction(*s), s), _pair(_used(*s), f"x{s}"))))
+    out = out.unionByName(around.select(*E.factor(F.concat_ws("-", F.lit("t:"), "a", "b", "c"), three, F.lit(0.0))))
+    names = ranked.select("node", F.explode(F.array(_orientation("node"), _used("u", "v"), _direction("u", "v"), _taken("i", "rank"), _taken("o", "rank"))).alias("var"))
+    return out, names.select("var", "node").distinct()
+
+
+def solve_paths(bundles: DataFrame, max_width: int = 14) -> DataFrame:
+    """One row per bundle, as :func:`solve` gives it, where bundles may stay unused and no contig has more than one in or out.
+
+    ``state`` is null, and X, Y and ``weight`` are 0, for an unused bundle.
+    Exact as far as :func:`solve` is; in components with a core, what belongs to
+    the core stays unused, and all the rest is best for that.
+    """
+    edges = materialize(canonical_bundles(bundles), "solve-edges")
+    tris = materialize(triangles(edges.select(F.col("u").alias("ctg_a_idx"), F.col("v").alias("ctg_b_idx"))), "solve-triangles")
+    problem, names = path_tables(edges, tris)
+    found = E.eliminate(problem, max_width)
+    hard = edges.select("u").limit(0)
+    if found.core.isEmpty():
+        values = found.assign()
+    else:
+        core = materialize(found.core, "solve-core")
+        values = found.assign(core.withColumn("bit", F.lit(0)))
+        members = G.connected_components(edges.select("u", "v"), "solve-components")
+        roots = members.join(names.join(core, "var").select("node").distinct(), "node").select("root").distinct()
+        hard = members.join(roots, "root", "left_semi").select(F.col("node").alias("u"))
+    values = materialize(values.select("var", F.col("bit").cast("int").alias("bit")), "solve-values")
+    full = edges.withColumns({"ou": _orientation("u"), "ov": _orientation("v"), "xuv": _used("u", "v"), "duv": _direction("u", "v")})
+    for name in ("ou", "ov", "xuv", "duv"):
+        full = full.join(values.select(F.col("var").alias(name), F.col("bit").alias(f"is_{name}")), name)
+    full = full.join(hard.distinct().withColumn("status", F.lit("heuristic")), "u", "left")
+    ahead = 2 * F.col("is_ou") + F.col("is_ov")
+    state = F.when(F.col("is_xuv") == 1, F.when(F.col("is_duv") == 0, ahead).otherwise(3 - ahead))
+    weight = F.when(F.col("is_xuv") == 1, _weight(state)).otherwise(0.0)
+    return full.select(
+        "u", "v", "w0", "w1", "w2", "w3", F.col("is_ou").alias("orien_a"), F.col("is_ov").alias("orien_b"), state.cast("int").alias("state"),
+        (F.col("is_xuv") * (1 - F.col("is_duv"))).alias("X"), (F.col("is_xuv") * F.col("is_duv")).alias("Y"), weight.alias("weight"), F.coalesce("status", F.lit("exact")).alias("status"),
     )
 
 
@@ -268,6 +374,12 @@ def violations(solution: DataFrame, tris: DataFrame) -> DataFrame:
     return out
 
 
+def directed_ways(solution: DataFrame) -> DataFrame:
+    """(src, dst) of solved bundles with a direction."""
+    forward = F.col("X") == 1
+    return solution.where("X + Y > 0").select(F.when(forward, F.col("u")).otherwise(F.col("v")).alias("src"), F.when(forward, F.col("v")).otherwise(F.col("u")).alias("dst"))
+
+
 def directed_edges(solution: DataFrame) -> DataFrame:
     """(src, dst, weight) of solved bundles; without weight 0, then cut to a whole number."""
     forward = F.col("X") == 1

@@ -70,7 +70,7 @@ def views(part: str, lineitem: str) -> dict[str, str]:
     """SQL of each view over two named tables; bundles3 and bundles2 have at least 3 and 2 links.
 
     ``regions`` and ``dense`` are bundles of 3 links between 64 and 40 contigs a region; ``solved`` and
-    ``region_solved`` are solutions by rule of bundles2 and regions.
+    ``region_solved`` are solutions by rule of bundles2 and regions; ``dense_solved`` one of dense.
     """
     links = LINKS.format(lineitem=lineitem)
     region_links, dense_links = (REGION_LINKS.format(links=links, contigs=n) for n in (64, 40))
@@ -78,6 +78,7 @@ def views(part: str, lineitem: str) -> dict[str, str]:
     return {
         "region_links": region_links, "regions": regions, "dense": BUNDLES.format(links=dense_links, least=3),
         "solved": SOLVED.format(bundles=bundles2), "region_solved": SOLVED.format(bundles=regions),
+        "dense_solved": SOLVED.format(bundles=BUNDLES.format(links=dense_links, least=3)),
         "contigs": CONTIGS.format(part=part), "links": links,
         "bundles3": BUNDLES.format(links=links, least=3), "bundles2": BUNDLES.format(links=links, least=2),
         "path_ref": PATHS.format(lineitem=lineitem, **_TRUE), "path_test": PATHS.format(lineitem=lineitem, **_TEST),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import more_oracles
+from . import exact_queries, more_oracles
 from .fixtures import views
 
 #: Named subqueries that the statements build on, besides the views.
@@ -110,7 +110,7 @@ SQL = {
 
 def oracle_sql() -> dict[str, str]:
     """Whole statements: each with the subqueries that it needs, in order."""
-    known = views("part", "lineitem") | PARTS | more_oracles.PARTS
+    known = views("part", "lineitem") | PARTS | more_oracles.PARTS | exact_queries.PARTS
 
     def needed(sql: str, found: dict[str, None], inside: tuple[str, ...] = ()) -> None:
         for name in re.findall(r"\w+", sql):
@@ -119,7 +119,7 @@ def oracle_sql() -> dict[str, str]:
                 found[name] = None
 
     out = {}
-    for query, sql in (SQL | more_oracles.SQL).items():
+    for query, sql in (SQL | more_oracles.SQL | exact_queries.SQL).items():
         found: dict[str, None] = {}
         needed(sql, found)
         kind = {name: "" if re.search(rf"FROM {name}\b", known[name]) else "MATERIALIZED " for name in found}

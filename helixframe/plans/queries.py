@@ -14,7 +14,7 @@ from ..operators import paths as H
 from ..operators import scaffolds as S
 from ..operators import scores as C
 from ..operators import solve as P
-from . import format_queries, region_queries, solution_queries
+from . import exact_queries, format_queries, region_queries, solution_queries
 from .fixtures import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -310,7 +310,7 @@ def solve_objective(spark, sf_dir):
 @_query
 def solution(spark, sf_dir):
     """Orientation, state and direction of every bundle."""
-    return P.solve(view(spark, sf_dir, "bundles3")).select("u", "v", "block", "orien_a", "orien_b", "state", "X", "Y", "weight", "status")
+    return P.solve(view(spark, sf_dir, "bundles3")).select("u", "v", "orien_a", "orien_b", "state", "X", "Y", "weight", "status")
 
 
 @_query
@@ -353,5 +353,5 @@ def agp_out(spark, sf_dir):
     )
 
 
-for _more in (format_queries, solution_queries, region_queries):
+for _more in (format_queries, solution_queries, region_queries, exact_queries):
     QUERIES |= _more.QUERIES

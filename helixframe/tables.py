@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -32,3 +33,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_count(df: DataFrame, label: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """As :func:`materialize`, with the number of rows, or another aggregate, found as they are written."""
+    seen = Observation()
+    kept = materialize(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")), label)
+    return kept, seen.get["n"]
