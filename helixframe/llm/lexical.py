@@ -18,12 +18,14 @@ from ..tables import materialize
 
 #: Fixed value.  Characters outside ASCII, digits and letters.
 TERM = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
-_INDEX = "doc_id bigint, n bigint, sketch binary, terms array<string>, counts array<bigint>"
+_INDEX = "doc_id bigint, n bigint, places binary, maxima binary, terms array<string>, counts array<int>"
 _HITS = "item_id bigint, doc_id bigint, score bigint"
 #: A coordinate that has reached this stands for any number of occurrences.
 _FULL = 255
 #: Impacts stay below this.
 _LIMIT = 1_000_000
+#: Documents in a batch that leaves a task, so that few are held as Python objects.
+_BATCH = 256
 
 
 def terms_of(text: str) -> list[str]:
@@ -35,17 +37,19 @@ def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (1_000_000_000 * tf) // (1000 * tf + 8 * m)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 512) -> DataFrame:
-    """(doc_id, n, sketch, terms, counts): every document that has a term.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4096) -> DataFrame:
+    """(doc_id, n, places, maxima, terms, counts): every document that has a term.
 
     ``n`` counts its terms, ``counts`` each different one.  Term hashes share
-    ``width`` coordinates; each holds the greatest count of the terms that fall
-    on it, one byte, of which 255 means that many or more.  For one document the
+    ``width`` coordinates, at most 65,536; each holds the greatest count of the
+    terms that fall on it, one byte, of which 255 means that many or more.
+    ``places`` and ``maxima`` are the coordinates other than 0 of this sketch.  For one document the
     impact of a term grows with its count, so the coordinate bounds the impact of
     every such term, whatever the collection around the document.  A text is
     read whole in one task.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()))
+    schema = pa.schema([(c.split()[0], t) for c, t in zip(_INDEX.split(", "), kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,7 +61,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 sketch = np.zeros(width, np.uint8)
                 np.maximum.at(sketch, places, np.minimum(counts, _FULL).astype(np.uint8))
                 if found:
-                    rows.append((doc_id.as_py(), int(counts.sum()), sketch.tobytes(), list(found), counts))
+                    used = np.flatnonzero(sketch)
+                    rows.append((doc_id.as_py(), int(counts.sum()), used.astype("<u2").tobytes(), sketch[used].tobytes(), list(found), counts.astype(np.int32)))
+                if len(rows) == _BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
@@ -85,12 +93,17 @@ class Block:
     def __init__(self, rows: list[tuple[int | None, str, int]], width: int, k: int):
         self.items = sorted({r[0] for r in rows}, key=lambda i: (i is None, i))
         place = {item: at for at, item in enumerate(self.items)}
-        self.weights: list[dict[str, int]] = [{} for _ in self.items]
+        terms = dict.fromkeys(r[1] for r in rows)
+        self.vocabulary = pa.array(list(terms), pa.string())
+        numbers = dict(zip(terms, range(len(terms))))
+        own: list[list[tuple[int, int]]] = [[] for _ in self.items]
         #: Summed over the terms of an item that share a coordinate.
         self.matrix = np.zeros((width, len(self.items)))
         for item, term, weight in rows:
-            self.weights[place[item]][term] = weight
+            own[place[item]].append((numbers[term], weight))
             self.matrix[crc32(term.encode()) % width, place[item]] += weight
+        self.terms = [np.array([t for t, _ in x]) for x in own]
+        self.weights = [np.array([w for _, w in x], np.int64) for x in own]
         self.width, self.k = width, k
         #: Of each item, (score, order of the id backwards, id), the worst first.
         self.best: list[list[tuple]] = [[] for _ in self.items]
@@ -103,26 +116,41 @@ class Block:
     def _scan(self, batch: pa.RecordBatch, n_docs: int, all_terms: int) -> None:
         ids, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         m = np.array([10 + 90 * n * n_docs // all_terms for n in lengths], np.int64)
-        sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, self.width)
-        folded = np.where(sketches == _FULL, _LIMIT, impact(sketches.astype(np.int64), m[:, None]))
+        places, maxima = (batch.column(c).to_pylist() for c in (2, 3))
+        owner = np.repeat(np.arange(batch.num_rows), list(map(len, maxima)))
+        held = np.frombuffer(b"".join(maxima), np.uint8).astype(np.int64)
+        folded = np.zeros((batch.num_rows, self.width))
+        folded[owner, np.frombuffer(b"".join(places), "<u2")] = np.where(held == _FULL, _LIMIT, impact(held, m[owner]))
         # Sums stay far below 2**53 for items of up to 300,000 terms; the factor covers larger ones.
-        bounds = np.ceil((folded @ self.matrix) * (1 + 1e-9)).astype(np.int64)
-        starts, terms, counts = batch.column(3).offsets.to_numpy(), batch.column(3).values, batch.column(4).values.to_numpy()
-        held: dict[int, dict[str, int]] = {}
-        for q, weights in enumerate(self.weights):
-            likely = np.flatnonzero(bounds[:, q] >= max(1, self.floors[q]))
-            for d in likely[np.argsort(-bounds[likely, q], kind="stable")].tolist():
-                if bounds[d, q] < self.floors[q]:
-                    break
-                if d not in held:
-                    a, b = starts[d], starts[d + 1]
-                    held[d] = dict(zip(terms.slice(a, b - a).to_pylist(), counts[a:b].tolist()))
-                self._offer(q, weights, held[d], int(m[d]), ids[d])
-
-    def _offer(self, q: int, weights: dict[str, int], counts: dict[str, int], m: int, doc_id: int | None) -> None:
-        score = sum(w * ((1_000_000_000 * tf) // (1000 * tf + 8 * m)) for t, w in weights.items() if (tf := counts.get(t)))
-        if not score:
-            return
+        bounds = np.ceil((folded @ self.matrix) * (1 + 1e-9)).astype(np.int64).T.copy()
+        impacts = None
+        for q in np.flatnonzero(bounds.max(1) >= np.maximum(self.floors, 1)).tolist():
+            likely = np.flatnonzero(bounds[q] >= max(1, self.floors[q]))
+            likely = likely[np.argsort(-bounds[q, likely], kind="stable")]
+            if impacts is None:
+                impacts = self._impacts(batch, m)
+            done, step = 0, self.k
+            while done < len(likely) and bounds[q, likely[done]] >= self.floors[q]:
+                some = likely[done : done + step]
+                scores = impacts[np.ix_(some, self.terms[q])] @ self.weights[q]
+                for d, score in zip(some.tolist(), scores.tolist()):
+                    if score >= max(1, self.floors[q]):
+                        self._offer(q, score, ids[d])
+                done, step = done + step, 2 * step
+
+    def _impacts(self, batch: pa.RecordBatch, m: np.ndarray) -> np.ndarray:
+        """Exactly what every term of the items adds to the score of every document of the batch, before its weight."""
+        lists = batch.column(4)
+        offsets = lists.offsets.to_numpy()
+        number = pc.index_in(lists.flatten(), value_set=self.vocabulary)
+        known = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[known]
+        counts = batch.column(5).flatten().cast(pa.int64()).to_numpy()[known]
+        out = np.zeros((batch.num_rows, len(self.vocabulary)), np.int64)
+        out[owner, number.drop_null().to_numpy()] = impact(counts, m[owner])
+        return out
+
+    def _offer(self, q: int, score: int, doc_id: int | None) -> None:
         hit = (score, doc_id is not None, -(doc_id or 0), doc_id)
         best = self.best[q]
         if len(best) < self.k:
@@ -138,7 +166,7 @@ class Block:
                 yield item, doc_id, score
 
 
-def search(index: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_id", text_col: str = "text", width: int = 512, block_items: int = 256, block_rows: int = 1024) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, k: int = 10, id_col: str = "item_id", text_col: str = "text", width: int = 4096, block_items: int = 256, block_rows: int = 256) -> DataFrame:
     """The ``k`` documents of highest score above 0 for every item: item_id, rank, doc_id, score.
 
     A term weighs ``floor(1000 * ln((2N + 2) / (2df + 1)))``, of N documents with
