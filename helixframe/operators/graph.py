@@ -353,6 +353,58 @@ def block_cut_nodes(edge_blocks: DataFrame) -> DataFrame:
     return cuts.union(joined.select(F.lit("B"), "id", "degree"))
 
 
+def block_cut_orders(edge_blocks: DataFrame) -> DataFrame:
+    """(kind, name, root, pre, post): the nodes of the block-cut tree, blocks (B) and cuts (C), with their ranks in preorder and postorder.
+
+    The tree of each component starts at its smallest block (``root``); children
+    are visited in ascending order, blocks before cuts.  ``edge_blocks`` names
+    blocks by text (:func:`.decompose.named_blocks`).
+    """
+    typed = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c).cast("string"))
+    twigs = materialize(block_cut_tree(edge_blocks).select(typed("B", "block").alias("u"), typed("C", "cut").alias("v")), "block-cut-edges")
+    # Blocks come before cuts as texts, so the smallest node of a tree is its smallest block.
+    roots = connected_components(twigs, "block-cut-trees").where("node = root")
+    rooted = euler_tour(twigs, roots).where("parent is not null").select(F.col("parent").alias("u"), F.col("node").alias("v"))
+    tour = euler_tour(rooted, roots, rooted=True)
+    lone = edge_blocks.select(typed("B", "block").alias("node")).distinct().join(tour, "node", "left_anti")
+    joined = tour.join(tree_depth(tour), "node")
+    pre, post = ((F.col("first") + F.col("depth")) / 2).cast("long"), ((F.col("last") - F.col("depth")) / 2).cast("long")
+    out = joined.select("node", "root", pre.alias("pre"), post.alias("post")).union(lone.select("node", F.col("node").alias("root"), F.lit(0).cast("long"), F.lit(0).cast("long")))
+    return out.select(F.substring("node", 1, 1).alias("kind"), F.substr("node", F.lit(3)).alias("name"), F.substr("root", F.lit(3)).alias("root"), "pre", "post")
+
+
+def separation_pairs(edge_blocks: DataFrame, max_work: int = 1_000_000) -> DataFrame:
+    """(block, a, b), a < b: pairs of nodes of a block without which it falls apart.
+
+    Every block is looked at once without each of its nodes, as a graph of its
+    own; the articulation points of all these graphs, found in one pass
+    (:func:`blocks`), are the other halves of pairs.  That copies a block's m
+    edges for each of its n nodes, so blocks with n * m above ``max_work`` are
+    left to :func:`large_blocks`.
+    """
+    sizes = _block_work(edge_blocks).where((F.col("n") > 3) & (F.col("n") * F.col("m") <= max_work)).select("block")
+    inside = materialize(edge_blocks.join(sizes, "block", "left_semi"), "pair-blocks")
+    gone = block_members(inside).select("block", F.col("node").alias("gone"))
+    text = lambda c: F.col(c).cast("string")
+    key = lambda c: F.concat_ws("/", text("block"), text("gone"), text(c))
+    copies = inside.join(gone, "block").where("u <> gone and v <> gone").select("block", "gone", "u", "v", key("u").alias("ku"), key("v").alias("kv"))
+    copies = materialize(copies, "pair-copies")
+    cuts = articulation_points(blocks(copies.select(F.col("ku").alias("u"), F.col("kv").alias("v")))).withColumnRenamed("node", "key")
+    names = copies.select("block", "gone", F.inline(F.array(*(F.struct(F.col(f"k{x}").alias("key"), F.col(x).alias("node")) for x in "uv"))))
+    found = names.join(cuts, "key").select("block", F.least("gone", "node").alias("a"), F.greatest("gone", "node").alias("b"))
+    return found.distinct()
+
+
+def _block_work(edge_blocks: DataFrame) -> DataFrame:
+    nodes = block_members(edge_blocks).groupBy("block").agg(F.count("*").alias("n"))
+    return edge_blocks.groupBy("block").agg(F.count("*").alias("m")).join(nodes, "block")
+
+
+def large_blocks(edge_blocks: DataFrame, max_work: int = 1_000_000) -> DataFrame:
+    """(block, n, m): blocks that :func:`separation_pairs` leaves out."""
+    return _block_work(edge_blocks).where(F.col("n") * F.col("m") > max_work).select("block", "n", "m")
+
+
 def block_tree_node(edge_blocks: DataFrame) -> DataFrame:
     """(node, kind, id): where each node is in the block-cut tree: its only block (B), or itself if it is a cut (C)."""
     members = block_members(edge_blocks).groupBy("node").agg(F.count("*").alias("n"), F.min("block").alias("block"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import decompose as D
 from ..operators import digraph as R
 from ..operators import graph as G
 from ..operators import paths as H
 from ..operators import solve as P
+from . import more_oracles
 from .fixtures import view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +149,57 @@ SQL |= {
     # An edge goes if heavier ones lead from its end back to its start.
     "break_scc_lightest": "SELECT DISTINCT e.src AS src, e.dst AS dst, CAST(NULL AS BIGINT) AS n_left FROM back_d e WHERE e.at = e.src UNION ALL SELECT NULL, NULL, CAST(0 AS BIGINT)",
 }
+
+#: The parts over regions, over bundles3: for queries of the small graph.
+_SMALL = ("both_r", "reached_r", "comp_r", "without_r", "label_r", "sign_r", "block_r", "member_r", "cut_r")
+PARTS |= {re.sub("_r$", "_t", n): re.sub(r"\bregions\b", "bundles3", re.sub(r"_r\b", "_t", more_oracles.PARTS[n])) for n in _SMALL}
+_RULES = "SELECT rule, CAST(0 AS BIGINT) AS n FROM (VALUES ('xor'), ('one direction'), ('direction'), ('no circle of three')) t(rule)"
+SQL |= {
+    "block_members": "SELECT block, node FROM member_t",
+    "block_cut_tree": "SELECT block, node AS cut FROM member_t WHERE node IN (SELECT node FROM cut_t)",
+    "shared_members": "SELECT a.block AS i, b.block AS j, string_agg(CAST(a.node AS VARCHAR), ',' ORDER BY a.node) AS shared FROM member_t a JOIN member_t b ON a.node = b.node AND a.block < b.block GROUP BY 1, 2",
+    "bucket_small": "SELECT size, CAST(size >= 5 AS INTEGER) AS alone, 1 AS fits, count(*) AS n FROM (SELECT root, count(*) AS size FROM comp GROUP BY root) GROUP BY size",
+    "solution": """SELECT s.root AS root, max(value) AS weight, any_value(n) AS n_bundles FROM (SELECT root, mask, CAST(sum(CASE WHEN (mask >> iu) % 2 = (mask >> iv) % 2 THEN greatest(WT_A, WT_D) ELSE greatest(WT_B, WT_C) END) AS DOUBLE) AS value FROM masks3 GROUP BY root, mask) s
+        JOIN (SELECT root, count(*) AS n FROM bundles3 JOIN comp ON node = ctg_a_idx GROUP BY root) c ON c.root = s.root GROUP BY s.root""",
+    "constraint_checks": _RULES + " UNION ALL SELECT 'bundles', count(*) FROM bundles3 UNION ALL SELECT 'links', CAST(sum(WT_A + WT_B + WT_C + WT_D) AS BIGINT) FROM bundles3",
+    "matching": "SELECT CAST(n AS BIGINT) AS n_edges, CAST(w AS BIGINT) AS weight, count(*) AS n_groups FROM matched_r GROUP BY 1, 2",
+    "paths": """SELECT comp_name AS node, first_value(comp_name) OVER (PARTITION BY scaf_name ORDER BY pos) AS path, pos - 1 AS pos FROM path_test
+        WHERE scaf_name IN (SELECT scaf_name FROM path_test GROUP BY scaf_name HAVING count(*) > 1)""",
+    "agp_out": """SELECT 'contigs' AS measure, count(*) AS n FROM linked_r UNION ALL SELECT 'bases', CAST(sum(200 + node % 51) AS BIGINT) FROM linked_r
+        UNION ALL SELECT measure, CAST(0 AS BIGINT) FROM (VALUES ('contigs twice'), ('joins missing'), ('too short'), ('rules')) t(measure)""",
+    "dense_gap": "SELECT 'exact' AS status, count(*) AS n_bundles, sum(greatest(WT_A, WT_B, WT_C, WT_D)) AS most, CAST(0 AS BIGINT) AS n_off FROM dense",
+}
+PARTS["linked_r"] = "SELECT DISTINCT node FROM (SELECT ctg_a_idx AS node FROM region_links UNION ALL SELECT ctg_b_idx FROM region_links)"
+
+
+@_query
+def block_cut_orders(spark, sf_dir):
+    """Blocks and cuts of each component of the regions as a tree from its smallest block on: kind, name, and ranks in preorder and postorder."""
+    edges = view(spark, sf_dir, "regions").select(F.col("ctg_a_idx").alias("u"), F.col("ctg_b_idx").alias("v"))
+    return G.block_cut_orders(D.named_blocks(G.blocks(edges)))
+
+
+PARTS |= {
+    "twig_r": "SELECT concat('B ', block) AS a, concat('C ', CAST(node AS VARCHAR)) AS b FROM member_r WHERE node IN (SELECT node FROM cut_r)",
+    "branch_r": "SELECT a AS x, b AS y FROM twig_r UNION ALL SELECT b, a FROM twig_r",
+    "top_r": "SELECT min(concat('B ', block)) AS top FROM block_r GROUP BY root",
+    "climb_r": "SELECT top AS node, CAST(NULL AS VARCHAR) AS up, top, [top] AS path FROM top_r UNION ALL SELECT y, x, top, list_append(path, y) FROM climb_r JOIN branch_r ON x = node WHERE up IS NULL OR y <> up",
+}
+#: Every path ends in the greatest text, so that by these texts a node comes after all below it.
+SQL["block_cut_orders"] = """SELECT node[1:1] AS kind, node[3:] AS name, top[3:] AS root, row_number() OVER (PARTITION BY top ORDER BY path) - 1 AS pre, row_number() OVER (PARTITION BY top ORDER BY list_append(path, '~')) - 1 AS post FROM climb_r"""
+
+
+@_query
+def separation_pairs(spark, sf_dir):
+    """Pairs of contigs without which a block of the regions falls apart."""
+    edges = view(spark, sf_dir, "regions").select(F.col("ctg_a_idx").alias("u"), F.col("ctg_b_idx").alias("v"))
+    return G.separation_pairs(D.named_blocks(G.blocks(edges)))
+
+
+PARTS |= {
+    "gone_r": "SELECT x.block AS block, x.node AS a, y.node AS b FROM member_r x JOIN member_r y ON x.block = y.block AND x.node < y.node WHERE x.block IN (SELECT block FROM member_r GROUP BY block HAVING count(*) > 3)",
+    "side2_r": "SELECT block, u, v FROM block_r UNION ALL SELECT block, v, u FROM block_r",
+    "stay_r": "SELECT g.block AS block, a, b, min(node) AS node FROM gone_r g JOIN member_r m ON m.block = g.block AND node <> a AND node <> b GROUP BY 1, 2, 3",
+    "seen_r": "SELECT block, a, b, node FROM stay_r UNION SELECT s.block, s.a, s.b, e.v FROM seen_r s JOIN side2_r e ON e.block = s.block AND e.u = s.node AND e.v <> s.a AND e.v <> s.b",
+}
+SQL["separation_pairs"] = """SELECT s.block AS block, a, b FROM (SELECT block, a, b, count(*) AS n FROM seen_r GROUP BY 1, 2, 3) s JOIN (SELECT block, count(*) AS size FROM member_r GROUP BY block) m ON m.block = s.block WHERE n < size - 2"""

@@ -126,7 +126,7 @@ SQL = {
     "region_components": "SELECT node, root FROM comp_d",
     "bucket_sizes": "SELECT size, CASE WHEN size >= 4 THEN 1 ELSE 0 END AS alone, count(*) AS n FROM size_r GROUP BY size",
     "bucket_limits": "SELECT CAST(sum(size) AS BIGINT) AS n_contigs, CAST(0 AS BIGINT) AS n_overfull FROM size_r WHERE size < 4",
-    "region_triangles": "SELECT x.ctg_a_idx AS a, x.ctg_b_idx AS b, y.ctg_b_idx AS c FROM dense x JOIN dense y ON x.ctg_b_idx = y.ctg_a_idx JOIN dense z ON z.ctg_a_idx = x.ctg_a_idx AND z.ctg_b_idx = y.ctg_b_idx",
+    "region_triangles": "SELECT a, b, c FROM tri_d",
     "region_block_members": "SELECT block, node FROM member_r",
     "region_articulation": "SELECT node FROM cut_r",
     "region_block_cuts": "SELECT block, node AS cut FROM member_r WHERE node IN (SELECT node FROM cut_r)",

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import links as X
+from ..operators import assembly as A
+from ..operators import decompose as D
 from ..operators import graph as G
 from ..operators import links as L
 from ..operators import paths as H
 from ..operators import scaffolds as S
 from ..operators import scores as C
 from ..operators import solve as P
+from ..sources import text as T
+from ..tables import scratch_folder
 from . import exact_queries, format_queries, region_queries, solution_queries
 from .fixtures import view
 
@@ -241,8 +246,11 @@ def component_sizes(spark, sf_dir):
 
 @_query
 def bucket_small(spark, sf_dir):
-    """Small components in buckets of batched work."""
-    return G.bucket_small(components(spark, sf_dir), 5)
+    """Components by size, whether they are batched (fewer than 5 contigs) and whether their bucket holds fewer than twice as many contigs."""
+    buckets = G.bucket_small(components(spark, sf_dir), 5)
+    filled = buckets.groupBy(F.col("bucket").alias("b")).agg(F.sum("size").alias("held"))
+    fits = F.coalesce((F.col("held") < 10).cast("int"), F.lit(1))
+    return buckets.join(filled, F.col("bucket") == F.col("b"), "left").groupBy("size", F.col("bucket").isNull().cast("int").alias("alone"), fits.alias("fits")).agg(F.count("*").alias("n"))
 
 
 @_query
@@ -270,10 +278,14 @@ def max_incoming(spark, sf_dir):
     return G.best_incoming(view(spark, sf_dir, "bundles2").select(F.col("ctg_a_idx").alias("src"), F.col("ctg_b_idx").alias("dst"), weight))
 
 
+def _named_blocks(spark, sf_dir):
+    return D.named_blocks(G.blocks(_edges(view(spark, sf_dir, "bundles3"))))
+
+
 @_query
 def block_members(spark, sf_dir):
-    """Contigs of each biconnected component."""
-    return G.block_members(G.blocks(_edges(view(spark, sf_dir, "bundles3"))))
+    """Contigs of each biconnected component, by its smallest edge."""
+    return G.block_members(_named_blocks(spark, sf_dir))
 
 
 @_query
@@ -285,13 +297,14 @@ def articulation(spark, sf_dir):
 @_query
 def block_cut_tree(spark, sf_dir):
     """Blocks and the contigs that join them."""
-    return G.block_cut_tree(G.blocks(_edges(view(spark, sf_dir, "bundles2"))))
+    return G.block_cut_tree(_named_blocks(spark, sf_dir))
 
 
 @_query
 def shared_members(spark, sf_dir):
     """Blocks that share contigs."""
-    return G.shared_members(G.block_members(G.blocks(_edges(view(spark, sf_dir, "bundles3")))).withColumnRenamed("block", "set"))
+    found = G.shared_members(G.block_members(_named_blocks(spark, sf_dir)).withColumnRenamed("block", "set"))
+    return found.select("i", "j", F.array_join("shared", ",").alias("shared"))
 
 
 @_query
@@ -309,48 +322,57 @@ def solve_objective(spark, sf_dir):
 
 @_query
 def solution(spark, sf_dir):
-    """Orientation, state and direction of every bundle."""
-    return P.solve(view(spark, sf_dir, "bundles3")).select("u", "v", "orien_a", "orien_b", "state", "X", "Y", "weight", "status")
+    """Weight of the solved bundles of each component."""
+    solved = P.materialize(P.solve(view(spark, sf_dir, "bundles3")), "solution")
+    found = G.connected_components(solved.select("u", "v")).withColumnRenamed("node", "u")
+    return solved.join(found, "u").groupBy("root").agg(F.sum("weight").alias("weight"), F.count("*").alias("n_bundles"))
 
 
 @_query
 def constraint_checks(spark, sf_dir):
-    """How many bundles break each constraint: none."""
+    """How many bundles break each constraint: none; and of how many bundles with which links."""
     bundles = view(spark, sf_dir, "bundles3")
-    return P.violations(P.solve(bundles), L.triangles(bundles))
-
-
-def _matched(spark, sf_dir):
-    edges = P.directed_edges(P.solve(view(spark, sf_dir, "bundles3")))
-    return G.break_cycles(H.match_maximum(edges))
+    solved = P.materialize(P.solve(bundles), "solution")
+    total = solved.agg(F.count("*").alias("n"), F.sum(F.col("w0") + F.col("w1") + F.col("w2") + F.col("w3")).cast("long").alias("links"))
+    told = total.select(F.lit("bundles").alias("rule"), "n").union(total.select(F.lit("links"), "links"))
+    return P.violations(solved, L.triangles(bundles)).union(told)
 
 
 @_query
 def matching(spark, sf_dir):
-    """At most one edge in and one out per contig, without cycles."""
-    return _matched(spark, sf_dir)
+    """Edges and weight of the greatest matching among edges that compete with one another, and how many such groups have them."""
+    edges = P.materialize(H.weighted_pairs(view(spark, sf_dir, "region_solved"), view(spark, sf_dir, "regions")), "directed")
+    side = lambda x: F.concat(F.lit(x[0]), F.col(x).cast("string"))
+    groups = G.connected_components(edges.select(side("src").alias("u"), side("dst").alias("v")))
+    matched = H.match_maximum(edges).withColumn("node", side("src")).join(groups, "node")
+    per = matched.groupBy("root").agg(F.count("*").alias("n_edges"), F.sum("weight").alias("weight"))
+    return per.groupBy("n_edges", "weight").agg(F.count("*").alias("n_groups"))
 
 
 @_query
 def paths(spark, sf_dir):
-    """Contigs of each path in order."""
-    return G.order_paths(_matched(spark, sf_dir))
+    """Contigs of each test scaffold in order, from its directed edges."""
+    edges = S.scaffold_digraph(S.scaffold_rows(view(spark, sf_dir, "path_test")))
+    return G.order_paths(edges.select("src", "dst"))
 
 
 @_query
 def agp_out(spark, sf_dir):
-    """Scaffold rows of the solved paths."""
-    bundles, contigs = view(spark, sf_dir, "bundles3"), view(spark, sf_dir, "contigs")
-    solved = P.materialize(P.solve(bundles), "solution")
-    matched = P.materialize(G.break_cycles(H.match_maximum(P.directed_edges(solved))), "matched")
-    gaps = L.mean_gaps(view(spark, sf_dir, "links"), contigs, bundles)
-    placed = G.order_paths(matched)
-    into = matched.select(F.col("dst").alias("node"), X.smaller("src", "dst").alias("lo"), X.larger("src", "dst").alias("hi")).join(gaps, ["lo", "hi"]).select("node", "gap")
-    oriented = solved.select(F.inline(F.array(*(F.struct(F.col(n).alias("node"), F.col(f"orien_{x}").alias("orien")) for n, x in (("u", "a"), ("v", "b")))))).distinct()
-    rows = placed.join(into, "node", "left").join(oriented, "node").join(contigs.select(F.col("node_idx").alias("node"), "ctg_name", "ctg_width"), "node")
-    return S.scaffold_rows(
-        rows.select(F.concat(F.lit("scaf_"), F.col("path")).alias("scaf_name"), (F.col("pos") + 1).alias("pos"), F.col("ctg_name").alias("comp_name"), F.col("ctg_width").alias("size"), "gap", "orien")
-    )
+    """What a file of the scaffolds of all region contigs holds, written and read: contigs, bases in contigs; and what is wrong with it: nothing."""
+    links = view(spark, sf_dir, "region_links")
+    nodes = links.select(F.explode(F.array("ctg_a_idx", "ctg_b_idx")).alias("node_idx")).distinct()
+    contigs = P.materialize(nodes.select("node_idx", F.concat(F.lit("ctg_"), "node_idx").alias("ctg_name"), (200 + F.col("node_idx") % 51).alias("ctg_width")), "contigs")
+    path = f"{scratch_folder(spark)}/agp-{uuid.uuid4().hex}"
+    made = H.with_rank(A.assemble(view(spark, sf_dir, "regions"), links, contigs), ["scaf_name", "scaf_idx"])
+    T.write_agp(made.withColumnRenamed("rank", "line_no"), path)
+    rows = T.read_agp(spark, path)
+    w = F.col("comp_type") == "W"
+    told = rows.agg(
+        F.count_if(w).alias("contigs"), F.sum(F.when(w, F.col("comp_stop"))).alias("bases"), (F.count_if(w) - F.count_distinct(F.when(w, F.col("comp_name")))).alias("contigs twice"),
+        (F.count_if(~w) + F.count_distinct("scaf_name") - F.count_if(w)).alias("joins missing"), (F.sum("scaf_stop") < F.sum("comp_stop")).cast("long").alias("too short"),
+    )
+    broken = T.agp_violations(rows).agg(F.count("*").alias("n")).select(F.lit("rules").alias("measure"), "n")
+    return told.unpivot([], told.columns, "measure", "n").union(broken)
 
 
 for _more in (format_queries, solution_queries, region_queries, exact_queries):

@@ -237,9 +237,12 @@ def region_checks(spark, sf_dir):
 
 @_query
 def dense_gap(spark, sf_dir):
-    """What the solved dense regions weigh, by status, and the most that they could."""
-    solution = P.solve(view(spark, sf_dir, "dense"))
-    return solution.groupBy("status").agg(F.count("*").alias("n_bundles"), F.sum("weight").alias("weight"), F.sum("most").alias("most"))
+    """The most that the dense regions could weigh, by status; and how many components weigh more than that or less than three quarters of it (none)."""
+    solution = P.materialize(P.solve(view(spark, sf_dir, "dense")), "solution")
+    found = G.connected_components(solution.select("u", "v")).withColumnRenamed("node", "u")
+    per = solution.join(found, "u").groupBy("status", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum("most").alias("most"))
+    off = (F.col("weight") > F.col("most")) | (F.col("weight") < 0.75 * F.col("most"))
+    return per.groupBy("status").agg(F.sum("n").alias("n_bundles"), F.sum("most").alias("most"), F.count_if(off).alias("n_off"))
 
 
 @_query
