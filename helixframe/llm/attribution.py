@@ -56,7 +56,8 @@ def count_tokens(
 
     A null field is empty (a section without characters of its own); null or
     repeated ids are kept row by row; other columns are ignored; an empty table
-    gives no rows.
+    gives no rows.  A token that two sections share equally belongs to the
+    earlier one.  A document of any length is encoded whole in one task.
     """
     out = pa.schema([("doc_id", pa.int64()), ("field", pa.string())] + [(c, pa.int64()) for c in ("section", "start", "end", "n_tokens", "n_crossing")])
     fields = list(fields)

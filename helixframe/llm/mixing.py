@@ -67,7 +67,8 @@ def mix(
 
     A null text has size 0 and is never taken; null sources are one source;
     null or repeated ids are kept row by row (rows equal in id and text are
-    taken alike); an empty table gives no rows.
+    taken alike); an empty table gives no rows.  A text of any length counts
+    with all its words.
     """
     text, doc_id = docs[text_col], docs[id_col].cast("long")
     kept = [docs[c].alias(f"kept_{c}") for c in keep]

@@ -110,7 +110,8 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", words_in_
     themselves.
 
     A null text is empty; texts without words are one group.  ``row_col`` is any
-    orderable key without nulls; an empty table gives no rows.
+    orderable key without nulls; an empty table gives no rows.  A text of any
+    length is shingled whole in one task.
     """
     texts = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
     each = materialize(_measured(texts, words_in_shingle, False), "near-each")

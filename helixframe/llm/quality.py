@@ -211,7 +211,9 @@ def apply_rules(
 
     A null text has no words and fails; a null language means the script
     decides; null or repeated ids are kept row by row; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  Of scripts with as many letters the
+    first in ``SCRIPTS`` counts.  A text of any length is measured whole in one
+    task.
     """
     rules = Rules(model_path, ranks, bands, min_words, max_repeat_percent)
     types = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}

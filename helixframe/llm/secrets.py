@@ -56,7 +56,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty and gives an empty array.  Null or repeated ids are
     kept row by row; rows that are equal in id and text are found once and
     returned as often as they come; other columns are ignored; an empty table
-    gives no rows.
+    gives no rows.  Spans with one start stand in the order of kinds.  A text of
+    any length is searched whole in one task.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     row = F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("at"), F.lit(0).alias("length"), F.lit(False).alias("found"))

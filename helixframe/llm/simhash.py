@@ -170,7 +170,7 @@ def near_duplicates(
     A null text is empty; fingerprint 0 links like any other.  Rows with a null
     id are kept; they take the component's smallest id, which is null where all
     ids in it are.  Repeated rows are kept; other columns are ignored; an empty
-    table gives no rows.
+    table gives no rows.  A text of any length is hashed whole in one task.
     """
     each = materialize(fingerprints(docs, id_col, text_col, words_in_shingle), "simhash")
     nodes = materialize(each.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-nodes")
