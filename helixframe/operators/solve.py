@@ -417,6 +417,28 @@ def apply_with_flip(current: DataFrame, partial: DataFrame) -> tuple[DataFrame,
     return current.join(new, "node", "full_outer").select("node", F.coalesce("new", "orien").alias("orien")), turn
 
 
+def apply_partial_bundles(current: DataFrame, partial: DataFrame) -> DataFrame:
+    """Solved bundles (u, v, state, X, Y) of ``current`` with those of ``partial`` over them; a pair that only one has stays."""
+    columns = ("state", "X", "Y")
+    new = partial.select("u", "v", *(F.col(c).alias(f"new_{c}") for c in columns), F.lit(True).alias("given"))
+    met = current.select("u", "v", *columns).join(new, ["u", "v"], "full_outer")
+    return met.select("u", "v", *(F.when(F.col("given"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in columns))
+
+
+def apply_bundles_with_flip(current: DataFrame, partial: DataFrame, turned: DataFrame) -> DataFrame:
+    """As :func:`apply_partial_bundles` for several partial solutions (part, u, v, state, X, Y) at once, by the part with the largest number.
+
+    ``turned`` (part, turned) is what :func:`apply_with_flip` found: a part that
+    is turned around keeps its states and has its directions reversed; a bundle
+    without one stays without.
+    """
+    reverse = F.coalesce(F.col("turned"), F.lit(False)) & ((F.col("X") == 1) | (F.col("Y") == 1))
+    placed = partial.join(turned.select("part", "turned"), "part", "left")
+    placed = placed.select("part", "u", "v", "state", *(F.when(reverse, 1 - F.col(c)).otherwise(F.col(c)).alias(c) for c in "XY"))
+    last = placed.groupBy("u", "v").agg(F.max_by(F.struct("state", "X", "Y"), "part").alias("b")).select("u", "v", "b.*")
+    return apply_partial_bundles(current, last)
+
+
 def merge_partial(current: DataFrame, partial: DataFrame) -> DataFrame:
     """Solved bundles (u, v, state, X, Y) of both: the first state wins, a set direction stays set, and of both X is kept."""
     both = current.select("u", "v", "state", "X", "Y", F.lit(0).alias("from")).unionByName(partial.select("u", "v", "state", "X", "Y", F.lit(1).alias("from")))

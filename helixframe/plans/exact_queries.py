@@ -203,3 +203,9 @@ PARTS |= {
     "seen_r": "SELECT block, a, b, node FROM stay_r UNION SELECT s.block, s.a, s.b, e.v FROM seen_r s JOIN side2_r e ON e.block = s.block AND e.u = s.node AND e.v <> s.a AND e.v <> s.b",
 }
 SQL["separation_pairs"] = """SELECT s.block AS block, a, b FROM (SELECT block, a, b, count(*) AS n FROM seen_r GROUP BY 1, 2, 3) s JOIN (SELECT block, count(*) AS size FROM member_r GROUP BY block) m ON m.block = s.block WHERE n < size - 2"""
+
+SQL |= {
+    "partial_bundles": "SELECT u, v, state, CASE WHEN u % 3 = 0 THEN Y ELSE X END AS X, CASE WHEN u % 3 = 0 THEN X ELSE Y END AS Y FROM solved WHERE u % 3 = 0 OR v % 2 = 0",
+    "flip_bundles": """SELECT u, v, state, CASE WHEN part IS NULL THEN X WHEN (u + v) % 5 = 0 THEN 0 WHEN turned THEN 1 - X ELSE X END AS X, CASE WHEN part IS NULL THEN Y WHEN (u + v) % 5 = 0 THEN 0 WHEN turned THEN 1 - Y ELSE Y END AS Y
+        FROM solved LEFT JOIN part_turn ON part = floor(u / 100) AND part = floor(v / 100) AND u % 100 < 40 AND v % 100 < 40""",
+}

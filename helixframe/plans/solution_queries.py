@@ -198,6 +198,24 @@ def flip_applied(spark, sf_dir):
     return P.apply_with_flip(_orientations(spark, sf_dir), _parts(spark, sf_dir))[0]
 
 
+@_query
+def partial_bundles(spark, sf_dir):
+    """States and directions with those of a partial solution over them: of even second contigs, with bundles of first contigs that are multiples of 3, turned."""
+    s = view(spark, sf_dir, "solved").select("u", "v", "state", "X", "Y")
+    partial = s.where("u % 3 = 0").select("u", "v", "state", F.col("Y").alias("X"), F.col("X").alias("Y"))
+    return P.apply_partial_bundles(s.where("v % 2 = 0"), partial)
+
+
+@_query
+def flip_bundles(spark, sf_dir):
+    """States and directions after the partial solutions by hundreds of contigs; bundles that sum to a multiple of 5 have no direction there."""
+    s = view(spark, sf_dir, "solved").select("u", "v", "state", "X", "Y")
+    inside = s.where("floor(u / 100) = floor(v / 100) and u % 100 < 40 and v % 100 < 40")
+    none = (F.col("u") + F.col("v")) % 5 == 0
+    partial = inside.select(F.floor(F.col("u") / 100).alias("part"), "u", "v", "state", *(F.when(none, 0).otherwise(F.col(c)).alias(c) for c in "XY"))
+    return P.apply_bundles_with_flip(s, partial, P.apply_with_flip(_orientations(spark, sf_dir), _parts(spark, sf_dir))[1])
+
+
 @_query
 def merge_partial(spark, sf_dir):
     """Solved bundles of both of two partial solutions: one has the bundles of active first contigs, the other those of second ones, turned."""
