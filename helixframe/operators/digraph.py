@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize, materialize_count
+from ..tables import materialize, materialize_count, supersede
 from .paths import with_rank
 
 
@@ -24,7 +24,8 @@ def _spread(edges: DataFrame, state: DataFrame, better) -> DataFrame:
         came = edges.join(front, "src").groupBy(F.col("dst").alias("node")).agg(F.max("more").alias("more"))
         wins = F.coalesce(better(F.col("more"), F.col("value")), F.lit(False))
         moved = state.join(came, "node", "left").select("node", F.when(wins, F.col("more")).otherwise(F.col("value")).alias("value"), wins.alias("new"))
-        state, changed = materialize_count(moved, "spread", F.count_if("new"))
+        moved, changed = materialize_count(moved, "spread", F.count_if("new"))
+        state = supersede(state, moved)
         if not changed:
             return state.select("node", "value")
 

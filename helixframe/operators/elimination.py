@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialize, materialize_count
+from ..tables import materialize, materialize_count, supersede
 
 
 def _left(value: Column, by: Column) -> Column:
@@ -110,4 +110,4 @@ def eliminate(factors: DataFrame, max_width: int = 14) -> Eliminated:
         best = materialize(best, "eliminate-best")
         rounds.append((chosen.select("x", "scope"), best.select("x", "mask", "bit")))
         left = best.where(F.size("scope") > 0).select(F.concat(F.lit(f"{len(rounds)}:"), "x").alias("factor"), "scope", "mask", "value")
-        live = materialize(live.join(bucket.select("factor"), "factor", "left_anti").unionByName(left), "eliminate-factors")
+        live = supersede(live, materialize(live.join(bucket.select("factor"), "factor", "left_anti").unionByName(left), "eliminate-factors"))

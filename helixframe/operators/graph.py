@@ -11,7 +11,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialize, materialize_count
+from ..tables import materialize, materialize_count, supersede
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     edges = materialize(edges, label)
     seen = checksum(edges)
     while seen[0]:
-        edges = materialize(smallest_star(largest_star(edges).distinct()), label)
+        edges = supersede(edges, materialize(smallest_star(largest_star(edges).distinct()), label))
         now = checksum(edges)
         if now == seen:
             break
@@ -138,7 +138,7 @@ def order_paths(edges: DataFrame) -> DataFrame:
     ended = None
     while True:
         far = at.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("steps").alias("more"))
-        at = materialize(at.join(far, "jump").select("node", F.col("next").alias("jump"), (F.col("steps") + F.col("more")).alias("steps")), "paths")
+        at = supersede(at, materialize(at.join(far, "jump").select("node", F.col("next").alias("jump"), (F.col("steps") + F.col("more")).alias("steps")), "paths"))
         now = at.agg(F.sum("steps")).first()[0]
         if now == ended:
             return at.select("node", F.col("jump").alias("path"), F.col("steps").alias("pos"))
@@ -265,7 +265,7 @@ def tree_depth(forest: DataFrame) -> DataFrame:
     at = materialize(forest.select("node", F.col("parent").alias("jump"), F.col("parent").isNotNull().cast("long").alias("depth")), "depth")
     while not at.where("jump is not null").isEmpty():
         far = at.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("depth").alias("more"))
-        at = materialize(at.join(far, "jump", "left").select("node", F.col("next").alias("jump"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depth")
+        at = supersede(at, materialize(at.join(far, "jump", "left").select("node", F.col("next").alias("jump"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depth"))
     return at.select("node", "depth")
 
 

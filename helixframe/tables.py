@@ -32,7 +32,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.__dict__["_scratch_path"] = path
+    return kept
 
 
 def materialize_count(df: DataFrame, label: str, what: Column | None = None) -> tuple[DataFrame, int]:
@@ -40,3 +42,17 @@ def materialize_count(df: DataFrame, label: str, what: Column | None = None) ->
     seen = Observation()
     kept = materialize(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")), label)
     return kept, seen.get["n"]
+
+
+def supersede(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new``, after the scratch table of ``old`` is gone; for rounds of a loop, of which none but the last is read again.
+
+    ``new`` must be written already.  A frame that :func:`materialize` did not
+    return is left alone.
+    """
+    path = old.__dict__.get("_scratch_path")
+    if path and path != new.__dict__.get("_scratch_path"):
+        spark = old.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return new
