@@ -209,3 +209,12 @@ SQL |= {
     "flip_bundles": """SELECT u, v, state, CASE WHEN part IS NULL THEN X WHEN (u + v) % 5 = 0 THEN 0 WHEN turned THEN 1 - X ELSE X END AS X, CASE WHEN part IS NULL THEN Y WHEN (u + v) % 5 = 0 THEN 0 WHEN turned THEN 1 - Y ELSE Y END AS Y
         FROM solved LEFT JOIN part_turn ON part = floor(u / 100) AND part = floor(v / 100) AND u % 100 < 40 AND v % 100 < 40""",
 }
+
+#: Every set of edges of a component with one edge into a contig at most, less those that close a ring.
+PARTS |= {
+    "arc_c": "SELECT root, src, dst, weight, row_number() OVER (PARTITION BY root ORDER BY src, dst) - 1 AS bit_at, count(*) OVER (PARTITION BY root) AS m FROM arc_r JOIN comp_r ON node = src",
+    "pick_c": "SELECT root, mask, src, dst, weight FROM (SELECT *, unnest(range(1, CAST(1 AS BIGINT) << CAST(m AS INTEGER))) AS mask FROM arc_c) WHERE (mask >> CAST(bit_at AS INTEGER)) % 2 = 1",
+    "tree_c": "SELECT root, mask, sum(weight) AS w FROM pick_c GROUP BY root, mask HAVING count(*) = count(DISTINCT dst)",
+    "ring_c": "SELECT p.root AS root, p.mask AS mask, p.dst AS start, p.src AS at FROM pick_c p JOIN tree_c t ON t.root = p.root AND t.mask = p.mask UNION SELECT r.root, r.mask, r.start, p.src FROM ring_c r JOIN pick_c p ON p.root = r.root AND p.mask = r.mask AND p.dst = r.at WHERE r.at <> r.start",
+}
+SQL["region_branching"] = "SELECT root, CAST(max(w) AS BIGINT) AS weight FROM tree_c t WHERE NOT EXISTS (SELECT 1 FROM ring_c r WHERE r.root = t.root AND r.mask = t.mask AND r.at = r.start) GROUP BY root"

@@ -215,8 +215,10 @@ def matching_degrees(spark, sf_dir):
 
 @_query
 def region_branching(spark, sf_dir):
-    """Branching of greatest weight of the directed region edges."""
-    return H.branching(_directed(spark, sf_dir))
+    """Weight of the greatest branching of the directed edges of each region component."""
+    edges = _directed(spark, sf_dir)
+    found = G.connected_components(_edges(spark, sf_dir)).withColumnRenamed("node", "src")
+    return H.branching(edges).join(found, "src").groupBy("root").agg(F.sum("weight").alias("weight"))
 
 
 @_query

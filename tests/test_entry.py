@@ -15,7 +15,7 @@ SLOW = {
     "region_components", "region_articulation", "region_block_cuts", "block_cut_forest", "block_cut_nodes", "block_tree_node", "biconnected", "region_shared_members", "union_check", "decomposition_sets",
     "decomposition_tree", "bucket_sizes", "bucket_limits", "contracted_tree", "long_paths", "common_block", "decomposition_file", "tree_orders", "path_checks", "component_sizes",
     "dense_objective", "path_objective", "path_model_checks", "scc", "break_scc", "break_scc_lightest", "block_cut_orders", "separation_pairs", "agp_out", "solution", "matching", "dense_gap",
-    "block_members", "block_cut_tree", "shared_members", "bucket_small",
+    "block_members", "block_cut_tree", "shared_members", "bucket_small", "region_branching",
 }
 
 
