@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,8 +17,8 @@ from ..tables import materialize
 
 #: Fixed values of the base score, and the highest count that is discounted by Good and Turing's estimate.
 BASE_ADD, TURING_MOST = 0.1, 5
-#: A task codes texts together until they have so many tokens or documents; a text with as many tokens is alone.
-_BLOCK_TOKENS, _BLOCK_DOCS = 4 << 20, 1 << 18
+#: A task codes texts together that have so many bytes; a larger one is alone.
+_BLOCK_BYTES = 8 << 20
 #: Histories with a larger share of the tokens are split by the word that follows; there are at most so many.
 _HOT = 256
 
@@ -35,14 +37,14 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def pack(values: np.ndarray, dtype: str) -> bytes:
-    """First the lowest bytes of all values, then the next ones, so that high zeros are long runs."""
+    """First the lowest bytes of all values, then the next ones, so that high zeros are long runs; compressed."""
     a = np.ascontiguousarray(values, dtype)
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return zstandard.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), 1)
 
 
 def unpack(data: bytes, dtype: str) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def discounts(often: list[int]) -> np.ndarray:
@@ -71,71 +73,63 @@ def discounted(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
     return counts * np.where(counts <= TURING_MOST, share[np.minimum(counts, TURING_MOST)], kept(counts))
 
 
-class _Numbers(dict):
-    """Words in order of appearance; the two that are no words stand for a text's start and end."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        return at
-
-
+#: No words, so they stand for a text's start and end; in every block they are the first two.
 _START, _END = b"", b" "
 
 
 class Block:
-    """Texts coded together: numbers of history, word and document of every token."""
-
-    def __init__(self):
-        self.numbers = _Numbers({_START: 0, _END: 1})
-        self.h, self.w, self.doc = [], [], []
-        self.ids: list[int | None] = []
-        self.held: list[bool] = []
-        self.tokens = 0
+    """Texts (doc_id, text, held out) coded together: numbers of history, word and document of every token, and the words."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.ids, self.held = rows.column(0).to_pylist(), np.array(rows.column(2).to_pylist(), bool)
+        texts = rows.column(1).fill_null("")
+        pieces = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # gives empty pieces at the ends of a text
+        flat, offsets = pieces.flatten(), pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        real = pc.greater(pc.binary_length(flat), 0)
+        before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+        counts = np.diff(before[offsets])
+        coded = flat.filter(real).dictionary_encode()
+        n = len(self.ids)
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), counts + 1)
+        self.w = np.ones(len(self.doc), np.int32)
+        ends = np.cumsum(counts + 1) - 1
+        inner = np.ones(len(self.doc), bool)
+        inner[ends] = False
+        self.w[inner] = coded.indices.to_numpy() + 2
+        self.h = np.concatenate([[0], self.w[:-1]]).astype(np.int32)
+        self.h[ends[:-1] + 1] = 0
+        self.words = coded.dictionary.cast(pa.binary())
 
     def hashes(self) -> np.ndarray:
         import xxhash
 
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), np.uint64, len(self.numbers))
-
-    def columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return tuple(np.concatenate(x) for x in (self.h, self.w, self.doc))
+        words = [_START, _END, *self.words.to_pylist()]
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Of rows (doc_id, text, held out)."""
-    block = Block()
     for batch in batches:
-        for doc_id, text, held in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-            words = (text.as_py() or "").encode().lower().split()
-            words.append(_END)
-            if block.ids and (block.tokens >= _BLOCK_TOKENS or len(words) >= _BLOCK_TOKENS or len(block.ids) >= _BLOCK_DOCS):
-                yield block
-                block = Block()
-            codes = np.fromiter(map(block.numbers.__getitem__, words), np.int32, len(words))
-            block.h.append(np.concatenate([[0], codes[:-1]]).astype(np.int32))
-            block.w.append(codes)
-            block.doc.append(np.full(len(words), len(block.ids), np.int32))
-            block.ids.append(doc_id)
-            block.held.append(held)
-            block.tokens += len(words)
-    if block.ids:
-        yield block
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), _BLOCK_BYTES, "right")))
+            yield Block(batch.slice(at, n))
+            at += n
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
 
 def _parts(hashes: np.ndarray, h: np.ndarray, w: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
     """The part of each bigram: its history's, or its word's where the history is hot."""
-    home = (hashes % np.uint64(parts)).astype(np.int64)
+    home = (hashes % np.uint64(parts)).astype(np.int32)
     return np.where(np.isin(hashes, hot)[h], home[w], home[h])
 
 
-def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts by the first key, then the next, and where groups of equal keys start in it."""
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
-    return order, np.flatnonzero(new)
-
-
 def _find(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The place of each value, or -1."""
     if not len(sorted_values):
@@ -149,11 +143,11 @@ def _code_words(hot: np.ndarray, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            hashes, (h, w, doc) = block.hashes(), block.columns()
-            counts = np.bincount(w, ~np.array(block.held)[doc], len(hashes)).astype(np.int64)
+            hashes, h, w = block.hashes(), block.h, block.w
+            counts = np.bincount(w, ~block.held[block.doc], len(hashes)).astype(np.int64)
             home = (hashes % np.uint64(parts)).astype(np.int64)
-            present = np.unique(w)
-            needed = np.unique(np.concatenate([w.astype(np.int64) * parts + _parts(hashes, h, w, hot, parts), present * parts + home[present]]))
+            present = np.flatnonzero(np.bincount(w, minlength=len(hashes)))
+            needed, _ = _distinct(np.concatenate([w.astype(np.int64) * parts + _parts(hashes, h, w, hot, parts), present * parts + home[present]]))
             owner, need = needed // parts, needed % parts
             for p in range(parts):
                 own = present[home[present] == p]
@@ -206,16 +200,13 @@ def _code_grams(hot: np.ndarray, parts: int):
 
         task = TaskContext.get().partitionId() << 33
         for number, block in enumerate(blocks(batches)):
-            hashes, (h, w, doc) = block.hashes(), block.columns()
-            # A bigram of a document is one number: at most 8 million tokens have 23 bits, twice, and 18 for the document.
+            hashes, held = block.hashes(), block.held
+            # A bigram of a document is one number of at most 64 bits: 8 MB have at most 2**22 words and 2**23 documents.
             bits, low = int(len(hashes) - 1).bit_length(), int(len(block.ids) - 1).bit_length()
-            key = np.sort((h.astype(np.uint64) << np.uint64(bits + low)) | (w.astype(np.uint64) << np.uint64(low)) | doc.astype(np.uint64))
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            n = np.diff(np.append(first, len(key)))
-            key = key[first]
-            h, w, doc = ((key >> np.uint64(shift) & np.uint64(2**width - 1)).astype(np.int64) for shift, width in ((bits + low, bits), (low, bits), (0, low)))
+            key, n = _distinct((block.h.astype(np.uint64) << np.uint64(bits + low)) | (block.w.astype(np.uint64) << np.uint64(low)) | block.doc.astype(np.uint64))
+            del block.h, block.w, block.doc
+            h, w, doc = ((key >> np.uint64(shift) & np.uint64(2**width - 1)).astype(np.int32) for shift, width in ((bits + low, bits), (low, bits), (0, low)))
             part = _parts(hashes, h, w, hot, parts)
-            held = np.array(block.held)
             missing = np.array([i is None for i in block.ids])
             order = np.argsort(part, kind="stable")
             ends = np.cumsum(np.bincount(part, minlength=parts))
@@ -256,32 +247,49 @@ def _evaluate(unigrams: Unigrams, hot: np.ndarray, hot_counts: np.ndarray):
     schema = _arrow(_EVALUATED)
 
     def run(grams: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        rows = grams.to_pylist()
-        if not rows:
+        if not grams.num_rows:
             return pa.Table.from_pylist([], schema)
+        pa.default_memory_pool().release_unused()
+        rows = grams.select(["part", "block", "ids", "flags"]).to_pylist()
+        packed = {c: grams.column(c).combine_chunks() for c in ("words", "h", "w", "doc", "n")}
+        column = lambda c, i, dtype="<u4": unpack(packed[c][i].as_py(), dtype)
         known = [(unpack(w.as_py(), "<u8"), unpack(c.as_py(), "<i8")) for w, c in zip(vocabulary.column("words"), vocabulary.column("counts"))]
-        words = np.concatenate([np.zeros(0, np.uint64), *(k[0] for k in known)])
-        order = np.argsort(words)
-        words, word_counts = words[order], np.concatenate([np.zeros(0, np.int64), *(k[1] for k in known)])[order]
-        columns = []
-        for i, r in enumerate(rows):
-            own = unpack(r["words"], "<u8")
-            doc = unpack(r["doc"], "<u4").astype(np.int64)
-            columns.append((own[unpack(r["h"], "<u4")], own[unpack(r["w"], "<u4")], (i << 32) + (doc >> 1), (doc & 1) == 0, unpack(r["n"], "<u4").astype(np.int64)))
-            for c in ("words", "h", "w", "doc", "n"):
-                r[c] = None
-        h, w, doc, trains, n = (np.concatenate(c) for c in zip(*columns))
-        del columns
-        order, starts = _group(h, w)
-        h, w, doc, trains, n = h[order], w[order], doc[order], trains[order], n[order]
-        sizes = np.diff(np.append(starts, len(h)))
-        pair_counts = np.add.reduceat(n * trains, starts) if len(starts) else np.zeros(0, np.int64)
-        at = _find(words, w[starts])
-        pair_words = np.where(at >= 0, word_counts[at] if len(words) else 0, 0)
-        pair_p = unigrams.p(pair_words)
+        counted = np.concatenate([np.zeros(0, np.uint64), *(k[0] for k in known)])
+        order = np.argsort(counted)
+        counted, counts = counted[order], np.concatenate([np.zeros(0, np.int64), *(k[1] for k in known)])[order]
+        # Words and documents are numbered inside the part, in 32 bits.
+        each = [column("words", i, "<u8") for i in range(len(rows))]
+        words, places = np.unique(np.concatenate(each), return_inverse=True)
+        places = np.split(places.astype(np.int32), np.cumsum(list(map(len, each)))[:-1])
+        at = _find(counted, words)
+        word_counts = np.where(at >= 0, counts[at] if len(counted) else 0, 0)
+        word_p = unigrams.p(word_counts)
+        ends = np.cumsum([0, *(zstandard.frame_content_size(packed["n"][i].as_py()) // 4 for i in range(len(rows)))])
+        keys, doc, n, trained = (np.empty(ends[-1], t) for t in (np.uint64, np.int32, np.int32, bool))
+        offsets = [0]
+        for i, own in enumerate(places):
+            here = slice(ends[i], ends[i + 1])
+            keys[here] = own[column("h", i)]
+            keys[here] <<= np.uint64(32)
+            keys[here] |= own[column("w", i)].astype(np.uint64)
+            d = column("doc", i)
+            doc[here] = (d >> 1).astype(np.int32) + np.int32(offsets[-1])
+            trained[here] = (d & 1) == 0
+            n[here] = column("n", i)
+            offsets.append(offsets[-1] + int(d.max() >> 1) + 1 if len(d) else offsets[-1])
+        order = np.argsort(keys)
+        keys, doc, n, trained = keys[order], doc[order], n[order], trained[order]
+        del order
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(keys)))
+        h, w = (keys[starts] >> np.uint64(32)).astype(np.int32), (keys[starts] & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        del keys
+        pair_counts = np.add.reduceat(n * trained, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        del trained
+        pair_words, pair_p = word_counts[w], word_p[w]
         # Histories: of a hot one, this part has some of the words that follow.
-        names, history = np.unique(h[starts], return_inverse=True)
-        place = _find(hot, names)
+        names, history = np.unique(h, return_inverse=True)
+        place = _find(hot, words[names])
         totals = np.where(place >= 0, hot_counts[place] if len(hot) else 0, np.bincount(history, pair_counts, len(names)).astype(np.int64))
         large = pair_counts > TURING_MOST
         c = np.maximum(pair_counts, 1).astype(float)
@@ -292,22 +300,22 @@ def _evaluate(unigrams: Unigrams, hot: np.ndarray, hot_counts: np.ndarray):
         )
         seen = np.log10(c) - np.log10(np.maximum(totals[history], 1)) + np.where(large, np.log10(kept(c)), 0)
         spread = lambda x: np.repeat(x, sizes)  # noqa: E731  from bigrams to the documents that have them
-        score, base = spread(np.where(pair_counts > 0, seen, np.log10(pair_p))) * n, spread(np.log10(pair_words + BASE_ADD)) * n
-        ids, inverse = np.unique(doc, return_inverse=True)
-        add = lambda x: np.bincount(inverse, x, len(ids))
-        counts = spread(pair_counts)
-        ints = [add(n * spread(pair_words > 0)), add(n)] + [add(n * (counts == r)) for r in range(1, TURING_MOST + 1)]
-        sums = [add(base), add(score)]
+        add = lambda x: np.bincount(doc, x, offsets[-1])
+        share = lambda x: add(spread(x) * n)
+        ints = [share((pair_words > 0).astype(np.int32)), add(n)] + [share((pair_counts == r).astype(np.int32)) for r in range(1, TURING_MOST + 1)]
+        sums = [share(np.log10(pair_words + BASE_ADD)), share(np.where(pair_counts > 0, seen, np.log10(pair_p)))]
         out = []
-        for i, r in enumerate(rows):
-            a, b = np.searchsorted(ids, [i << 32, (i + 1) << 32])
+        for r, a, b in zip(rows, offsets, offsets[1:]):
+            own = np.flatnonzero(ints[1][a:b])
             out.append({
-                "part": r["part"], "block": r["block"], "docs": pack(ids[a:b] & 0xFFFFFFFF, "<u4"), "ints": pack(np.concatenate([x[a:b] for x in ints]), "<u4"),
-                "sums": pack(np.concatenate([x[a:b] for x in sums]), "<f8"), "ids": r["ids"], "flags": r["flags"],
+                "part": r["part"], "block": r["block"], "docs": pack(own, "<u4"), "ints": pack(np.concatenate([x[a:b][own] for x in ints]), "<u4"),
+                "sums": pack(np.concatenate([x[a:b][own] for x in sums]), "<f8"), "ids": r["ids"], "flags": r["flags"],
             })
         backs_off = spread((pair_counts == 0) & (totals[history] > 0))
         used, at = np.unique(spread(history)[backs_off], return_inverse=True)
-        pending = np.concatenate([at, doc[backs_off] >> 32, doc[backs_off] & 0xFFFFFFFF, n[backs_off]])
+        late = doc[backs_off]
+        block = np.searchsorted(offsets, late, "right") - 1
+        pending = np.concatenate([at, block, late - np.array(offsets)[block], n[backs_off]])
         out.append({
             "part": rows[0]["part"], "often": [int((pair_counts == r).sum()) for r in range(1, TURING_MOST + 2)], "blocks": [r["block"] for r in rows],
             "histories": pack(stats[used].ravel(), "<f8"), "pending": pack(pending, "<u4"),
@@ -377,7 +385,7 @@ def _finish(unigrams: Unigrams, share: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 24 << 20, least_parts: int = 32) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", part_chars: int = 20 << 20, least_parts: int = 32) -> DataFrame:
     """The log10 probability of every text under a Katz bigram model of those that are not ``held_out`` (``SCORED``).
 
     A text's tokens are its words in ASCII lower case and one end.  After a
@@ -389,7 +397,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     so each history's probabilities sum to 1.  An unseen history has weight 1.
     The base score adds 0.1 to the count of every word and of the unknown one.
 
-    Three passes over the texts, in blocks of about 4 million tokens: hot
+    Three passes over the texts, in blocks of about 8 MB: hot
     histories from one row in 64 (they decide only where rows go); words; and
     bigrams.  A block sends each part its different bigrams of each document in
     one row of packed numbers, so a frequent bigram is combined before it moves.
@@ -402,7 +410,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     Null texts are empty; null or repeated ids are rows of their own, and repeated
     rows count as often as they occur; other columns are ignored; without a
     training row all words are the unknown one; an empty table gives no rows.
-    A text is split whole in one task, 60 bytes or so a word.  The rows must
+    A text is split whole in one task, 100 bytes or so a word.  The rows must
     come in a fixed order, as they do from a table: write out what does not.
     """
     spark = docs.sparkSession
@@ -430,7 +438,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     for r in summary.select(F.inline("hot")).groupBy("place").agg(*sums).collect():
         stats[r.place] = r[1:]
     hot_weights = weights(stats, hot_counts, share, unigrams.unknown)
-    resolved = summary.where("octet_length(pending) > 0").mapInArrow(_resolve(share, unigrams.unknown, hot_weights), _EVALUATED)
+    resolved = summary.mapInArrow(_resolve(share, unigrams.unknown, hot_weights), _EVALUATED)
     answers = evaluated.where("block is not null").union(resolved).select("part", "block", "docs", "ints", "sums", "ids", "flags")
     return answers.groupBy("block").applyInArrow(_finish(unigrams, share), SCORED)
 
@@ -446,7 +454,7 @@ def _hot_words(rows: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            counts = np.bincount(block.columns()[1], minlength=len(block.numbers))
+            counts = np.bincount(block.w, minlength=len(block.words) + 2)
             yield pa.RecordBatch.from_arrays([pa.array(block.hashes().view(np.int64)), pa.array(counts)], names=["word", "n"])
 
     counted = materialize(rows.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(64)) == 0).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "sampled-words")

@@ -109,16 +109,17 @@ def test_blocks_and_hot_words(spark, monkeypatch, parts):
     check(rows, texts)
 
 
-def test_small_blocks():
+def test_small_blocks(monkeypatch):
     import pyarrow as pa
 
-    texts = ["a b", None, "c " * 50, ""]
-    batch = pa.RecordBatch.from_pydict({"i": [1, 2, None, 4], "t": texts, "held": [False, True, False, True]})
-    katz._BLOCK_TOKENS, before = 10, katz._BLOCK_TOKENS
-    try:
-        assert [b.ids for b in katz.blocks(iter([batch]))] == [[1, 2], [None], [4]]
-    finally:
-        katz._BLOCK_TOKENS = before
+    texts = [" a  B\x0bb ", None, "c " * 50, "", "é\xa0x"]
+    batch = pa.RecordBatch.from_pydict({"i": [1, 2, None, 4, 5], "t": texts, "held": [False, True, False, True, False]})
+    monkeypatch.setattr(katz, "_BLOCK_BYTES", 20)
+    found = list(katz.blocks(iter([batch.slice(0, 0), batch])))
+    assert [b.ids for b in found] == [[1, 2], [None], [4, 5]]
+    words = lambda b, codes: [[katz._START, katz._END, *b.words.to_pylist()][c] for c in codes.tolist()]
+    assert words(found[0], found[0].w) == [b"a", b"b", b"b", b" ", b" "] and words(found[0], found[0].h) == [b"", b"a", b"b", b"b", b""]
+    assert found[0].doc.tolist() == [0, 0, 0, 0, 1] and words(found[2], found[2].w) == [b" ", "é\xa0x".encode(), b" "]
 
 
 def test_edges(spark, documents):
