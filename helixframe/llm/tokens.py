@@ -41,7 +41,7 @@ class RankTokenizer:
 
     def tokens(self, text: str) -> list[int]:
         if len(text) < _LONG or not _RUN.search(text):
-            return self._bpe.encode(text, allowed_special={END_OF_TEXT})
+            return self._bpe.encode(text, allowed_special={END_OF_TEXT}) if END_OF_TEXT in text else self._bpe.encode_ordinary(text)
         ids: list[int] = []
         for i, part in enumerate(text.split(END_OF_TEXT)):
             if i:
