@@ -16,6 +16,7 @@ from ..functions import links as X
 from ..tables import materialize
 from . import elimination as E
 from . import graph as G
+from . import groups as C
 from .links import triangles, with_pair
 from .paths import with_rank
 
@@ -216,10 +217,13 @@ def _start(edges: DataFrame, tris: DataFrame, fixed: DataFrame, core: DataFrame)
     return core.join(values, "var").select("var", "bit"), hard.select("u", "v")
 
 
-def solve(bundles: DataFrame, max_width: int = 14, orientations: DataFrame | None = None, directions: DataFrame | None = None) -> DataFrame:
+def solve(bundles: DataFrame, max_width: int = 14, orientations: DataFrame | None = None, directions: DataFrame | None = None, max_bundles: int = 2000) -> DataFrame:
     """One row per bundle: u, v, w0..w3, orien_a, orien_b, state, X, Y, weight, status, most, held.
 
-    X is 1 for u to v, Y for v to u.  Components are solved exactly, of whatever
+    X is 1 for u to v, Y for v to u.  Components of at most ``max_bundles``
+    bundles are solved exactly inside tasks, many a task
+    (:func:`.groups.solve_components`), unless they are too wide for that.  The
+    others are solved exactly, of whatever
     size, as long as elimination never has to look at more than ``max_width``
     variables besides the one that it takes (:func:`.elimination.eliminate`);
     trees need 1, and cut contigs part what hangs on them.  What is left of wider
@@ -237,11 +241,40 @@ def solve(bundles: DataFrame, max_width: int = 14, orientations: DataFrame | Non
     meet others in a core, could not be kept.
     """
     edges = materialize(canonical_bundles(bundles), "solve-edges")
-    tris = materialize(triangles(edges.select(F.col("u").alias("ctg_a_idx"), F.col("v").alias("ctg_b_idx"))), "solve-triangles")
-    fixed, pairs = _fixed(edges, orientations, directions)
     forced = orientations is not None
+    pairs = edges.select("u", "v", F.lit(0).alias("bit")).limit(0)
+    told = edges.withColumns({c: F.lit(None).cast("int") for c in ("told_a", "told_b", "told_way")})
     if forced:
+        fixed, pairs = _fixed(edges, orientations, directions)
         fixed = materialize(fixed, "solve-fixed")
+        known = orientations.where("orien is not null").groupBy("node").agg(F.max("orien").cast("int").alias("bit"))
+        a, b = (known.select(F.col("node").alias(x), F.col("bit").alias(f"told_{y}")) for x, y in (("u", "a"), ("v", "b")))
+        told = edges.join(a, "u", "left").join(b, "v", "left").join(pairs.withColumnRenamed("bit", "told_way"), ["u", "v"], "left")
+    roots = G.connected_components(edges.select("u", "v"), "solve-components")
+    done, left = C.solve_components(told, roots, C.orientations, max_bundles, "solve-done")
+    columns = ["u", "v", "w0", "w1", "w2", "w3", "orien_a", "orien_b", "state"]
+    full = done.where("orien_a is not null").select(*columns, F.lit("exact").alias("status"), F.col("told_way").alias("want"))
+    if left:
+        wide = materialize(done.where("orien_a is null").select(edges.columns), "solve-wide")
+        rest = _solve_wide(wide, max_width, fixed if forced else None, pairs, directions is not None)
+        full = full.unionByName(rest.select(full.columns))
+    way = X.direction("state", "orien_a", "orien_b")
+    return full.select(
+        *columns, F.when(way == 1, 1).otherwise(0).alias("X"), F.when(way == -1, 1).otherwise(0).alias("Y"),
+        _weight(F.col("state")).alias("weight"), "status", F.greatest("w0", "w1", "w2", "w3").alias("most"), F.coalesce((way == 1) == (F.col("want") == 0), F.lit(True)).alias("held"),
+    )
+
+
+def _solve_wide(edges: DataFrame, max_width: int, fixed: DataFrame | None, pairs: DataFrame, check: bool) -> DataFrame:
+    """Components of ``edges`` solved by rounds of joins: u, v, w0..w3, orien_a, orien_b, state, status, kept, want."""
+    tris = materialize(triangles(edges.select(F.col("u").alias("ctg_a_idx"), F.col("v").alias("ctg_b_idx"))), "solve-triangles")
+    forced = fixed is not None
+    if forced:
+        mine = edges.select(F.explode(F.array(_orientation("u"), _orientation("v"), _direction("u", "v"))).alias("var")).distinct()
+        fixed = fixed.join(mine, "var", "left_semi")
+    else:
+        fixed = pairs.select(_direction("u", "v").alias("var"), "bit")
+    pairs = pairs.join(edges.select("u", "v"), ["u", "v"], "left_semi")
     named = materialize(_free(edges, triangle_edges(tris).union(pairs.select("u", "v"))), "solve-named")
     problem = tables(named, tris)
     found = E.eliminate(E.condition(problem, fixed) if forced else problem, max_width)
@@ -264,14 +297,10 @@ def solve(bundles: DataFrame, max_width: int = 14, orientations: DataFrame | Non
         "u", "v", "w0", "w1", "w2", "w3", F.col("is_ou").alias("orien_a"), F.col("is_ov").alias("orien_b"), state.cast("int").alias("state"),
         F.coalesce("status", F.lit("exact")).alias("status"), F.col("want").isNotNull().alias("kept"), "want",
     )
-    if forced and directions is not None:
+    if check:
         # Given directions may run in a circle by themselves, or with the core.
         full = break_circles(full, tris)
-    way = X.direction("state", "orien_a", "orien_b")
-    return full.select(
-        "u", "v", "w0", "w1", "w2", "w3", "orien_a", "orien_b", "state", F.when(way == 1, 1).otherwise(0).alias("X"), F.when(way == -1, 1).otherwise(0).alias("Y"),
-        _weight(F.col("state")).alias("weight"), "status", F.greatest("w0", "w1", "w2", "w3").alias("most"), F.coalesce((way == 1) == (F.col("want") == 0), F.lit(True)).alias("held"),
-    )
+    return full
 
 
 def _used(u: str, v: str) -> F.Column:
@@ -318,7 +347,7 @@ def path_tables(edges: DataFrame, tris: DataFrame) -> tuple[DataFrame, DataFrame
     return out, names.select("var", "node").distinct()
 
 
-def solve_paths(bundles: DataFrame, max_width: int = 14) -> DataFrame:
+def solve_paths(bundles: DataFrame, max_width: int = 14, max_bundles: int = 2000) -> DataFrame:
     """One row per bundle, as :func:`solve` gives it, where bundles may stay unused and no contig has more than one in or out.
 
     ``state`` is null, and X, Y and ``weight`` are 0, for an unused bundle.
@@ -326,6 +355,24 @@ def solve_paths(bundles: DataFrame, max_width: int = 14) -> DataFrame:
     the core stays unused, and all the rest is best for that.
     """
     edges = materialize(canonical_bundles(bundles), "solve-edges")
+    roots = G.connected_components(edges.select("u", "v"), "solve-components")
+    told = edges.withColumns({c: F.lit(None).cast("int") for c in ("told_a", "told_b", "told_way")})
+    done, left = C.solve_components(told, roots, C.paths, max_bundles, "solve-done")
+    ahead = 2 * F.col("orien_a") + F.col("orien_b")
+    state = F.when(F.col("state") >= 0, F.col("state"))
+    forward = state == ahead
+    full = done.where("orien_a is not null").select(
+        "u", "v", "w0", "w1", "w2", "w3", "orien_a", "orien_b", state.alias("state"), F.coalesce(forward.cast("int"), F.lit(0)).alias("X"), F.coalesce((~forward).cast("int"), F.lit(0)).alias("Y"),
+        F.coalesce(_weight(state), F.lit(0.0)).alias("weight"), F.lit("exact").alias("status"),
+    )
+    if not left:
+        return full
+    rest = _solve_wide_paths(materialize(done.where("orien_a is null").select(edges.columns), "solve-wide"), max_width)
+    return full.unionByName(rest.select(full.columns))
+
+
+def _solve_wide_paths(edges: DataFrame, max_width: int) -> DataFrame:
+    """Components of ``edges`` solved by rounds of joins, as :func:`solve_paths` gives them."""
     tris = materialize(triangles(edges.select(F.col("u").alias("ctg_a_idx"), F.col("v").alias("ctg_b_idx"))), "solve-triangles")
     problem, names = path_tables(edges, tris)
     found = E.eliminate(problem, max_width)
