@@ -67,9 +67,15 @@ def induced_digraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node_idx").alias("src")).distinct(), "src", "left_semi").select(edges.columns)
 
 
-def links_per_pair(links: DataFrame) -> DataFrame:
-    """(lo, hi, n_links)."""
-    return with_pair(links).groupBy(PAIR).agg(F.count("*").alias("n_links"))
+def dealt_by_pair(links: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``links`` with (lo, hi), all of a pair in one of so many ``tasks``, so that counts by pair need no table in front of the shuffle."""
+    return with_pair(links).repartition(tasks, *PAIR) if tasks else with_pair(links)
+
+
+def links_per_pair(links: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(lo, hi, n_links), in so many ``tasks`` if given: most pairs have one link, so a task's table of pairs is as long as its links."""
+    pairs = dealt_by_pair(links.select("ctg_a_idx", "ctg_b_idx"), tasks)
+    return pairs.groupBy(PAIR).agg(F.count("*").alias("n_links"))
 
 
 def bundle_links(links: DataFrame, min_links: int) -> DataFrame:
@@ -96,9 +102,9 @@ def mean_gaps(links: DataFrame, contigs: DataFrame, bundles: DataFrame, agp_gaps
     return out.join(known, PAIR, "left").select(*PAIR, F.coalesce("mean", "known").cast("double").alias("gap"))
 
 
-def bundle_size_histogram(links: DataFrame, truth: DataFrame) -> DataFrame:
+def bundle_size_histogram(links: DataFrame, truth: DataFrame, tasks: int | None = None) -> DataFrame:
     """(n_links, tp, fp): pairs by number of links, split by whether ``truth`` (lo, hi) has them; dense from 0 to the largest."""
-    sizes = links_per_pair(links).join(truth.select(*PAIR, F.lit(True).alias("true")).distinct(), PAIR, "left")
+    sizes = links_per_pair(links, tasks).join(truth.select(*PAIR, F.lit(True).alias("true")).distinct(), PAIR, "left")
     counted = sizes.groupBy("n_links").agg(F.count_if("true").alias("tp"), F.count_if(F.col("true").isNull()).alias("fp"))
     dense = sizes.agg(F.max("n_links").alias("most")).select(F.explode(F.sequence(F.lit(0).cast("long"), "most")).alias("n_links"))
     return dense.join(counted, "n_links", "left").select("n_links", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"))

@@ -85,7 +85,29 @@ def views(part: str, lineitem: str) -> dict[str, str]:
     }
 
 
+#: Bytes of Parquet of line items for each task of links; a line item takes about 18, and makes two links.
+_TASK_BYTES = 4 << 20
+
+
+def link_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks work on links takes, so that a task's rows stay as many however large the table of line items is."""
+    path = f"{sf_dir}/lineitem.parquet"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return max(spark.sparkContext.defaultParallelism, -(-size // _TASK_BYTES))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views as a DataFrame."""
+    """One of the views as a DataFrame.
+
+    Links come from line items dealt by order into as many tasks as their size
+    asks for: a line item is small in a shuffle and becomes several links, so
+    that what is read says little about what a task holds.
+    """
     table = lambda t: f"parquet.`{sf_dir}/{t}.parquet`"
-    return spark.sql(views(table("part"), table("lineitem"))[name])
+    lineitem = table("lineitem")
+    if name in ("contigs", "path_ref", "path_test"):
+        return spark.sql(views(table("part"), lineitem)[name])
+    tasks = link_tasks(spark, sf_dir)
+    dealt = f"(SELECT /*+ REPARTITION({tasks}, l_orderkey) */ l_orderkey, l_partkey, l_quantity, l_linestatus, l_returnflag FROM {lineitem})"
+    return spark.sql(views(table("part"), dealt)[name])

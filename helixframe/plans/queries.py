@@ -20,7 +20,7 @@ from ..operators import solve as P
 from ..sources import text as T
 from ..tables import scratch_folder
 from . import exact_queries, format_queries, region_queries, solution_queries
-from .fixtures import view
+from .fixtures import link_tasks, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,7 +45,8 @@ def _agp(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pair_class(spark, sf_dir):
     """Links per pair and orientation class."""
     links = view(spark, sf_dir, "links").withColumn("class", X.orientation_class())
-    return L.with_pair(links).groupBy("lo", "hi", "class").agg(F.count("*").alias("n"))
+    pairs = L.dealt_by_pair(links.select("ctg_a_idx", "ctg_b_idx", "class"), link_tasks(spark, sf_dir))
+    return pairs.groupBy("lo", "hi", "class").agg(F.count("*").alias("n"))
 
 
 @_query
@@ -85,14 +86,14 @@ def gap_avg_fallback(spark, sf_dir):
 @_query
 def links_per_pair(spark, sf_dir):
     """Links of each pair."""
-    return L.links_per_pair(view(spark, sf_dir, "links"))
+    return L.links_per_pair(view(spark, sf_dir, "links"), link_tasks(spark, sf_dir))
 
 
 @_query
 def tp_fp_hist(spark, sf_dir):
     """Pairs by number of links, split by whether they are bundles."""
     truth = L.with_pair(view(spark, sf_dir, "bundles2")).select("lo", "hi")
-    return L.bundle_size_histogram(view(spark, sf_dir, "links"), truth)
+    return L.bundle_size_histogram(view(spark, sf_dir, "links"), truth, link_tasks(spark, sf_dir))
 
 
 @_query
