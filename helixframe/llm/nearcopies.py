@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import star_components
 from ..tables import materialize
 from .simhash import fold, near_links, shingle_hashes
 
@@ -137,7 +137,7 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", words_in_
     compared = materialize(_measured_pairs(star, sets, percent), "near-compared")
     links = compared.where("near").select("u", "v")
     placed = near_first.join(compared.select("u", "v", "both"), ["u", "v"], "left").select("key", "node", "n", F.coalesce("both", "n").alias("shared"))
-    grouped = placed.join(connected_components(links, "near-star").withColumnRenamed("root", "r"), "node", "left")
+    grouped = placed.join(star_components(links, "near-star").withColumnRenamed("root", "r"), "node", "left")
     grouped = materialize(grouped.select("key", "node", "n", "shared", F.coalesce("r", "node").alias("root")), "near-grouped")
     split = grouped.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     open_ = grouped.join(split, "key", "left_semi").join(nodes.select("node", F.concat("keys", F.array("print")).alias("keys"), "sketch"), "node")
@@ -153,7 +153,7 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", words_in_
     measured = materialize(_measured_pairs(materialize(rest, "near-rest"), sets, percent), "near-measured")
     links = links.union(measured.where("near").select("u", "v"))
 
-    roots = connected_components(links, "near-components")
+    roots = star_components(links, "near-components")
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     leaders = named.groupBy("root").agg(F.min("least").alias("leader"))
     return each.select("row", "node").join(named.join(leaders, "root").select("node", "leader"), "node").select("row", "leader")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import star_components
 from ..tables import materialize
 
 #: The binary Golay code: length 23, 12 information bits, every word within 3 bits of exactly one code word.
@@ -174,7 +174,7 @@ def near_duplicates(
     """
     each = materialize(fingerprints(docs, id_col, text_col, words_in_shingle), "simhash")
     nodes = materialize(each.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = connected_components(near_links(nodes, threshold), "simhash-links")
+    roots = star_components(near_links(nodes, threshold), "simhash-links")
     grouped = nodes.join(roots, nodes.print == roots.node, "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     best = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(best, "root").select("print", "component_id")

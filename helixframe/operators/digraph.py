@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import materialize, materialize_count, supersede
+from . import groups
+from .graph import WHOLE, connected_components
 from .paths import with_rank
 
 
@@ -30,9 +32,11 @@ def _spread(edges: DataFrame, state: DataFrame, better) -> DataFrame:
             return state.select("node", "value")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(node, component) of the nodes on cycles: the strongly connected components of two or more nodes, by their greatest one.
 
+    Parts of at most ``whole`` edges are worked on inside tasks, many a task
+    (:func:`.groups.strong_labels`); larger ones by passes over them all.
     In every pass the nodes without an edge in or without one out go, then each
     node takes the greatest node that reaches it; within one such colour, what
     reaches the node of that number is its component.  Edges between colours and
@@ -40,7 +44,16 @@ def strong_components(edges: DataFrame) -> DataFrame:
     the longest of the shortest ways inside a colour, and all components advance
     at once.
     """
-    live, left = materialize_count(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
+    kind = edges.schema["src"].dataType.simpleString()
+    edges = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
+    parts = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), "scc-parts")
+    done, left = groups.label_edges(edges, parts, "src", groups.strong_labels, kind, whole, "scc-done")
+    small = done.where("label is not null").select(F.col("src").alias("node"), F.col("label").alias("component")).distinct()
+    return small.union(_strong_rounds(done.where(F.col("m") > whole).select("src", "dst"))) if left else small
+
+
+def _strong_rounds(edges: DataFrame) -> DataFrame:
+    live, left = materialize_count(edges, "scc-edges")
     found = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     while left:
         for _ in range(2):
@@ -68,6 +81,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def cyclic_edges(edges: DataFrame) -> DataFrame:
     """``edges`` that lie on a cycle, with their ``component``."""
+    edges = materialize(edges, "scc-all")
     found = materialize(strong_components(edges), "scc")
     a, b = (found.select(F.col("node").alias(x), F.col("component").alias(y)) for x, y in (("src", "component"), ("dst", "other")))
     return edges.where("src <> dst").join(a, "src").join(b, "dst").where("component = other").select(*edges.columns, "component")
@@ -75,21 +89,31 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
 
 def break_components(edges: DataFrame) -> DataFrame:
     """``edges`` without those that leave a node on a cycle."""
+    edges = materialize(edges, "scc-all")
     return edges.join(strong_components(edges).select(F.col("node").alias("src")), "src", "left_anti").select(edges.columns)
 
 
-def lightest_of_cycles(edges: DataFrame) -> DataFrame:
+def lightest_of_cycles(edges: DataFrame, whole: int = WHOLE) -> DataFrame:
     """(src, dst, weight) of the edges (src, dst, weight) that go if the lightest one on a cycle goes until there are no cycles; of equals the smallest (src, dst).
 
     An edge goes if it is the lightest of some cycle: lighter ones that stay are
     on none.  So with edges added from the heaviest on, it goes if its ends are
-    in one strongly connected component as soon as it is there.  When ends come
+    in one strongly connected component as soon as it is there.  In components
+    of at most ``whole`` edges, edges are added one by one inside tasks, many
+    components a task (:func:`.groups.lightest_labels`).  In larger ones, when ends come
     together is found for all edges at once by halving: those together halfway
     look in the first half, the others in the second, with the components of the
     first as nodes.  That takes one search for components for every bit of the
     number of edges on cycles, however many have to go.
     """
-    on = cyclic_edges(edges.select("src", "dst", "weight").where("src <> dst"))
+    on = materialize(cyclic_edges(edges.select("src", "dst", "weight").where("src <> dst")), "cycle-edges")
+    found = on.select(F.col("src").alias("node"), F.col("component").alias("root")).distinct()
+    done, left = groups.label_edges(on.select("src", "dst", "weight"), found, "src", groups.lightest_labels, "int", whole, "cycle-done")
+    small = done.where("label = 1").select("src", "dst", "weight")
+    return small.union(_lightest_rounds(done.where(F.col("m") > whole).select("src", "dst", "weight"))) if left else small
+
+
+def _lightest_rounds(on: DataFrame) -> DataFrame:
     kind = on.schema["src"].dataType
     ranked = with_rank(on.withColumns({"w": -F.col("weight"), "s": -F.col("src"), "d": -F.col("dst")}), ["w", "s", "d"])
     text = lambda c: F.col(c).cast("string")

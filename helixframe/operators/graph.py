@@ -8,14 +8,72 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import materialize, materialize_count, supersede
+from . import groups
+
+#: Edges of a component up to which it is worked on whole, many a task; larger ones go through rounds of joins.
+WHOLE = 2000
+#: Edges that a task puts together at a time.
+_CHUNK = 1 << 18
+
+
+def _chunk_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the smallest node that each of them reaches over these edges."""
+    codes, names = pd.factorize(np.concatenate([u, v]), sort=True)
+    a, b = codes[: len(u)], codes[len(u) :]
+    root = np.arange(len(names))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return names, names[root]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _stars(batches):
+    """Edges (u, v) put together a chunk at a time; a node has as many roots as it is in chunks."""
+    held, n = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            n += len(batch)
+        if n >= _CHUNK or (batch is None and n):
+            node, root = _chunk_roots(*(np.concatenate([h[c].to_numpy() for h in held]) for c in "uv"))
+            yield pd.DataFrame({"node": node, "root": root})
+            held, n = [], 0
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(node, root) for edges (u, v) of any direction; root is the smallest id reachable.
+    """(node, root) for edges (u, v) of any direction, ids being numbers or texts; root is the smallest id reachable.
+
+    Edges go to tasks by ranges of their ends, and a task puts together what it
+    has, a bounded chunk at a time.  Only where a node is in several chunks do
+    their roots still have to meet, in rounds (:func:`star_components`), so
+    graphs whose neighbours have neighbouring ids take no or few rounds.
+    Nodes without an edge to another do not appear.
+    """
+    kind = edges.schema["u"].dataType.simpleString()
+    edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), label)
+    dealt = edges.repartitionByRange("u", "v").sortWithinPartitions("u", "v")
+    stars = materialize(dealt.mapInPandas(_stars, f"node {kind}, root {kind}"), label)
+    # Most nodes have one root; of the others, all roots lead to the smallest.
+    least = stars.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("node", "least")
+    links, n = materialize_count(stars.join(least, "node").where("root > least").select(F.col("root").alias("u"), F.col("least").alias("v")).distinct(), label)
+    if not n:
+        return supersede(edges, stars).distinct()
+    joined = star_components(links, label).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    return supersede(edges, stars).join(joined, "root", "left").select("node", F.coalesce("whole", "root").alias("root")).distinct()
+
+
+def star_components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """(node, root) for edges (u, v) of any direction and orderable ids; root is the smallest id reachable.
 
     Alternating large-star and small-star rounds: each round is grouped minima
     (combined before the shuffle) joined back to the edges, so a hub is never
@@ -248,8 +306,24 @@ def subtree_extremes(forest: DataFrame, values: DataFrame) -> DataFrame:
     return asked.join(table, ["root", "k", "block"]).groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def tree_orders(tree: DataFrame) -> DataFrame:
-    """(node, parent, root, pre, post): ranks from 0 in preorder and postorder of rooted trees of edges (src, dst), parent to child; children in ascending order."""
+def tree_orders(tree: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """(node, parent, root, pre, post): ranks from 0 in preorder and postorder of rooted trees of edges (src, dst), parent to child; children in ascending order.
+
+    Trees of at most ``whole`` edges are walked inside tasks, many a task; larger
+    ones by Euler tours (:func:`euler_tour`).
+    """
+    kind = tree.schema["src"].dataType.simpleString()
+    tree = materialize(tree.select("src", "dst"), "order-trees")
+    found = connected_components(tree.select(F.col("src").alias("u"), F.col("dst").alias("v")), "order-parts")
+    done, left = groups.label_edges(tree, found, "src", groups.order_labels, f"struct<root: {kind}, pre: bigint, post: bigint>", whole, "orders")
+    small = done.where(F.col("m") <= whole)
+    below = small.select(F.col("dst").alias("node"), F.col("src").alias("parent"), "label.root", "label.pre", "label.post")
+    tops = small.groupBy(F.col("label.root").alias("node")).agg(F.first("m").alias("post"))
+    out = below.union(tops.select("node", F.lit(None).cast(kind), "node", F.lit(0).cast("long"), "post"))
+    return out.union(_order_rounds(materialize(done.where(F.col("m") > whole).select("src", "dst"), "order-trees"))) if left else out
+
+
+def _order_rounds(tree: DataFrame) -> DataFrame:
     roots = tree.select(F.col("src").alias("node")).join(tree.select(F.col("dst").alias("node")), "node", "left_anti").distinct().withColumn("root", F.col("node"))
     tour = euler_tour(tree.select(F.col("src").alias("u"), F.col("dst").alias("v")), roots, rooted=True)
     joined = tour.join(tree_depth(tour), "node")
@@ -275,6 +349,7 @@ def long_paths(tree: DataFrame) -> DataFrame:
     The longest path from the root, then the longest in what is left, and so on;
     of equal depths the smaller child.
     """
+    tree = materialize(tree.select("src", "dst"), "path-trees")
     roots = tree.select(F.col("src").alias("node")).join(tree.select(F.col("dst").alias("node")), "node", "left_anti").distinct().withColumn("root", F.col("node"))
     tour = euler_tour(tree.select(F.col("src").alias("u"), F.col("dst").alias("v")), roots, rooted=True)
     depth = materialize(tree_depth(tour), "path-depth")
@@ -283,16 +358,28 @@ def long_paths(tree: DataFrame) -> DataFrame:
     return best.select("src", "dst")
 
 
-def blocks(edges: DataFrame, forest: DataFrame | None = None) -> DataFrame:
+def blocks(edges: DataFrame, forest: DataFrame | None = None, whole: int = WHOLE) -> DataFrame:
     """(u, v, block): the biconnected component of each edge u < v; block is the smallest tree node in it besides its top.
 
-    Works on all components at once: a spanning tree of each with its Euler
+    Components of at most ``whole`` edges are searched inside tasks, many a task
+    (:func:`.groups.block_labels`).  The others are worked on all at once: a
+    spanning tree of each with its Euler
     tour, the first and last places that a subtree reaches over other edges,
     then connected components of tree edges that must lie on one cycle.  Rounds
-    follow the logarithm of the number of nodes, and no component is gathered
-    anywhere.  ``forest`` is the :func:`rooted_forest` of the edges, if known.
+    follow the logarithm of the number of nodes, and no such component is gathered
+    anywhere.  With ``forest``, the :func:`rooted_forest` of the edges, all go that way.
     """
     edges = materialize(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "block-edges")
+    if forest is not None:
+        return _block_rounds(edges, forest)
+    done, left = groups.label_edges(edges, connected_components(edges, "block-components"), "u", groups.block_labels, edges.schema["u"].dataType.simpleString(), whole, "blocks")
+    small = done.where(F.col("m") <= whole).select("u", "v", F.col("label").alias("block"))
+    if not left:
+        return small
+    return small.union(_block_rounds(materialize(done.where(F.col("m") > whole).select("u", "v"), "block-edges"), None))
+
+
+def _block_rounds(edges: DataFrame, forest: DataFrame | None) -> DataFrame:
     info = rooted_forest(edges) if forest is None else forest
     short = info.select("node", "parent", "first", "last")
     a, b = (short.select(*(F.col(c).alias(f"{c}_{x}") for c in short.columns)) for x in "uv")
@@ -480,6 +567,7 @@ def contract_tree(tree: DataFrame, sizes: DataFrame, cutoff: int) -> DataFrame:
     both their ends are contracted at once.  ``merged`` is the smallest node,
     ``size`` counts shared members as often as they come.
     """
+    tree = materialize(tree.select("a", "b"), "contract-tree")
     state = materialize(sizes.select("node", F.col("node").alias("merged"), F.col("size").cast("long").alias("size")), "contract")
     while True:
         name = lambda x: state.select(F.col("node").alias(x), F.col("merged").alias(f"m{x}"), F.col("size").alias(f"s{x}"))

@@ -8,7 +8,7 @@ from math import prod
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import materialize_count
@@ -180,6 +180,148 @@ def paths(u: np.ndarray, v: np.ndarray, weights: np.ndarray, told: np.ndarray) -
 _GIVEN = ["told_a", "told_b", "told_way"]
 
 
+def _whole(batches, most: int):
+    """Sorted rows of components (root, m, ...) with none cut in two, but for those of more than ``most`` rows."""
+    kept = None  # the last component of a batch may go on in the next one; of a larger one, no more than a batch is held
+    for batch in batches:
+        kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+        root = kept["root"].to_numpy()
+        last = np.flatnonzero(root[1:] != root[:-1])
+        if not len(last):
+            if not len(kept) or kept["m"].iloc[0] <= most:
+                continue
+            done, kept = kept, None
+        else:
+            done, kept = kept.iloc[: last[-1] + 1], kept.iloc[last[-1] + 1 :].reset_index(drop=True)
+        yield done
+    if kept is not None and len(kept):
+        yield kept
+
+
+def label_edges(edges: DataFrame, roots: DataFrame, end: str, solver, kind: str, most: int, label: str) -> tuple[DataFrame, int]:
+    """``edges`` with ``root``, the number ``m`` of edges in the component (``roots``: node, root; ``end`` is the column of a node) and a ``label`` of type ``kind``; and how many have none.
+
+    ``solver`` takes the edges of one component as a list of rows in ascending
+    order and gives a label for each.  In components of more than ``most``
+    edges labels are null.
+    """
+    columns = edges.columns
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema), f"root {roots.schema['root'].dataType.simpleString()}", "m bigint", f"label {kind}"])
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        root, m = rows["root"].to_numpy(), rows["m"].to_numpy()
+        cuts = [0, *(np.flatnonzero(root[1:] != root[:-1]) + 1).tolist(), len(rows)]
+        values = list(zip(*(rows[c].tolist() for c in columns)))
+        found = []
+        for a, b in zip(cuts, cuts[1:]):
+            found += solver(values[a:b]) if m[a] <= most else [None] * (b - a)
+        return rows.assign(label=pd.Series(found, dtype=object, index=rows.index))
+
+    tasks = 4 * edges.sparkSession.sparkContext.defaultParallelism
+    order = Window.partitionBy("root").orderBy(*columns)
+    named = edges.join(roots.select(F.col("node").alias(end), "root"), end).select(*columns, "root").repartition(tasks, "root")
+    sized = named.withColumn("m", F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    run = lambda batches: map(answer, _whole(batches, most))
+    return materialize_count(sized.mapInPandas(run, schema), label, F.count_if(F.col("m") > most))
+
+
+def block_labels(edges: list[tuple]) -> list:
+    """Of a connected graph of edges (u, v): the biconnected component of each, by the smallest node in it besides its top in a search from the smallest node."""
+    around = defaultdict(list)
+    for i, (u, v) in enumerate(edges):
+        around[u].append((v, i))
+        around[v].append((u, i))
+    labels: list = [None] * len(edges)
+    start = min(around)
+    number, low, seen, open_ = {start: 0}, {start: 0}, set(), []
+    way = [(start, iter(around[start]), -1)]
+    while way:
+        at, more, by = way[-1]
+        for to, i in more:
+            if i in seen:
+                continue
+            seen.add(i)
+            open_.append(i)
+            if to not in number:
+                number[to] = low[to] = len(number)
+                way.append((to, iter(around[to]), i))
+                break
+            low[at] = min(low[at], number[to])
+        else:
+            way.pop()
+            if not way:
+                break
+            top = way[-1][0]
+            low[top] = min(low[top], low[at])
+            if low[at] >= number[top]:
+                first = open_.index(by)
+                block, open_ = open_[first:], open_[:first]
+                name = min(x for i in block for x in edges[i] if x != top)
+                for i in block:
+                    labels[i] = name
+    return labels
+
+
+class Reach:
+    """Which nodes lead to which, as sets of bits, while edges are added."""
+
+    def __init__(self, edges: list[tuple]):
+        self.nodes = sorted({x for e in edges for x in e[:2]})
+        self.place = {x: i for i, x in enumerate(self.nodes)}
+        self.after = [0] * len(self.nodes)
+
+    def add(self, src, dst) -> None:
+        a, b = self.place[src], self.place[dst]
+        new = self.after[b] | 1 << b
+        if new & ~self.after[a]:
+            for i, after in enumerate(self.after):
+                if i == a or after >> a & 1:
+                    self.after[i] = after | new
+
+    def leads(self, src, dst) -> bool:
+        return bool(self.after[self.place[src]] >> self.place[dst] & 1)
+
+
+def strong_labels(edges: list[tuple]) -> list:
+    """Of edges (src, dst): the greatest node of the strongly connected component that both ends are in, None if they are in none."""
+    reach = Reach(edges)
+    for e in edges:
+        reach.add(*e[:2])
+    # What lies on one cycle leads to the same nodes, itself among them.
+    greatest = {after: x for i, (x, after) in enumerate(zip(reach.nodes, reach.after)) if after >> i & 1}
+    return [greatest[reach.after[reach.place[b]]] if reach.leads(b, a) else None for a, b, *_ in edges]
+
+
+def lightest_labels(edges: list[tuple]) -> list:
+    """Of edges (src, dst, weight): 1 for the lightest of some cycle, of equals the smallest (src, dst), else 0."""
+    reach = Reach(edges)
+    goes = [0] * len(edges)
+    for i in sorted(range(len(edges)), key=lambda i: (edges[i][2], *edges[i][:2]), reverse=True):
+        src, dst = edges[i][:2]
+        goes[i] = int(reach.leads(dst, src))
+        reach.add(src, dst)
+    return goes
+
+
+def order_labels(edges: list[tuple]) -> list[dict]:
+    """Of a rooted tree of edges (src, dst), parent to child: its root and the ranks of dst in preorder and postorder; children in ascending order."""
+    below = defaultdict(list)
+    for a, b in edges:
+        below[a].append(b)
+    root = (set(below) - {b for _, b in edges}).pop()
+    pre, post, way = {root: 0}, {}, [(root, iter(sorted(below[root])))]
+    while way:
+        at, more = way[-1]
+        child = next(more, None)
+        if child is None:
+            post[at] = len(post)
+            way.pop()
+        else:
+            pre[child] = len(pre)
+            way.append((child, iter(sorted(below.get(child, ())))))
+    return [{"root": root, "pre": pre[b], "post": post[b]} for _, b in edges]
+
+
 def solve_components(edges: DataFrame, roots: DataFrame, solver, max_bundles: int, label: str) -> tuple[DataFrame, int]:
     """``edges`` (u, v, w0..w3, told_a, told_b, told_way) with orien_a, orien_b and state as ``solver`` finds them, one component (``roots``: node, root) at a time; and how many have none.
 
@@ -194,20 +336,7 @@ def solve_components(edges: DataFrame, roots: DataFrame, solver, max_bundles: in
     sized = named.join(sizes, "root").select("root", "m", *columns[:-3])
 
     def run(batches):
-        kept = None  # the last component of a batch may go on in the next one; of a larger one, no more than a batch is held
-        for batch in batches:
-            kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            root = kept["root"].to_numpy()
-            last = np.flatnonzero(root[1:] != root[:-1])
-            if not len(last):
-                if kept["m"].iloc[0] <= max_bundles:
-                    continue
-                done, kept = kept, None
-            else:
-                done, kept = kept.iloc[: last[-1] + 1], kept.iloc[last[-1] + 1 :].reset_index(drop=True)
-            yield answer(done)
-        if kept is not None and len(kept):
-            yield answer(kept)
+        return map(answer, _whole(batches, max_bundles))
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         root, m, u, v = (rows[c].to_numpy() for c in ("root", "m", "u", "v"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import links as X
 from ..tables import materialize
+from . import groups
 from .graph import connected_components, degrees, match_paths
 
 #: Fixed value: the weight of an edge between special contigs.
@@ -159,24 +159,21 @@ def match_maximum(edges: DataFrame, max_edges: int = 2000) -> DataFrame:
 
     Sources and targets are two sides, so an edge competes with those that share
     its source or its target.  Components of at most ``max_edges`` competing
-    edges are matched exactly, one group each; larger ones are matched by
+    edges are matched exactly inside tasks, many a task; larger ones are matched by
     locally heaviest edges in rounds (:func:`.graph.match_paths`), to at least
     half of the greatest weight.
     """
     edges = materialize(edges.select("src", "dst", "weight").where("src <> dst"), "match-all")
     side = lambda x: F.concat(F.lit(x[0]), F.col(x).cast("string"))
     found = connected_components(edges.select(side("src").alias("u"), side("dst").alias("v")), "match-parts")
-    named = edges.withColumn("node", side("src")).join(found, "node").drop("node")
-    sizes = named.groupBy("root").agg(F.count("*").alias("m"))
-    small = named.join(sizes.where(F.col("m") <= max_edges).select("root"), "root", "left_semi")
-    large = named.join(sizes.where(F.col("m") > max_edges).select("root"), "root", "left_semi")
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["src", "dst"])
-        return part.iloc[best_matching(list(part[["src", "dst", "weight"]].itertuples(index=False, name=None)))][["src", "dst", "weight"]]
+    def chosen(part: list[tuple]) -> list[int]:
+        places = set(best_matching([e[:3] for e in part]))
+        return [int(i in places) for i in range(len(part))]
 
-    exact = small.groupBy("root").applyInPandas(solve, edges.schema)
-    return exact.union(match_paths(large))
+    done, left = groups.label_edges(edges.withColumn("node", side("src")), found, "node", chosen, "int", max_edges, "match-done")
+    exact = done.where("label = 1").select(edges.columns)
+    return exact.union(match_paths(materialize(done.where(F.col("m") > max_edges).select(edges.columns), "match-large"))) if left else exact
 
 
 def branching(edges: DataFrame) -> DataFrame:
