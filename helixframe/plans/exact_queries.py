@@ -128,7 +128,7 @@ def break_scc(spark, sf_dir):
 @_query
 def break_scc_lightest(spark, sf_dir):
     """Edges on cycles that go if the lightest one on a cycle goes, again and again, and how many contigs are on a cycle then: none."""
-    edges = _ways(spark, sf_dir)
+    edges = P.materialize(_ways(spark, sf_dir), "ways")
     gone = P.materialize(R.lightest_of_cycles(edges), "gone").select("src", "dst")
     left = R.strong_components(edges.join(gone, ["src", "dst"], "left_anti"))
     none = F.lit(None).cast("long")
