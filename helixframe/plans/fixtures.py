@@ -55,9 +55,9 @@ FROM (SELECT u, v, orien_a, orien_b, CAST(CASE WHEN orien_a = orien_b THEN CASE
                    WT_A, WT_B, WT_C, WT_D FROM ({bundles})))
 """
 
-#: {order}: what a scaffold's contigs are ordered by; {gap}: the gap before one.
+#: {key}: columns besides, in front; {order}: what a scaffold's contigs are ordered by; {gap}: the gap before one.
 PATHS = """
-SELECT concat('scaf_', CAST(l_orderkey AS STRING)) AS scaf_name, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS BIGINT) AS pos,
+SELECT {key}concat('scaf_', CAST(l_orderkey AS STRING)) AS scaf_name, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {order}) AS BIGINT) AS pos,
        concat('c', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING), '_', CAST(l_partkey AS STRING), '_', CAST(l_suppkey AS STRING)) AS comp_name,
        CAST(100 + l_quantity AS BIGINT) AS size, {gap} AS gap, CAST(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS BIGINT) AS orien
 FROM {lineitem}
@@ -81,7 +81,7 @@ def views(part: str, lineitem: str) -> dict[str, str]:
         "dense_solved": SOLVED.format(bundles=BUNDLES.format(links=dense_links, least=3)),
         "contigs": CONTIGS.format(part=part), "links": links,
         "bundles3": BUNDLES.format(links=links, least=3), "bundles2": BUNDLES.format(links=links, least=2),
-        "path_ref": PATHS.format(lineitem=lineitem, **_TRUE), "path_test": PATHS.format(lineitem=lineitem, **_TEST),
+        "path_ref": PATHS.format(lineitem=lineitem, key="", **_TRUE), "path_test": PATHS.format(lineitem=lineitem, key="", **_TEST),
     }
 
 
@@ -111,3 +111,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tasks = link_tasks(spark, sf_dir)
     dealt = f"(SELECT /*+ REPARTITION({tasks}, l_orderkey) */ l_orderkey, l_partkey, l_quantity, l_linestatus, l_returnflag FROM {lineitem})"
     return spark.sql(views(table("part"), dealt)[name])
+
+
+def keyed_paths(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view of paths with ``scaf_key``, a number for each scaffold, by which its rows are dealt; they are names only after that shuffle."""
+    made = {"path_ref": _TRUE, "path_test": _TEST}[name]
+    needed = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_linestatus, l_shipdate"
+    dealt = f"(SELECT /*+ REPARTITION({link_tasks(spark, sf_dir)}, l_orderkey) */ {needed} FROM parquet.`{sf_dir}/lineitem.parquet`)"
+    return spark.sql(PATHS.format(lineitem=dealt, key="l_orderkey AS scaf_key, ", **made))
+
+
+def solved(spark: SparkSession, bundles: DataFrame) -> DataFrame:
+    """As the views of solutions, from bundles that are there already."""
+    return spark.sql(SOLVED.format(bundles="SELECT * FROM {bundles}"), bundles=bundles)

@@ -12,7 +12,8 @@ from ..operators import graph as G
 from ..operators import links as L
 from ..operators import paths as H
 from ..operators import solve as P
-from .fixtures import view
+from ..tables import materialize
+from .fixtures import solved, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -40,7 +41,9 @@ def _by_text(blocks):
 
 
 def _directed(spark, sf_dir):
-    return H.weighted_pairs(view(spark, sf_dir, "region_solved"), view(spark, sf_dir, "regions"))
+    # Links are joined and counted once, for the solution and its support.
+    regions = materialize(view(spark, sf_dir, "regions"), "regions")
+    return materialize(H.weighted_pairs(solved(spark, regions), regions), "directed")
 
 
 @_query
