@@ -92,7 +92,9 @@ def mean_gaps(links: DataFrame, contigs: DataFrame, bundles: DataFrame, agp_gaps
     in either order; without that, gap is null, and the caller decides.
     """
     wanted = with_pair(bundles).select(PAIR).distinct()
-    each = with_pair(with_widths(valid(links), contigs)).withColumn("gap", X.link_gap(compat=compat))
+    # Most links are of no bundle; only the others need widths.
+    held = with_pair(valid(links)).join(wanted, PAIR, "left_semi")
+    each = with_widths(held, contigs).withColumn("gap", X.link_gap(compat=compat))
     means = each.groupBy(PAIR).agg(F.avg("gap").alias("mean"))
     out = wanted.join(means, PAIR, "left")
     if agp_gaps is None:
@@ -203,25 +205,28 @@ def merge_islands(masks: DataFrame, key: str = "node_idx") -> DataFrame:
     return opened.withColumn("island", F.sum("opens").over(order)).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def read_weights(links: DataFrame, masks: DataFrame, bin_width: int = 1000) -> DataFrame:
-    """(link_id, a_coverage, b_coverage, a_overlap, b_overlap): the unmasked part of each link's reads.
+def read_weights(links: DataFrame, masks: DataFrame, bin_width: int = 1000, key: tuple[str, ...] = ("link_id",), tasks: int | None = None) -> DataFrame:
+    """(link_id, a_coverage, b_coverage, a_overlap, b_overlap): the unmasked part of each link's reads; null for a read without bases, no row if both are.
 
-    ``links`` has a link_id; ``masks``: (node_idx, start, end).  A range join:
-    both sides are cut into bins of positions and meet on (contig, bin); each
-    bin counts only what lies inside it, so nothing is counted twice.  Coverage
-    is always 1.
+    ``links`` has a link_id, or other columns as ``key``; ``masks``: (node_idx,
+    start, end).  A range join: islands lie in bins at least as wide as the
+    longest read, each bin with those of the next one as well, so that a read
+    looks up one bin only and a link stays one row.  Both joins take so many
+    ``tasks`` if given.  Coverage is always 1.
     """
-    bins = F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor((F.col("end") - 1) / bin_width)))
-    islands = merge_islands(masks).select("node_idx", F.col("start").alias("m_start"), F.col("end").alias("m_end"), bins.alias("bin"))
-    ends = F.array(*(F.struct(F.lit(x).alias("read"), F.col(f"ctg_{x}_idx").alias("node_idx"), F.col(f"read_{x}_left_pos").alias("start"), F.col(f"read_{x}_right_pos").alias("end")) for x in "ab"))
-    reads = links.select("link_id", F.inline(ends)).where("start < end")
-    binned = reads.withColumn("bin", bins)
-    low = F.greatest(F.col("start"), F.col("m_start"), F.col("bin") * bin_width)
-    high = F.least(F.col("end"), F.col("m_end"), (F.col("bin") + 1) * bin_width)
-    met = binned.join(islands, ["node_idx", "bin"]).where(high > low)
-    masked = met.groupBy("link_id", "read").agg(F.sum(high - low).alias("masked"))
-    share = reads.join(masked, ["link_id", "read"], "left").select(
-        "link_id", "read", (1.0 - F.coalesce("masked", F.lit(0)) / (F.col("end") - F.col("start"))).alias("overlap")
-    )
-    one = lambda x: F.max(F.when(F.col("read") == x, F.col("overlap"))).alias(f"{x}_overlap")
-    return share.groupBy("link_id").agg(one("a"), one("b")).select("link_id", F.lit(1.0).alias("a_coverage"), F.lit(1.0).alias("b_coverage"), "a_overlap", "b_overlap")
+    length = F.greatest(*(F.col(f"read_{x}_right_pos") - F.col(f"read_{x}_left_pos") for x in "ab"))
+    width = max(bin_width, links.agg(F.max(length)).first()[0] or 0)
+    bin_ = lambda c: F.floor(c / width)
+    islands = merge_islands(masks).select("node_idx", F.struct(F.col("start").alias("m_start"), F.col("end").alias("m_end")).alias("island"))
+    islands = islands.withColumn("bin", F.explode(F.sequence(bin_(F.col("island.m_start")) - 1, bin_(F.col("island.m_end") - 1))))
+    marks = islands.groupBy("node_idx", "bin").agg(F.collect_list("island").alias("islands"))
+    dealt = lambda df, *by: df.repartition(tasks, *by) if tasks else df
+    out = links
+    for x in "ab":
+        node, start, end = (F.col(c) for c in (f"ctg_{x}_idx", f"read_{x}_left_pos", f"read_{x}_right_pos"))
+        inside = lambda total, i: total + F.greatest(F.least(end, i["m_end"]) - F.greatest(start, i["m_start"]), F.lit(0).cast("long"))  # noqa: B023, E731
+        masked = F.coalesce(F.aggregate("islands", F.lit(0).cast("long"), inside), F.lit(0))
+        met = dealt(out.withColumn("bin", bin_(start)), f"ctg_{x}_idx", "bin").join(dealt(marks.withColumnRenamed("node_idx", f"ctg_{x}_idx"), f"ctg_{x}_idx", "bin"), [f"ctg_{x}_idx", "bin"], "left")
+        out = met.withColumn(f"{x}_overlap", F.when(start < end, 1.0 - masked / (end - start))).drop("bin", "islands")
+    out = out.where("a_overlap is not null or b_overlap is not null")
+    return out.select(*key, F.lit(1.0).alias("a_coverage"), F.lit(1.0).alias("b_coverage"), "a_overlap", "b_overlap")

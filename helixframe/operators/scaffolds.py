@@ -12,16 +12,26 @@ from ..tables import materialize
 LEAST_GAP = 7
 
 
+def _by(rows: DataFrame) -> str:
+    """What tells scaffolds apart: ``scaf_key`` where rows have it, and then they are dealt by it already, else their name."""
+    return "scaf_key" if "scaf_key" in rows.columns else "scaf_name"
+
+
 def scaffold_rows(paths: DataFrame) -> DataFrame:
     """Scaffold rows of paths (scaf_name, pos, comp_name, size, gap, orien).
 
+    With a ``scaf_key``, which must be as many values as there are names, rows
+    keep it, and all windows here go by it, so that rows dealt by it stay where
+    they are.
+
     pos counts from 1 and gap is that before the contig, ignored for the first.
     The first contig spans 1 to its size; each further one ends at the running
     sum of gap, size and 2, and starts its size earlier; the gap row before it
     starts one after the last contig.  Sums are doubles and are cut to whole
     numbers.  Windows lie inside a scaffold.
     """
-    order = Window.partitionBy("scaf_name").orderBy("pos")
+    by = _by(paths)
+    order = Window.partitionBy(by).orderBy("pos")
     gap = F.when(F.col("gap") < 0, LEAST_GAP).otherwise(F.col("gap")).cast("double")
     p = paths.withColumn("k", F.row_number().over(order) - 1).withColumn("g", F.when(F.col("k") == 0, 0.0).otherwise(gap))
     step = F.when(F.col("k") == 0, F.col("size")).otherwise(F.col("g") + F.col("size") + 2)
@@ -39,7 +49,7 @@ def scaffold_rows(paths: DataFrame) -> DataFrame:
         F.lit("fragment").alias("comp_name"), F.lit(1).cast("long").alias("comp_start"), long(F.col("g")).alias("comp_stop"), null.alias("comp_orien"), F.lit(0).cast("long").alias("comp_linkage"),
     )
     rows = F.when(F.col("k") == 0, F.array(contig)).otherwise(F.array(before, contig))
-    return p.select("scaf_name", F.inline(rows))
+    return p.select(*dict.fromkeys([by, "scaf_name"]), F.inline(rows))
 
 
 def _neighbours(agp: DataFrame, by_line: bool) -> DataFrame:
@@ -48,7 +58,7 @@ def _neighbours(agp: DataFrame, by_line: bool) -> DataFrame:
     Line numbers meet in equi joins, not in a window over the whole file.
     """
     if not by_line:
-        order = Window.partitionBy("scaf_name").orderBy("scaf_idx")
+        order = Window.partitionBy(_by(agp)).orderBy("scaf_idx")
         return agp.withColumns({"prev": F.lag("comp_name").over(order), "next": F.lead("comp_name").over(order), "prev_type": F.lag("comp_type").over(order), "next_type": F.lead("comp_type").over(order)})
     named = lambda step, n: agp.select((F.col("line_no") + step).alias("line_no"), F.col("comp_name").alias(n), F.col("comp_type").alias(f"{n}_type"))
     return agp.join(named(1, "prev"), "line_no", "left").join(named(-1, "next"), "line_no", "left")
@@ -68,7 +78,7 @@ def scaffold_digraph(agp: DataFrame, by_line: bool = False) -> DataFrame:
 
 def coordinate_gaps(agp: DataFrame) -> DataFrame:
     """(comp_a, comp_b, gap): from the end of each contig to the start of the next on its scaffold."""
-    order = Window.partitionBy("scaf_name").orderBy("scaf_idx")
+    order = Window.partitionBy(_by(agp)).orderBy("scaf_idx")
     contigs = agp.where("comp_type = 'W'")
     pairs = contigs.select(
         F.col("comp_name").alias("comp_a"), F.lead("comp_name").over(order).alias("comp_b"), (F.lead("scaf_start").over(order) - F.col("scaf_stop")).alias("gap")
@@ -78,7 +88,7 @@ def coordinate_gaps(agp: DataFrame) -> DataFrame:
 
 def gap_lengths(agp: DataFrame) -> DataFrame:
     """(comp_a, comp_b, length): length of the gap row between a contig and the next one of its scaffold, two rows on."""
-    order = Window.partitionBy("scaf_name").orderBy("scaf_idx")
+    order = Window.partitionBy(_by(agp)).orderBy("scaf_idx")
     rows = agp.select(
         "comp_type", F.col("comp_name").alias("comp_a"), F.lead("comp_name", 2).over(order).alias("comp_b"), F.lead("comp_type").over(order).alias("between"),
         (F.lead("comp_stop").over(order) - F.lead("comp_start").over(order)).alias("length"),
@@ -92,13 +102,18 @@ def break_scaffolds(agp: DataFrame, good: DataFrame, compat: bool = False) -> Da
     Adds ``piece``, the number of the piece in its scaffold from 0.  ``compat``:
     the rows of the last piece of the last scaffold by name have no scaffold.
     """
-    rows = _neighbours(agp, False).withColumns({"lo": F.least("prev", "next"), "hi": F.greatest("prev", "next")}).drop("prev", "next", "prev_type", "next_type")
-    # Only gap rows have a pair to look up; contig rows all stand between gaps of one name.
-    known = good.select("lo", "hi", F.lit(0).alias("fits")).distinct()
-    gaps = rows.where("comp_type = 'N'").join(known, ["lo", "hi"], "left").select(*agp.columns, F.coalesce("fits", F.lit(1)).alias("bad"))
-    marked = gaps.unionByName(rows.where("comp_type <> 'N'").select(*agp.columns, F.lit(0).alias("bad")))
-    order = Window.partitionBy("scaf_name").orderBy("scaf_idx")
-    cut = marked.withColumn("piece", F.sum("bad").over(order)).where("bad = 0").drop("bad")
+    by = _by(agp)
+    # Only the pairs of gap rows are looked up, and only where the good ones are comes back.
+    gaps = _neighbours(agp, False).where("comp_type = 'N'").select(by, "scaf_idx", F.least("prev", "next").alias("lo"), F.greatest("prev", "next").alias("hi"))
+    fits = gaps.join(good.select("lo", "hi"), ["lo", "hi"], "left_semi").select(by, F.col("scaf_idx").alias("at"))
+    null = {f.name: F.lit(None).cast(f.dataType) for f in agp.schema}
+    told = fits.select(*(F.col(c) if c == by else F.col("at").alias(c) if c == "scaf_idx" else null[c].alias(c) for c in agp.columns), F.lit(True).alias("told"))
+    order = Window.partitionBy(by).orderBy("scaf_idx", F.desc("told"))
+    gap = F.col("comp_type") == "N"
+    # What is told of a gap row comes just before it.
+    marked = agp.withColumn("told", F.lit(False)).unionByName(told).withColumn("fits", F.lag("told").over(order))
+    marked = marked.withColumn("bad", F.when(F.col("told"), 0).otherwise((gap & ~F.coalesce("fits", F.lit(False))).cast("int")))
+    cut = marked.withColumn("piece", F.sum("bad").over(order)).where("bad = 0 and not told").drop("bad", "told", "fits")
     if not compat:
         return cut
     last = cut.agg(F.max(F.struct("scaf_name", "piece")).alias("last"))

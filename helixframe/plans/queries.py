@@ -20,7 +20,7 @@ from ..operators import solve as P
 from ..sources import text as T
 from ..tables import scratch_folder
 from . import exact_queries, format_queries, region_queries, solution_queries
-from .fixtures import link_tasks, view
+from .fixtures import keyed_paths, link_tasks, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +38,7 @@ def _edges(bundles: DataFrame) -> DataFrame:
 
 
 def _agp(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return S.scaffold_rows(view(spark, sf_dir, name))
+    return S.scaffold_rows(keyed_paths(spark, sf_dir, name))
 
 
 @_query
@@ -150,18 +150,20 @@ def transitive_small(spark, sf_dir):
 @_query
 def mask_overlap(spark, sf_dir):
     """Unmasked part of the reads of each link; the masks of a contig are 30 bases around each multiple of 60 and of 75."""
-    contigs = view(spark, sf_dir, "contigs")
-    starts = lambda step: contigs.select("node_idx", F.explode(F.sequence(F.lit(0).cast("long"), "ctg_width", F.lit(step).cast("long"))).alias("start"))
-    masks = starts(60).union(starts(75)).select("node_idx", "start", (F.col("start") + 30 + F.col("node_idx") % 7).alias("end"))
-    links = view(spark, sf_dir, "links").groupBy("ctg_a_idx", "ctg_b_idx", "order_key", "read_a_left_pos", "read_a_right_pos", "read_b_left_pos", "read_b_right_pos").count()
-    links = links.withColumn("link_id", F.concat_ws("_", "ctg_a_idx", "ctg_b_idx", "order_key", "read_a_left_pos", "read_b_left_pos"))
-    return L.read_weights(links, masks, bin_width=64).select("link_id", F.round("a_overlap", 6).alias("a_overlap"), F.round("b_overlap", 6).alias("b_overlap"), "a_coverage", "b_coverage")
+    tasks = link_tasks(spark, sf_dir)
+    contigs = view(spark, sf_dir, "contigs").select("node_idx", "ctg_width").repartition(tasks, "node_idx")
+    step = lambda n: F.sequence(F.lit(0).cast("long"), "ctg_width", F.lit(n).cast("long"))
+    masks = contigs.select("node_idx", F.explode(F.concat(step(60), step(75))).alias("start")).withColumn("end", F.col("start") + 30 + F.col("node_idx") % 7)
+    key = ["ctg_a_idx", "ctg_b_idx", "order_key", "read_a_left_pos", "read_b_left_pos"]
+    links = view(spark, sf_dir, "links").select(*key, "read_a_right_pos", "read_b_right_pos").distinct()
+    weights = L.read_weights(links, masks, bin_width=64, key=key, tasks=tasks)
+    return weights.select(F.concat_ws("_", *key).alias("link_id"), F.round("a_overlap", 6).alias("a_overlap"), F.round("b_overlap", 6).alias("b_overlap"), "a_coverage", "b_coverage")
 
 
 @_query
 def scaffold_coords(spark, sf_dir):
     """Scaffold rows of the reference paths."""
-    return _agp(spark, sf_dir, "path_ref")
+    return _agp(spark, sf_dir, "path_ref").drop("scaf_key")
 
 
 @_query
@@ -342,7 +344,7 @@ def constraint_checks(spark, sf_dir):
 @_query
 def matching(spark, sf_dir):
     """Edges and weight of the greatest matching among edges that compete with one another, and how many such groups have them."""
-    edges = P.materialize(H.weighted_pairs(view(spark, sf_dir, "region_solved"), view(spark, sf_dir, "regions")), "directed")
+    edges = region_queries._directed(spark, sf_dir)
     side = lambda x: F.concat(F.lit(x[0]), F.col(x).cast("string"))
     groups = G.connected_components(edges.select(side("src").alias("u"), side("dst").alias("v")))
     matched = H.match_maximum(edges).withColumn("node", side("src")).join(groups, "node")
@@ -353,18 +355,18 @@ def matching(spark, sf_dir):
 @_query
 def paths(spark, sf_dir):
     """Contigs of each test scaffold in order, from its directed edges."""
-    edges = S.scaffold_digraph(S.scaffold_rows(view(spark, sf_dir, "path_test")))
+    edges = S.scaffold_digraph(_agp(spark, sf_dir, "path_test"))
     return G.order_paths(edges.select("src", "dst"))
 
 
 @_query
 def agp_out(spark, sf_dir):
     """What a file of the scaffolds of all region contigs holds, written and read: contigs, bases in contigs; and what is wrong with it: nothing."""
-    links = view(spark, sf_dir, "region_links")
+    links, regions = view(spark, sf_dir, "region_links"), P.materialize(view(spark, sf_dir, "regions"), "regions")
     nodes = links.select(F.explode(F.array("ctg_a_idx", "ctg_b_idx")).alias("node_idx")).distinct()
     contigs = P.materialize(nodes.select("node_idx", F.concat(F.lit("ctg_"), "node_idx").alias("ctg_name"), (200 + F.col("node_idx") % 51).alias("ctg_width")), "contigs")
     path = f"{scratch_folder(spark)}/agp-{uuid.uuid4().hex}"
-    made = H.with_rank(A.assemble(view(spark, sf_dir, "regions"), links, contigs), ["scaf_name", "scaf_idx"])
+    made = H.with_rank(A.assemble(regions, links, contigs), ["scaf_name", "scaf_idx"])
     T.write_agp(made.withColumnRenamed("rank", "line_no"), path)
     rows = T.read_agp(spark, path)
     w = F.col("comp_type") == "W"
