@@ -37,17 +37,40 @@ def _chunk_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = root[root]
 
 
-def _stars(batches):
-    """Edges (u, v) put together a chunk at a time; a node has as many roots as it is in chunks."""
+def _chunks(batches):
+    """Batches put together to frames of at least ``_CHUNK`` rows, but for the last."""
     held, n = [], 0
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            held.append(batch)
-            n += len(batch)
-        if n >= _CHUNK or (batch is None and n):
-            node, root = _chunk_roots(*(np.concatenate([h[c].to_numpy() for h in held]) for c in "uv"))
-            yield pd.DataFrame({"node": node, "root": root})
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= _CHUNK:
+            yield pd.concat(held, ignore_index=True)
             held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _stars(batches):
+    """Edges (u, v) put together a chunk at a time; a node has as many roots as it is in chunks."""
+    for chunk in _chunks(batches):
+        node, root = _chunk_roots(chunk["u"].to_numpy(), chunk["v"].to_numpy())
+        yield pd.DataFrame({"node": node, "root": root})
+
+
+def _fragments(batches):
+    """(node, head, pos) of edges (src, dst) of paths, followed a chunk at a time; a path has as many heads as it has parts in chunks."""
+    for chunk in _chunks(batches):
+        after = dict(zip(chunk["src"].tolist(), chunk["dst"].tolist()))
+        inner, rows = set(after.values()), []
+        for head in [s for s in after if s not in inner]:
+            at, pos = after.pop(head), 1
+            rows.append((at, head, pos))
+            while at in after:
+                at, pos = after.pop(at), pos + 1
+                rows.append((at, head, pos))
+        if after:
+            raise ValueError("paths must not run in circles")
+        yield pd.DataFrame(rows, columns=["node", "head", "pos"])
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -187,10 +210,32 @@ def break_cycles(edges: DataFrame) -> DataFrame:
 def order_paths(edges: DataFrame) -> DataFrame:
     """(node, path, pos): nodes of disjoint paths, pos from 0; path is its first node.
 
+    Edges go to tasks by ranges of their sources, and a task follows what it has,
+    a bounded chunk at a time.  Only the parts of paths that lie in several
+    chunks are put in order in rounds (:func:`_path_rounds`).  Edges of cycles
+    must be gone.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    edges = materialize(edges.select("src", "dst"), "path-edges")
+    dealt = edges.repartitionByRange("src").sortWithinPartitions("src")
+    parts = supersede(edges, materialize(dealt.mapInPandas(_fragments, f"node {kind}, head {kind}, pos bigint"), "path-parts"))
+    heads = parts.where("pos = 1").select(F.col("head").alias("node"))
+    links, n = materialize_count(parts.join(heads, "node", "left_semi").select(F.col("head").alias("src"), F.col("node").alias("dst"), F.col("pos").alias("steps")), "path-links")
+    if not n:
+        return parts.select("node", F.col("head").alias("path"), "pos").union(heads.select("node", "node", F.lit(0).cast("long")))
+    placed = _path_rounds(links).select(F.col("node").alias("head"), "path", F.col("pos").alias("before"))
+    starts = heads.join(links.select(F.col("dst").alias("node")), "node", "left_anti")
+    whole = parts.join(placed, "head", "left").select("node", F.coalesce("path", "head").alias("path"), (F.col("pos") + F.coalesce("before", F.lit(0))).alias("pos"))
+    return whole.union(starts.select("node", "node", F.lit(0).cast("long")))
+
+
+def _path_rounds(edges: DataFrame) -> DataFrame:
+    """(node, path, pos) of paths with edges (src, dst, steps).
+
     Pointer doubling: after round r every node knows the node 2**r before it, so
-    a path of n nodes takes log2(n) joins.  Edges of cycles must be gone.
+    a path of n nodes takes log2(n) joins.
     """
-    before = edges.select(F.col("dst").alias("node"), F.col("src").alias("jump"), F.lit(1).cast("long").alias("steps"))
+    before = edges.select(F.col("dst").alias("node"), F.col("src").alias("jump"), "steps")
     heads = edges.select(F.col("src").alias("node")).join(edges.select(F.col("dst").alias("node")), "node", "left_anti").distinct()
     at = materialize(before.union(heads.select("node", F.col("node").alias("jump"), F.lit(0).cast("long"))), "paths")
     ended = None

@@ -12,7 +12,7 @@ from ..tables import materialize
 LEAST_GAP = 7
 
 
-def _by(rows: DataFrame) -> str:
+def by_column(rows: DataFrame) -> str:
     """What tells scaffolds apart: ``scaf_key`` where rows have it, and then they are dealt by it already, else their name."""
     return "scaf_key" if "scaf_key" in rows.columns else "scaf_name"
 
@@ -30,7 +30,7 @@ def scaffold_rows(paths: DataFrame) -> DataFrame:
     starts one after the last contig.  Sums are doubles and are cut to whole
     numbers.  Windows lie inside a scaffold.
     """
-    by = _by(paths)
+    by = by_column(paths)
     order = Window.partitionBy(by).orderBy("pos")
     gap = F.when(F.col("gap") < 0, LEAST_GAP).otherwise(F.col("gap")).cast("double")
     p = paths.withColumn("k", F.row_number().over(order) - 1).withColumn("g", F.when(F.col("k") == 0, 0.0).otherwise(gap))
@@ -52,33 +52,38 @@ def scaffold_rows(paths: DataFrame) -> DataFrame:
     return p.select(*dict.fromkeys([by, "scaf_name"]), F.inline(rows))
 
 
-def _neighbours(agp: DataFrame, by_line: bool) -> DataFrame:
+def neighbours(agp: DataFrame, by_line: bool = False) -> DataFrame:
     """Rows with the rows before and after: within the scaffold by index, or by line number wherever the scaffold ends.
 
     Line numbers meet in equi joins, not in a window over the whole file.
     """
     if not by_line:
-        order = Window.partitionBy(_by(agp)).orderBy("scaf_idx")
+        order = Window.partitionBy(by_column(agp)).orderBy("scaf_idx")
         return agp.withColumns({"prev": F.lag("comp_name").over(order), "next": F.lead("comp_name").over(order), "prev_type": F.lag("comp_type").over(order), "next_type": F.lead("comp_type").over(order)})
     named = lambda step, n: agp.select((F.col("line_no") + step).alias("line_no"), F.col("comp_name").alias(n), F.col("comp_type").alias(f"{n}_type"))
     return agp.join(named(1, "prev"), "line_no", "left").join(named(-1, "next"), "line_no", "left")
 
 
-def adjacencies(agp: DataFrame, by_line: bool = False) -> DataFrame:
-    """(lo, hi): different pairs of components on both sides of a gap row; a gap at either end of the file joins nothing."""
-    gaps = _neighbours(agp, by_line).where("comp_type = 'N' and prev is not null and next is not null")
-    return gaps.select(F.least("prev", "next").alias("lo"), F.greatest("prev", "next").alias("hi")).distinct()
+def dealt(df: DataFrame, tasks: int | None, *by: str) -> DataFrame:
+    """``df`` in so many ``tasks`` by some columns, if a number is given."""
+    return df.repartition(tasks, *by) if tasks else df
+
+
+def adjacencies(agp: DataFrame, by_line: bool = False, tasks: int | None = None) -> DataFrame:
+    """(lo, hi): different pairs of components on both sides of a gap row, in so many ``tasks`` if given; a gap at either end of the file joins nothing."""
+    gaps = neighbours(agp, by_line).where("comp_type = 'N' and prev is not null and next is not null")
+    return dealt(gaps.select(F.least("prev", "next").alias("lo"), F.greatest("prev", "next").alias("hi")), tasks, "lo", "hi").distinct()
 
 
 def scaffold_digraph(agp: DataFrame, by_line: bool = False) -> DataFrame:
     """(src, dst, weight): directed neighbours over each gap row with its length on the scaffold."""
-    gaps = _neighbours(agp, by_line).where("comp_type = 'N' and prev is not null and next is not null")
+    gaps = neighbours(agp, by_line).where("comp_type = 'N' and prev is not null and next is not null")
     return gaps.select(F.col("prev").alias("src"), F.col("next").alias("dst"), (F.col("scaf_stop") - F.col("scaf_start")).alias("weight"))
 
 
 def coordinate_gaps(agp: DataFrame) -> DataFrame:
     """(comp_a, comp_b, gap): from the end of each contig to the start of the next on its scaffold."""
-    order = Window.partitionBy(_by(agp)).orderBy("scaf_idx")
+    order = Window.partitionBy(by_column(agp)).orderBy("scaf_idx")
     contigs = agp.where("comp_type = 'W'")
     pairs = contigs.select(
         F.col("comp_name").alias("comp_a"), F.lead("comp_name").over(order).alias("comp_b"), (F.lead("scaf_start").over(order) - F.col("scaf_stop")).alias("gap")
@@ -88,7 +93,7 @@ def coordinate_gaps(agp: DataFrame) -> DataFrame:
 
 def gap_lengths(agp: DataFrame) -> DataFrame:
     """(comp_a, comp_b, length): length of the gap row between a contig and the next one of its scaffold, two rows on."""
-    order = Window.partitionBy(_by(agp)).orderBy("scaf_idx")
+    order = Window.partitionBy(by_column(agp)).orderBy("scaf_idx")
     rows = agp.select(
         "comp_type", F.col("comp_name").alias("comp_a"), F.lead("comp_name", 2).over(order).alias("comp_b"), F.lead("comp_type").over(order).alias("between"),
         (F.lead("comp_stop").over(order) - F.lead("comp_start").over(order)).alias("length"),
@@ -96,22 +101,36 @@ def gap_lengths(agp: DataFrame) -> DataFrame:
     return rows.where("comp_type = 'W' and comp_b is not null and between = 'N'").select("comp_a", "comp_b", "length")
 
 
-def break_scaffolds(agp: DataFrame, good: DataFrame, compat: bool = False) -> DataFrame:
+def joints(agp: DataFrame) -> DataFrame:
+    """Gap rows between two components: what tells the scaffold, scaf_idx, lo, hi, length, and ``after_contig``, whether a contig row comes before."""
+    between = neighbours(agp, False).where("comp_type = 'N' and prev is not null and next is not null")
+    return between.select(
+        by_column(agp), "scaf_idx", F.least("prev", "next").alias("lo"), F.greatest("prev", "next").alias("hi"), (F.col("comp_stop") - F.col("comp_start")).alias("length"),
+        (F.col("prev_type") == "W").alias("after_contig"),
+    )
+
+
+def break_scaffolds(agp: DataFrame, good: DataFrame, compat: bool = False, tasks: int | None = None) -> DataFrame:
     """Scaffold rows without gap rows whose adjacency is not in ``good`` (lo, hi); such a row starts a new piece.
 
     Adds ``piece``, the number of the piece in its scaffold from 0.  ``compat``:
     the rows of the last piece of the last scaffold by name have no scaffold.
+    Shuffles take so many ``tasks`` if given.
     """
-    by = _by(agp)
     # Only the pairs of gap rows are looked up, and only where the good ones are comes back.
-    gaps = _neighbours(agp, False).where("comp_type = 'N'").select(by, "scaf_idx", F.least("prev", "next").alias("lo"), F.greatest("prev", "next").alias("hi"))
-    fits = gaps.join(good.select("lo", "hi"), ["lo", "hi"], "left_semi").select(by, F.col("scaf_idx").alias("at"))
+    fits = dealt(joints(agp), tasks, "lo", "hi").join(good.select("lo", "hi"), ["lo", "hi"], "left_semi").select(by_column(agp), "scaf_idx")
+    return keep_gaps(agp, fits, compat, tasks)
+
+
+def keep_gaps(agp: DataFrame, fits: DataFrame, compat: bool = False, tasks: int | None = None) -> DataFrame:
+    """As :func:`break_scaffolds`, with the places of the gap rows that stay: ``fits`` (scaf_name, or scaf_key where ``agp`` has it, scaf_idx)."""
+    by = by_column(agp)
     null = {f.name: F.lit(None).cast(f.dataType) for f in agp.schema}
-    told = fits.select(*(F.col(c) if c == by else F.col("at").alias(c) if c == "scaf_idx" else null[c].alias(c) for c in agp.columns), F.lit(True).alias("told"))
+    told = fits.select(*(F.col(c) if c in (by, "scaf_idx") else null[c].alias(c) for c in agp.columns), F.lit(True).alias("told"))
     order = Window.partitionBy(by).orderBy("scaf_idx", F.desc("told"))
     gap = F.col("comp_type") == "N"
     # What is told of a gap row comes just before it.
-    marked = agp.withColumn("told", F.lit(False)).unionByName(told).withColumn("fits", F.lag("told").over(order))
+    marked = agp.withColumn("told", F.lit(False)).unionByName(dealt(told, tasks, by)).withColumn("fits", F.lag("told").over(order))
     marked = marked.withColumn("bad", F.when(F.col("told"), 0).otherwise((gap & ~F.coalesce("fits", F.lit(False))).cast("int")))
     cut = marked.withColumn("piece", F.sum("bad").over(order)).where("bad = 0 and not told").drop("bad", "told", "fits")
     if not compat:

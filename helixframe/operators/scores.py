@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..tables import materialize
@@ -43,20 +43,37 @@ def gap_deviation(ref: DataFrame, test: DataFrame) -> DataFrame:
     return truth.join(pair(test, "t"), PAIR).agg(F.avg(F.abs(F.col("r") - F.col("t")) / F.col("r")).alias("gap_dev"))
 
 
-def evaluate(ref: DataFrame, test: DataFrame, name: str, method: str, runtime: float = -1.0, compat: bool = True) -> DataFrame:
+def evaluate(ref: DataFrame, test: DataFrame, name: str, method: str, runtime: float = -1.0, compat: bool = True, tasks: int | None = None) -> DataFrame:
     """The 13-field score row of ``test`` against ``ref``; N50 and TP50 in the one-later form unless not ``compat``.
 
-    Scaffold rows and neighbours are written once and read by every part.
+    The pairs of both meet once, in one outer join, with their gap lengths and
+    the places of their gap rows in the test; what it gives is written without
+    their names and read by every part.  Shuffles take so many ``tasks`` if given.
     """
-    ref, test = materialize(ref, "score-ref"), materialize(test, "score-test")
-    truth, found = materialize(S.adjacencies(ref), "score-truth"), materialize(S.adjacencies(test), "score-found")
-    shared = truth.join(found, PAIR, "left_semi")
-    contigs = ref.where("comp_type = 'W'")
-    pieces = S.scaffold_sizes(S.break_scaffolds(test, shared), ("scaf_name", "piece"))
-    parts = [
-        derived_scores(confusion(truth, found, contigs)), gap_deviation(ref, test),
-        S.n50(S.scaffold_sizes(test), compat), S.n50(pieces, compat).withColumnRenamed("n50", "tp50"),
-    ]
+    by = S.by_column(test)
+    seen = Observation()
+    contigs = ref.observe(seen, F.count_if(F.col("comp_type") == "W").alias("n"))
+    lengths = lambda: F.collect_list(F.when(F.col("after_contig"), F.col("length")))
+    truth = S.dealt(S.joints(contigs), tasks, *PAIR).groupBy(PAIR).agg(lengths().alias("r"))
+    found = S.dealt(S.joints(test), tasks, *PAIR).groupBy(PAIR).agg(lengths().alias("t"), F.collect_list(F.struct(by, "scaf_idx")).alias("places"))
+    both = F.col("r").isNotNull() & F.col("t").isNotNull()
+    # A reference length of 0 counts as 1.
+    least = lambda r: F.when(r == 0, 1).otherwise(r)
+    off = lambda r, t: F.abs(least(r) - t) / least(r)
+    against = lambda r: lambda total, t: total + off(r, t)
+    deviation = F.aggregate("r", F.lit(0.0), lambda total, r: F.aggregate("t", total, against(r)))
+    pairs = truth.join(found, PAIR, "full_outer").select(
+        F.col("r").isNotNull().alias("in_ref"), F.col("t").isNotNull().alias("in_test"), F.when(both, deviation).alias("deviation"),
+        F.when(both, F.size("r").cast("long") * F.size("t")).alias("n"), F.when(both, F.col("places")).alias("places"),
+    )
+    pairs = materialize(pairs, "score-pairs")
+    n = seen.get["n"]
+    a, b, c = (F.count_if(x) for x in (F.col("in_ref") & F.col("in_test"), ~F.col("in_ref"), ~F.col("in_test")))
+    counts = pairs.agg(a.alias("A"), b.alias("B"), c.alias("C"), F.try_divide(F.sum("deviation"), F.sum("n")).alias("gap_dev"))
+    counts = counts.select("A", "B", "C", (F.lit(n * (n - 1)).cast("long") - F.col("A") - F.col("C") - F.col("B")).alias("D"), "gap_dev")
+    fits = pairs.where("places is not null").select(F.inline("places"))
+    pieces = S.scaffold_sizes(S.keep_gaps(test, fits, tasks=tasks), (by, "piece"))
+    parts = [derived_scores(counts), S.n50(S.scaffold_sizes(test, (by,)), compat), S.n50(pieces, compat).withColumnRenamed("n50", "tp50")]
     row = parts[0]
     for one in parts[1:]:
         row = row.join(F.broadcast(one))  # one row each

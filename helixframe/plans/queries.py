@@ -185,13 +185,14 @@ def agp_gaps(spark, sf_dir):
 
 
 def _shared(spark, sf_dir):
-    return S.adjacencies(_agp(spark, sf_dir, "path_ref")).join(S.adjacencies(_agp(spark, sf_dir, "path_test")), ["lo", "hi"], "left_semi")
+    ref, test = (S.adjacencies(_agp(spark, sf_dir, n), tasks=link_tasks(spark, sf_dir)) for n in ("path_ref", "path_test"))
+    return ref.join(test, ["lo", "hi"], "left_semi")
 
 
 @_query
 def break_scaffolds(spark, sf_dir):
     """Test scaffolds broken at neighbours that the reference doesn't have."""
-    return S.break_scaffolds(_agp(spark, sf_dir, "path_test"), _shared(spark, sf_dir)).select("scaf_name", "scaf_idx", "comp_name", "comp_type", "piece")
+    return S.break_scaffolds(_agp(spark, sf_dir, "path_test"), _shared(spark, sf_dir), tasks=link_tasks(spark, sf_dir)).select("scaf_name", "scaf_idx", "comp_name", "comp_type", "piece")
 
 
 @_query
@@ -223,14 +224,14 @@ def n50(spark, sf_dir):
 @_query
 def tp50(spark, sf_dir):
     """N50 of the broken test scaffolds."""
-    pieces = S.break_scaffolds(_agp(spark, sf_dir, "path_test"), _shared(spark, sf_dir))
+    pieces = S.break_scaffolds(_agp(spark, sf_dir, "path_test"), _shared(spark, sf_dir), tasks=link_tasks(spark, sf_dir))
     return S.n50(S.scaffold_sizes(pieces, ("scaf_name", "piece")), True).withColumnRenamed("n50", "tp50")
 
 
 @_query
 def evaluate(spark, sf_dir):
     """The whole score row."""
-    row = C.evaluate(_agp(spark, sf_dir, "path_ref"), _agp(spark, sf_dir, "path_test"), "orders", "shipdate")
+    row = C.evaluate(_agp(spark, sf_dir, "path_ref"), _agp(spark, sf_dir, "path_test"), "orders", "shipdate", tasks=link_tasks(spark, sf_dir))
     return row.withColumns({c: F.round(c, 9) for c in ("gap_dev", "sensitivity", "ppv", "mcc")})
 
 
@@ -355,8 +356,11 @@ def matching(spark, sf_dir):
 @_query
 def paths(spark, sf_dir):
     """Contigs of each test scaffold in order, from its directed edges."""
-    edges = S.scaffold_digraph(_agp(spark, sf_dir, "path_test"))
-    return G.order_paths(edges.select("src", "dst"))
+    # A name may come twice in a scaffold, a name with its place doesn't.
+    at = lambda name, step: F.concat(name, F.lit("#"), F.col("scaf_idx") + step)
+    gaps = S.neighbours(_agp(spark, sf_dir, "path_test")).where("comp_type = 'N' and prev is not null and next is not null")
+    name = lambda c: F.substring_index(c, "#", 1).alias(c)
+    return G.order_paths(gaps.select(at("prev", -1).alias("src"), at("next", 1).alias("dst"))).select(name("node"), name("path"), "pos")
 
 
 @_query

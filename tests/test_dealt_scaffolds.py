@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+from helixframe.operators import graph as G
 from helixframe.operators import links as L
 from helixframe.operators import scaffolds as S
+from helixframe.operators import scores as C
 from helixframe.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +49,26 @@ def test_break_scaffolds_by_key(spark):
     kept = {(r.lo, r.hi) for r in S.adjacencies(one).collect()}
     wanted = {(r.lo, r.hi) for r in good.collect()}
     assert wanted <= kept | wanted and one.where("comp_type = 'N'").count() == S.scaffold_digraph(keyed).selectExpr("least(src, dst) AS lo", "greatest(src, dst) AS hi").join(good, ["lo", "hi"]).count()
+
+
+def test_paths_across_chunks(spark):
+    """Parts of paths in several ranges and chunks are put in order, whatever the ids."""
+    rng = random.Random(2)
+    names = [f"n{i:03}" for i in range(300)]
+    rng.shuffle(names)
+    chains = [names[i : i + 25] for i in range(0, 300, 25)]
+    edges = spark.createDataFrame([e for c in chains for e in zip(c, c[1:])], "src string, dst string")
+    assert {(r.node, r.path, r.pos) for r in G.order_paths(edges).collect()} == {(x, c[0], i) for c in chains for i, x in enumerate(c)}
+    assert G.order_paths(edges.limit(0)).isEmpty()
+
+
+def test_evaluate_with_and_without_tasks(spark):
+    """The score row is that of its parts, whatever deals the rows."""
+    ref, test = (S.scaffold_rows(fixtures.keyed_paths(spark, SF, n)) for n in ("path_ref", "path_test"))
+    dealt, plain = C.evaluate(ref, test, "a", "b", tasks=7), C.evaluate(ref.drop("scaf_key"), test.drop("scaf_key"), "a", "b")
+    row = dealt.first()
+    assert repr(row) == repr(plain.first()) or abs(row.gap_dev - plain.first().gap_dev) < 1e-9
+    pairs = S.adjacencies(ref), S.adjacencies(test)
+    counts = C.confusion(*pairs, ref.where("comp_type = 'W'")).first()
+    assert tuple(row[2:6]) == tuple(counts) and abs(row.gap_dev - C.gap_deviation(ref, test).first()[0]) < 1e-9
+    assert row.tp50 == S.n50(S.scaffold_sizes(S.break_scaffolds(test, pairs[0].join(pairs[1], ["lo", "hi"], "left_semi")), ("scaf_name", "piece")), True).first()[0]
