@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import links as X
@@ -124,6 +124,16 @@ def break_scaffolds(agp: DataFrame, good: DataFrame, compat: bool = False, tasks
 
 def keep_gaps(agp: DataFrame, fits: DataFrame, compat: bool = False, tasks: int | None = None) -> DataFrame:
     """As :func:`break_scaffolds`, with the places of the gap rows that stay: ``fits`` (scaf_name, or scaf_key where ``agp`` has it, scaf_idx)."""
+    cut = _pieces(agp, fits, tasks).where("bad = 0").drop("bad")
+    if not compat:
+        return cut
+    last = cut.agg(F.max(F.struct("scaf_name", "piece")).alias("last"))
+    gone = F.struct("scaf_name", "piece") == F.col("last")
+    return cut.join(F.broadcast(last)).withColumn("lost", gone).drop("last")
+
+
+def _pieces(agp: DataFrame, fits: DataFrame, tasks: int | None) -> DataFrame:
+    """All scaffold rows with ``piece``, and ``bad``, 1 for gap rows that are not in ``fits``."""
     by = by_column(agp)
     null = {f.name: F.lit(None).cast(f.dataType) for f in agp.schema}
     told = fits.select(*(F.col(c) if c in (by, "scaf_idx") else null[c].alias(c) for c in agp.columns), F.lit(True).alias("told"))
@@ -132,18 +142,26 @@ def keep_gaps(agp: DataFrame, fits: DataFrame, compat: bool = False, tasks: int
     # What is told of a gap row comes just before it.
     marked = agp.withColumn("told", F.lit(False)).unionByName(dealt(told, tasks, by)).withColumn("fits", F.lag("told").over(order))
     marked = marked.withColumn("bad", F.when(F.col("told"), 0).otherwise((gap & ~F.coalesce("fits", F.lit(False))).cast("int")))
-    cut = marked.withColumn("piece", F.sum("bad").over(order)).where("bad = 0 and not told").drop("bad", "told", "fits")
-    if not compat:
-        return cut
-    last = cut.agg(F.max(F.struct("scaf_name", "piece")).alias("last"))
-    gone = F.struct("scaf_name", "piece") == F.col("last")
-    return cut.join(F.broadcast(last)).withColumn("lost", gone).drop("last")
+    return marked.withColumn("piece", F.sum("bad").over(order)).where("not told").drop("told", "fits")
+
+
+def _contig_length() -> Column:
+    """Stop less start of a contig row, 0 for a gap row."""
+    return F.when(F.col("comp_type") == "W", F.col("scaf_stop") - F.col("scaf_start")).otherwise(0)
 
 
 def scaffold_sizes(agp: DataFrame, by: tuple[str, ...] = ("scaf_name",)) -> DataFrame:
     """(by, size): sum of stop less start over the contig rows, less 1."""
-    length = F.when(F.col("comp_type") == "W", F.col("scaf_stop") - F.col("scaf_start")).otherwise(0)
-    return agp.groupBy(*by).agg((F.sum(length) - 1).alias("size"))
+    return agp.groupBy(*by).agg((F.sum(_contig_length()) - 1).alias("size"))
+
+
+def whole_and_broken_sizes(agp: DataFrame, fits: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(size, pieces): per scaffold its :func:`scaffold_sizes`, and those of what :func:`keep_gaps` leaves of it, from one pass over the rows."""
+    by = by_column(agp)
+    parts = _pieces(agp, fits, tasks).groupBy(by, "piece").agg(F.sum(_contig_length()).alias("length"), F.count_if(F.col("bad") == 0).alias("kept"))
+    # A piece of which only bad gap rows are left is none.
+    piece = F.when(F.col("kept") > 0, F.col("length") - 1).cast("long")
+    return parts.groupBy(by).agg((F.sum("length") - 1).cast("long").alias("size"), F.collect_list(piece).alias("pieces")).select("size", "pieces")
 
 
 #: Bits of a size that one histogram of :func:`n50` takes.
@@ -161,8 +179,12 @@ def n50(sizes: DataFrame, compat: bool = False) -> DataFrame:
     reached by its next 12 bits, and so on: no sort, and no window over more
     than 4096 rows.
     """
+    return n50_of_kept(materialize(sizes.select(F.col("size").cast("long").alias("size")).where("size is not null"), "n50-sizes"), compat)
+
+
+def n50_of_kept(sizes: DataFrame, compat: bool = False) -> DataFrame:
+    """As :func:`n50`, of ``sizes`` (size long, not null) that a scratch table holds; they are read several times."""
     spark = sizes.sparkSession
-    sizes = materialize(sizes.select(F.col("size").cast("long").alias("size")).where("size is not null"), "n50-sizes")
     total, most = sizes.agg(F.sum("size"), F.max("size")).first()
     answer = lambda x: spark.createDataFrame([(x,)], "n50 long")
     if total is None:

@@ -48,7 +48,9 @@ def evaluate(ref: DataFrame, test: DataFrame, name: str, method: str, runtime: f
 
     The pairs of both meet once, in one outer join, with their gap lengths and
     the places of their gap rows in the test; what it gives is written without
-    their names and read by every part.  Shuffles take so many ``tasks`` if given.
+    their names and read by every part.  One more pass over ``test`` writes the
+    sizes of its scaffolds and of their pieces.  Shuffles take so many ``tasks``
+    if given.
     """
     by = S.by_column(test)
     seen = Observation()
@@ -72,8 +74,9 @@ def evaluate(ref: DataFrame, test: DataFrame, name: str, method: str, runtime: f
     counts = pairs.agg(a.alias("A"), b.alias("B"), c.alias("C"), F.try_divide(F.sum("deviation"), F.sum("n")).alias("gap_dev"))
     counts = counts.select("A", "B", "C", (F.lit(n * (n - 1)).cast("long") - F.col("A") - F.col("C") - F.col("B")).alias("D"), "gap_dev")
     fits = pairs.where("places is not null").select(F.inline("places"))
-    pieces = S.scaffold_sizes(S.keep_gaps(test, fits, tasks=tasks), (by, "piece"))
-    parts = [derived_scores(counts), S.n50(S.scaffold_sizes(test, (by,)), compat), S.n50(pieces, compat).withColumnRenamed("n50", "tp50")]
+    sizes = materialize(S.whole_and_broken_sizes(test, fits, tasks), "score-sizes")
+    whole, pieces = sizes.select("size").where("size is not null"), sizes.select(F.explode("pieces").alias("size"))
+    parts = [derived_scores(counts), S.n50_of_kept(whole, compat), S.n50_of_kept(pieces, compat).withColumnRenamed("n50", "tp50")]
     row = parts[0]
     for one in parts[1:]:
         row = row.join(F.broadcast(one))  # one row each

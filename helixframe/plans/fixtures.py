@@ -121,6 +121,18 @@ def keyed_paths(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(PATHS.format(lineitem=dealt, key="l_orderkey AS scaf_key, ", **made))
 
 
+def both_paths(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The reference and the test paths as :func:`keyed_paths`, for queries that need both: of the same line items, which such a query shuffles once.
+
+    Discount and tax travel as one array, so that the shuffle has the same
+    columns whichever of them a side reads, and Spark takes one for the other.
+    """
+    needed = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus, l_shipdate"
+    dealt = f"(SELECT /*+ REPARTITION({link_tasks(spark, sf_dir)}, l_orderkey) */ {needed}, array(l_discount, l_tax) AS rates FROM parquet.`{sf_dir}/lineitem.parquet`)"
+    told = f"(SELECT {needed}, rates[0] AS l_discount, rates[1] AS l_tax FROM {dealt})"
+    return [spark.sql(PATHS.format(lineitem=told, key="l_orderkey AS scaf_key, ", **made)) for made in (_TRUE, _TEST)]
+
+
 def solved(spark: SparkSession, bundles: DataFrame) -> DataFrame:
     """As the views of solutions, from bundles that are there already."""
     return spark.sql(SOLVED.format(bundles="SELECT * FROM {bundles}"), bundles=bundles)

@@ -20,7 +20,7 @@ from ..operators import solve as P
 from ..sources import text as T
 from ..tables import scratch_folder
 from . import exact_queries, format_queries, region_queries, solution_queries
-from .fixtures import keyed_paths, link_tasks, view
+from .fixtures import both_paths, keyed_paths, link_tasks, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -231,7 +231,7 @@ def tp50(spark, sf_dir):
 @_query
 def evaluate(spark, sf_dir):
     """The whole score row."""
-    row = C.evaluate(_agp(spark, sf_dir, "path_ref"), _agp(spark, sf_dir, "path_test"), "orders", "shipdate", tasks=link_tasks(spark, sf_dir))
+    row = C.evaluate(*(S.scaffold_rows(p) for p in both_paths(spark, sf_dir)), "orders", "shipdate", tasks=link_tasks(spark, sf_dir))
     return row.withColumns({c: F.round(c, 9) for c in ("gap_dev", "sensitivity", "ppv", "mcc")})
 
 
