@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import combinations
 from math import log2
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialize
+from ..tables import materialize, materialize_count
 
 BITS = 64
+#: Codes in the index of a task at most, about; queries that a task has at least, if there are more; look-ups at a time.
+PART, BLOCK, _AT_ONCE = 1 << 21, 256, 1 << 20
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -27,19 +32,99 @@ def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _widths(classes: int) -> list[int]:
-    """At least log2(classes) bits a segment, so that a segment value has about one code or less."""
-    m = max(1, int(BITS / max(4.0, log2(max(2, classes)))))
+    """About log2(classes) bits a segment, so that a segment value has about one code."""
+    m = max(3, round(BITS / max(4.0, log2(max(2, classes)))))
     return [BITS // m + (i < BITS % m) for i in range(m)]
 
 
-def _segments(widths: list[int]) -> Column:
-    """array<struct<segment, width, value>> of the column ``code``."""
-    out, at = [], 0
-    for i, w in enumerate(widths):
-        value = F.shiftrightunsigned("code", at).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1))
-        out.append(F.struct(F.lit(i).alias("segment"), F.lit(w).alias("width"), value.alias("value")))
-        at += w
-    return F.array(*out)
+def _flips(width: int, n: int) -> np.ndarray:
+    """All words of ``width`` bits with n bits set."""
+    return np.fromiter((sum(1 << b for b in c) for c in combinations(range(width), n)), np.int64)
+
+
+class CodeIndex:
+    """Different codes by the values of their segments, for searches by incremental multi-index hashing."""
+
+    def __init__(self, codes: np.ndarray, least: np.ndarray, copies: np.ndarray):
+        """``codes`` as unsigned words, with the smallest id and the number of the rows that have each."""
+        order = np.lexsort((codes, least))
+        # By id, so that of equally far ones the earlier place is the nearer one.
+        self.codes, self.copies = codes[order], copies[order]
+        self.widths = _widths(len(codes))
+        self.segments, at = [], 0
+        for w in self.widths:
+            value = self._value(self.codes, at, w)
+            starts = np.zeros((1 << w) + 1, np.int32)
+            np.cumsum(np.bincount(value, minlength=1 << w), out=starts[1:])
+            self.segments.append((at, w, starts, np.argsort(value, kind="stable").astype(np.int32)))
+            at += w
+
+    @staticmethod
+    def _value(codes: np.ndarray, at: int, width: int) -> np.ndarray:
+        return (codes >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``queries``, code, distance) of the classes that hold the k nearest rows of each query.
+
+        Round s looks up every segment with exactly s bits flipped, as far as the
+        kth distance known so far needs it: with j segments at this radius, all
+        within m s + j - 1 bits is met.
+        """
+        m = len(self.widths)
+        bound, live = np.full(len(queries), BITS), np.arange(len(queries))
+        best = tuple(np.zeros(0, np.int64) for _ in range(3))
+        for s in range(max(self.widths) + 1):
+            for j, (at, w, starts, places) in enumerate(self.segments):
+                live = live[bound[live] >= m * s + j]
+                if s > w or not len(live):
+                    continue
+                flips = _flips(w, s)
+                for own in np.array_split(live, -(-len(live) * len(flips) // _AT_ONCE)):
+                    found = self._look_up(queries, own, flips, at, w, starts, places, bound)
+                    best = self._nearest(best, found, bound, k)
+        return best[0], self.codes[best[1]], best[2]
+
+    def _look_up(self, queries, own, flips, at, width, starts, places, bound):
+        """Pairs (query, place of a code, distance) that meet in one segment and lie within the query's bound, a bounded number at a time."""
+        value = (self._value(queries[own], at, width)[:, None] ^ flips[None, :]).ravel()
+        first = starts[value].astype(np.int64)
+        count = starts[value + 1] - first
+        hit = np.flatnonzero(count)
+        ends = np.cumsum(count[hit])
+        q, first, count, done = own[hit // len(flips)], first[hit], count[hit], 0
+        while done < len(hit):
+            # One value with more codes than that goes by itself.
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + _AT_ONCE, "right")))
+            n = count[done:upto]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            who, code = np.repeat(q[done:upto], n), places[np.repeat(first[done:upto], n) + inside].astype(np.int64)
+            far = np.bitwise_count(queries[who] ^ self.codes[code]).astype(np.int64)
+            near = far <= bound[who]
+            yield who[near], code[near], far[near]
+            done = upto
+
+    def _nearest(self, best, found, bound, k):
+        """``best`` with what is ``found``: of each query the k nearest classes at most, none farther than the kth row; ``bound`` gets the kth distances.
+
+        At one distance, classes come by their smallest ids: copies in an
+        earlier class may come after a later one, so they don't end the list.
+        """
+        for more in found:
+            who, code, far = (np.concatenate(c) for c in zip(best, more))
+            order = np.lexsort((code, far, who))
+            who, code, far = who[order], code[order], far[order]
+            fresh = np.ones(len(who), bool)
+            fresh[1:] = (who[1:] != who[:-1]) | (code[1:] != code[:-1])  # one class has one distance, so its repeats lie together
+            who, code, far = who[fresh], code[fresh], far[fresh]
+            upto = np.cumsum(self.copies[code])
+            start = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(who)))
+            rows = upto - np.repeat((upto - self.copies[code])[start], size)
+            full = (rows >= k) & (rows - self.copies[code] < k)
+            bound[who[full]] = far[full]
+            kept = (np.arange(len(who)) - np.repeat(start, size) < k) & (far <= bound[who])
+            best = who[kept], code[kept], far[kept]
+        return best
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -47,12 +132,12 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Nearest by Hamming distance, then by id; a query that is a row of ``codes``
     finds itself.  Rows with one code form a class with its k smallest ids, and
-    queries with one code are searched once, so copies cost nothing.  Codes are
-    cut into m segments, each an equi-join key.  Round s looks up every segment
-    with exactly s bits flipped, as far as the kth distance known so far needs
-    it; after it, every code within that distance or m (s + 1) - 1 bits has been
-    met, so a query ends once its kth distance is no more than that.
-    Candidates beyond the kth distance known so far do not leave the join.
+    queries with one code are searched once, so copies cost nothing.  Classes
+    are dealt by a hash into parts of about :data:`PART`, and a task indexes one
+    part by segments of its codes and searches it for a block of queries
+    (:class:`CodeIndex`): bits are flipped and values looked up inside the task,
+    so that neither flipped values nor candidates are rows, and what leaves it
+    is k classes a query at most.  The nearest of all parts are the result.
 
     Fewer than k rows are returned only if there are fewer.  Repeated rows are
     rows of their own; null ids or codes must be left out before; empty tables
@@ -61,44 +146,28 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     spark = codes.sparkSession
     first = Window.partitionBy("code").orderBy("id")
     ranked = codes.select("id", "code").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-    members = materialize(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
-    widths = _widths(members.count())
-    m = len(widths)
-    index = materialize(
-        members.select(F.col("code"), F.explode(_segments(widths)).alias("s")).select("s.segment", "s.value", "code"), "code-segments"
-    )
-    wanted = queries.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS))
-    active = materialize(wanted, "search-active")
-    best = spark.createDataFrame([], "q long, id long, copy int, distance int")
-    ended = []
-    for s in range(max(widths) + 1):
-        if active.isEmpty():
-            break
-        probes = active.withColumn("code", F.col("q")).select("q", "bound", F.explode(_segments(widths)).alias("s"))
-        # With j segments at this radius, all within m s + j - 1 bits is met; a known kth distance needs no more segments.
-        probes = probes.where(F.col("s.segment") <= F.col("bound") - m * s)
-        probes = probes.select("q", "bound", "s.*", F.lit(0).alias("from")).where(F.col("width") >= s)
-        for flip in range(s):  # one bit at a time, from low to high, inside the tasks
-            probes = probes.withColumn("bit", F.explode(F.expr(f"sequence(from, width - {s - flip})")))
-            probes = probes.withColumns({"value": F.expr("value ^ shiftleft(1L, bit)"), "from": F.col("bit") + 1})
-        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        near = (probes.segment == index.segment) & (probes.value == index.value) & (distance <= F.col("bound"))
-        met = probes.join(index, near).select("q", "code", distance.alias("distance")).distinct()
-        rows = met.join(members, "code").select("q", F.posexplode("ids").alias("copy", "id"), "distance")
-        # A code met in an earlier round may be met again; copy numbers repeated ids within a class.
-        rows = best.join(active.select("q"), "q", "left_semi").select("q", "copy", "id", "distance").union(rows).distinct()
-        order = Window.partitionBy("q").orderBy("distance", "id", "copy")
-        best = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "id", "copy", "distance")
-        best = materialize(best, "search-best")
-        found = best.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
-        state = active.select("q", F.col("bound").alias("old")).join(found, "q", "left").select("q", "old", F.when(F.col("n") == k, F.col("kth")).otherwise(BITS).alias("bound"))
-        covered = F.least("old", F.lit(m * (s + 1) - 1)) if s < max(widths) else F.lit(BITS)
-        state = materialize(state.withColumn("over", F.col("bound") <= covered), "search-state")
-        ended.append(best.join(state.where("over" if s < max(widths) else "true"), "q", "left_semi"))
-        active = state.where("not over").select("q", "bound")
-    out = spark.createDataFrame([], "q long, id long, copy int, distance int")
-    for part in ended:
-        out = out.union(part)
+    members, classes = materialize_count(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
+    wanted, n = materialize_count(queries.select(F.col("code").alias("q")).distinct(), "search-queries")
+    parts = -(-max(1, classes) // PART)
+    blocks = max(1, min(-(-4 * spark.sparkContext.defaultParallelism // parts), n // BLOCK))
+    dealt = lambda c, i: F.pmod(F.xxhash64(c), F.lit(i)).cast("int")
+    every = lambda i: F.explode(F.sequence(F.lit(0), F.lit(i - 1)))
+    stored = members.select("code", F.col("ids")[0].alias("least"), F.size("ids").alias("copies"), dealt("code", parts).alias("part"))
+    stored = stored.withColumn("block", every(blocks)).repartition(parts * blocks, "part", "block")
+    asked = wanted.withColumn("block", dealt("q", blocks)).withColumn("part", every(parts)).repartition(parts * blocks, "part", "block")
+
+    def search(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        q = asking["q"].to_numpy(np.int64)
+        if not len(own) or not len(q):
+            return pd.DataFrame({"q": q[:0], "code": q[:0], "distance": q[:0]})
+        index = CodeIndex(own["code"].to_numpy(np.int64).view(np.uint64), own["least"].to_numpy(np.int64), own["copies"].to_numpy(np.int64))
+        who, code, distance = index.search(q.view(np.uint64), k)
+        return pd.DataFrame({"q": q[who], "code": code.view(np.int64), "distance": distance})
+
+    met = stored.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInPandas(search, "q long, code long, distance int")
+    near = materialize(met, "search-met")
+    # Neither side is sent to all tasks: Parquet sizes say little about rows with arrays.
+    rows = near.hint("merge").join(members, "code").select("q", F.posexplode("ids").alias("copy", "id"), "distance")
     order = Window.partitionBy("q").orderBy("distance", "id", "copy")
-    ranks = out.select("q", "id", "distance", F.row_number().over(order).alias("rank"))
-    return queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(ranks, "q").select("query_id", "rank", "id", "distance")
+    ranks = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "id", "distance", "rank")
+    return queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(ranks.hint("merge"), "q").select("query_id", "rank", "id", "distance")
