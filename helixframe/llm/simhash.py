@@ -132,7 +132,8 @@ def near_links(prints: DataFrame, threshold: int) -> DataFrame:
     of the other.  The comparison is part of the join, so only links leave it.
     ``threshold`` is at most 2.  Prints grow about 61-fold on their way to the
     anchors, so they are dealt to tasks by their number before that, not by
-    their bytes.
+    their bytes; Spark, which sizes both sides as if they had not grown, must
+    not send one of them to all tasks.
     """
     if not 0 <= threshold <= 2:
         raise ValueError("threshold must be 0, 1 or 2")
@@ -141,7 +142,7 @@ def near_links(prints: DataFrame, threshold: int) -> DataFrame:
     home = _anchored(prints, None).withColumnRenamed("print", "u")
     reach = _anchored(prints, threshold).withColumnRenamed("print", "v")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= threshold
-    return home.join(reach, (home.anchor == reach.anchor) & (F.col("u") < F.col("v")) & near).select("u", "v")
+    return home.join(reach.hint("merge"), (home.anchor == reach.anchor) & (F.col("u") < F.col("v")) & near).select("u", "v")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
