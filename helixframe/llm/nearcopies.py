@@ -81,10 +81,20 @@ def _measured(docs: DataFrame, words_in_shingle: int, whole: bool) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, schema)
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by the keys of both sides, of which none is sent to all tasks.
+
+    Nodes and pairs repeat in buckets, so their Parquet files are a small part of
+    the rows, and exploded keys count as if they had not been: Spark would take
+    tables for small that no driver holds.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _measured_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) with ``both``, the number of shingles that their sets share, and ``near``, whether their Jaccard similarity is at least ``percent`` percent."""
     u, v = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
-    met = pairs.join(u, "u").join(v, "v").select("u", "v", F.size("of_u").alias("n_u"), F.size("of_v").alias("n_v"), F.size(F.array_intersect("of_u", "of_v")).alias("both"))
+    met = _met(_met(pairs, u, "u"), v, "v").select("u", "v", F.size("of_u").alias("n_u"), F.size("of_v").alias("n_v"), F.size(F.array_intersect("of_u", "of_v")).alias("both"))
     return met.select("u", "v", "both", _alike(F.col("both"), F.col("n_u"), F.col("n_v"), percent).alias("near"))
 
 
@@ -120,40 +130,41 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", words_in_
     by_print = nodes.where("n > 0").groupBy("print").agg(F.min("node").alias("node"))
     met = materialize(near_links(by_print, threshold), "near-prints")
     u, v = (by_print.select(F.col("print").alias(x), F.col("node").alias(f"node_{x}")) for x in "uv")
-    anchored = materialize(met.join(u, "u").join(v, "v").select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")), "near-anchored")
+    anchored = materialize(_met(_met(met, u, "u"), v, "v").select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")), "near-anchored")
     banded = nodes.where("n > 0").select("node", "n", F.explode(F.concat("keys", F.array("print"))).alias("key"))
     company = banded.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
-    members = materialize(banded.join(company, "key"), "near-members")
+    members = materialize(_met(banded, company, "key"), "near-members")
     alone = anchored.select(F.explode(F.array("u", "v")).alias("node"), F.lit(0).cast("long").alias("company"))
     central = materialize(members.select("node", "company").union(alone).groupBy("node").agg(F.sum("company").alias("company")), "near-central")
-    wanted = nodes.join(central, "node", "left_semi").select(F.col("least").alias("row")).distinct()
-    sets = _measured(texts.join(wanted, "row", "left_semi"), words_in_shingle, True)
-    sets = materialize(sets.join(central, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
+    wanted = _met(nodes, central, "node", "left_semi").select(F.col("least").alias("row")).distinct()
+    sets = _measured(_met(texts, wanted, "row", "left_semi"), words_in_shingle, True)
+    sets = materialize(_met(sets, central, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "near-sets")
 
-    ranked = members.drop("company").join(central, "node")
+    ranked = _met(members.drop("company"), central, "node")
     first = ranked.groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("f"))
-    near_first = members.join(first, "key").select("key", "node", "n", "f", F.least("node", "f").alias("u"), F.greatest("node", "f").alias("v"))
+    near_first = _met(members, first, "key").select("key", "node", "n", "f", F.least("node", "f").alias("u"), F.greatest("node", "f").alias("v"))
     star = near_first.where("u <> v").select("u", "v").union(anchored).distinct()
     compared = materialize(_measured_pairs(star, sets, percent), "near-compared")
     links = compared.where("near").select("u", "v")
-    placed = near_first.join(compared.select("u", "v", "both"), ["u", "v"], "left").select("key", "node", "n", F.coalesce("both", "n").alias("shared"))
-    grouped = placed.join(star_components(links, "near-star").withColumnRenamed("root", "r"), "node", "left")
+    placed = _met(near_first, compared.select("u", "v", "both"), ["u", "v"], "left").select("key", "node", "n", F.coalesce("both", "n").alias("shared"))
+    grouped = _met(placed, star_components(links, "near-star").withColumnRenamed("root", "r"), "node", "left")
     grouped = materialize(grouped.select("key", "node", "n", "shared", F.coalesce("r", "node").alias("root")), "near-grouped")
     split = grouped.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    open_ = grouped.join(split, "key", "left_semi").join(nodes.select("node", F.concat("keys", F.array("print")).alias("keys"), "sketch"), "node")
+    open_ = _met(_met(grouped, split, "key", "left_semi"), nodes.select("node", F.concat("keys", F.array("print")).alias("keys"), "sketch"), "node")
     open_ = materialize(open_.withColumn("band", F.array_position("keys", F.col("key"))), "near-open")
-    a, b = open_.alias("a"), open_.alias("b")
+    a, b = open_.alias("a"), open_.hint("merge").alias("b")
     # No more can two sets share than the lesser of their parts inside the first node's set and the lesser of those outside it.
     most = F.least("a.shared", "b.shared") + F.least(F.col("a.n") - F.col("a.shared"), F.col("b.n") - F.col("b.shared"))
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & _alike(most, F.col("a.n"), F.col("b.n"), percent)
     # A pair is met once, in the first bucket that it shares, and only if its sketches leave a chance of a link.
     apart = apart & F.expr("array_position(zip_with(a.keys, b.keys, (x, y) -> x = y), true) = a.band")
     apart = apart & (F.expr("aggregate(zip_with(a.sketch, b.sketch, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)") <= sketch_limit(percent))
-    rest = a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).join(star, ["u", "v"], "left_anti")
+    rest = a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    rest = _met(rest, star, ["u", "v"], "left_anti")
     measured = materialize(_measured_pairs(materialize(rest, "near-rest"), sets, percent), "near-measured")
     links = links.union(measured.where("near").select("u", "v"))
 
     roots = star_components(links, "near-components")
-    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = _met(nodes.select("node", "least"), roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     leaders = named.groupBy("root").agg(F.min("least").alias("leader"))
-    return each.select("row", "node").join(named.join(leaders, "root").select("node", "leader"), "node").select("row", "leader")
+    return _met(each.select("row", "node"), _met(named, leaders, "root").select("node", "leader"), "node").select("row", "leader")
