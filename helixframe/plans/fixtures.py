@@ -121,6 +121,14 @@ def keyed_paths(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(PATHS.format(lineitem=dealt, key="l_orderkey AS scaf_key, ", **made))
 
 
+def ordered_paths(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """As :func:`keyed_paths`, dealt by ranges of names: ``scaf_key`` is the scaffold's number as text, so that names stand in its order, from partition to partition."""
+    made = {"path_ref": _TRUE, "path_test": _TEST}[name]
+    needed = "CAST(l_orderkey AS STRING) AS l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_linestatus, l_shipdate"
+    dealt = f"(SELECT /*+ REPARTITION_BY_RANGE({link_tasks(spark, sf_dir)}, l_orderkey) */ * FROM (SELECT {needed} FROM parquet.`{sf_dir}/lineitem.parquet`))"
+    return spark.sql(PATHS.format(lineitem=dealt, key="l_orderkey AS scaf_key, ", **made))
+
+
 def both_paths(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """The reference and the test paths as :func:`keyed_paths`, for queries that need both: of the same line items, which such a query shuffles once.
 

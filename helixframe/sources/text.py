@@ -96,13 +96,17 @@ def agp_lines(agp: DataFrame) -> DataFrame:
     return agp.select("line_no", F.when(F.col("comp_type") == "W", contig).otherwise(gap).alias("value"))
 
 
-def write_agp(agp: DataFrame, path: str, runtime: float | None = None) -> None:
-    """Scaffold rows in line order, in as many files as the range sort makes; with a runtime line at the end if given."""
-    lines = agp_lines(agp)
+def write_agp(agp: DataFrame, path: str, runtime: float | None = None, in_order: bool = False) -> None:
+    """Scaffold rows in line order, in as many files as the range sort makes; with a runtime line at the end if given.
+
+    With ``in_order``, rows stand in their order already, inside partitions and
+    from one to the next, and are written as they stand, without a shuffle.
+    """
+    lines = agp_lines(agp.withColumn("line_no", F.lit(0).cast("long")) if in_order else agp)
     if runtime is not None:
         last = agp.sparkSession.createDataFrame([((1 << 63) - 1, f"RUNTIME:\t{runtime:f}")], "line_no long, value string")
-        lines = lines.unionByName(last)
-    lines.orderBy("line_no").select("value").write.mode("overwrite").text(path)
+        lines = lines.unionByName(last)  # its partitions come after all others
+    (lines if in_order else lines.orderBy("line_no")).select("value").write.mode("overwrite").text(path)
 
 
 def read_runtime(spark: SparkSession, path: str) -> DataFrame:
