@@ -13,20 +13,33 @@ from pyspark.sql import functions as F
 
 from ..tables import materialize_count
 
-#: Cells that a table may have while a variable goes; a component that needs larger ones is left to rounds of joins.
+#: Cells that a table may have while a variable goes.
 CELLS = 1 << 20
+#: Of a component that needs larger ones, variables are tried with each of their values: cells of a table then, and trials at most.  One that needs more is left to rounds of joins.
+TRIED_CELLS, TRIALS = 1 << 17, 1 << 12
 _NO = -np.inf
 #: By (ab, bc, ac), 0 from the first to the second: not all three of a triangle around.
 _CIRCLE = np.zeros((2, 2, 2))
 _CIRCLE[0, 0, 1] = _CIRCLE[1, 1, 0] = _NO
 
 
-def maximise(factors: list[tuple[tuple[int, ...], np.ndarray]], cells: int = CELLS) -> dict[int, int] | None:
-    """The values of all variables with the greatest sum of ``factors`` (ascending variables, table); None if that takes a larger table or nothing is allowed.
+def maximise(factors: list[tuple[tuple[int, ...], np.ndarray]], cells: int = CELLS, trials: int = 0) -> dict[int, int] | None:
+    """The values of all variables with the greatest sum of ``factors`` (ascending variables, table); None if that takes more than so many ``trials`` or nothing is allowed.
 
     Whatever variable has the smallest table over its neighbours goes first: its
-    tables are added up and leave one with the best that it can do.
+    tables are added up and leave one with the best that it can do.  Where even
+    that table is larger than ``cells``, the variable with the most neighbours is
+    tried with each of its values, but for those whose tables, each at its
+    greatest, add up to no more than what is found already; the values are exact
+    either way.
     """
+    left = [trials]
+    best = _maximise(factors, cells, left, _NO)
+    return None if best is None or left[0] < 0 else best[1]
+
+
+def _maximise(factors, cells: int, left: list[int], least: float) -> tuple[float, dict[int, int]] | None:
+    """The greatest sum and its values, None if none is above ``least``; ``left`` has the trials that are left, below 0 if there were too few."""
     size, of, live = {}, defaultdict(set), dict(enumerate(factors))
     for i, (scope, table) in live.items():
         for v, n in zip(scope, table.shape):
@@ -36,13 +49,17 @@ def maximise(factors: list[tuple[tuple[int, ...], np.ndarray]], cells: int = CEL
     cost = {v: prod(size[w] for w in around(v)) for v in size}
     queue = [(c, v) for v, c in cost.items()]
     heapify(queue)
-    undo = []
+    undo, summed, value = [], 0.0, {}
     while queue:
         c, v = heappop(queue)
         if cost.get(v) != c:
             continue
         if c > cells:
-            return None
+            found = _tried(list(live.values()), max(cost, key=cost.get), cells, left, least - summed)
+            if found is None:
+                return None
+            summed, value = summed + found[0], found[1]
+            break
         scope = sorted(around(v))
         total = 0.0
         for i in list(of[v]):
@@ -58,6 +75,7 @@ def maximise(factors: list[tuple[tuple[int, ...], np.ndarray]], cells: int = CEL
         if not rest:
             if best == _NO:
                 return None
+            summed += float(best)
             continue
         i = len(factors) + len(undo)
         live[i] = rest, best
@@ -66,10 +84,34 @@ def maximise(factors: list[tuple[tuple[int, ...], np.ndarray]], cells: int = CEL
         for w in rest:
             cost[w] = prod(size[x] for x in around(w))
             heappush(queue, (cost[w], w))
-    value: dict[int, int] = {}
+    if summed <= least:
+        return None
     for v, rest, choice in reversed(undo):
         value[v] = int(choice[tuple(value[w] for w in rest)])
-    return value
+    return summed, value
+
+
+def _tried(factors, v: int, cells: int, left: list[int], least: float) -> tuple[float, dict[int, int]] | None:
+    """As :func:`_maximise`, with each value of ``v`` set in turn, the one that promises most first."""
+    ways = []
+    for x in range(next(table.shape[scope.index(v)] for scope, table in factors if v in scope)):
+        told = [((*scope[: (at := scope.index(v))], *scope[at + 1 :]), table.take(x, axis=at)) if v in scope else (scope, table) for scope, table in factors]
+        ways.append((sum(float(table.max()) for _, table in told), x, told))
+    best = None
+    for most, x, told in sorted(ways, key=lambda w: -w[0]):
+        if most <= least:
+            continue
+        left[0] -= 1
+        if left[0] < 0:
+            return None
+        alone = sum(float(table) for scope, table in told if not scope)
+        found = _maximise([f for f in told if f[0]], cells, left, least - alone)
+        if left[0] < 0:
+            return None
+        if found is not None:
+            least = found[0] + alone
+            best = least, found[1] | {v: x}
+    return best
 
 
 def _numbered(u: np.ndarray, v: np.ndarray) -> tuple[int, list[tuple[int, int]], dict[tuple[int, int], int], list[tuple[int, int, int]]]:
@@ -120,7 +162,7 @@ def orientations(u: np.ndarray, v: np.ndarray, weights: np.ndarray, told: np.nda
         # All contigs turned around, with all directions, weigh the same.
         ends = [x for e in edges for x in e]
         factors.append(((max(set(ends), key=ends.count),), np.array([0.0, _NO])))
-    value = maximise(factors)
+    value = maximise(factors) or maximise(factors, TRIED_CELLS, TRIALS)
     if value is None:
         return None
     out = []
@@ -326,7 +368,7 @@ def solve_components(edges: DataFrame, roots: DataFrame, solver, max_bundles: in
     """``edges`` (u, v, w0..w3, told_a, told_b, told_way) with orien_a, orien_b and state as ``solver`` finds them, one component (``roots``: node, root) at a time; and how many have none.
 
     ``orien_a`` is null in components of more than ``max_bundles`` edges or too
-    wide for a table of :data:`CELLS`.
+    wide for what ``solver`` tries.
     """
     named = edges.join(roots.select(F.col("node").alias("u"), "root"), "u")
     sizes = named.groupBy("root").agg(F.count("*").alias("m"))
