@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe import tables
 from helixframe.llm import nearcopies, simhash
 
 
@@ -13,7 +14,8 @@ def plan(df) -> str:
 
 
 def test_anchors_are_not_broadcast(spark):
-    prints = spark.createDataFrame([(0,), (1,), (3,), (7,), (1 << 40,)], "print long")
+    # Of a stored table Spark knows the size.
+    prints = tables.materialize(spark.createDataFrame([(0,), (1,), (3,), (7,), (1 << 40,)], "print long"), "prints")
     links = simhash.near_links(prints, 2)
     assert "Broadcast" not in plan(links)
     assert {tuple(r) for r in links.collect()} == {(0, 1), (0, 3), (1, 3), (1, 7), (3, 7), (0, 1 << 40), (1, 1 << 40)}
